@@ -1 +1 @@
-
+"""Composite operators and the registered queries with their SQL."""
