@@ -109,9 +109,14 @@ SERIES_SQL = """series AS (
   FROM lineitem)"""
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ts as an instant (the files have it without a time zone; it is read in the session's)."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def status_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as polls of a reference per user: purchases complete it, errors end it."""
-    e = table(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     status = F.when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "PENDING").otherwise("RUNNING")
     return e.select(F.col("ts").alias("poll_ts"), F.concat_ws("-", "user_id", (F.dayofmonth("ts"))).alias("ref"), status.alias("status"), F.date_trunc("day", "ts").alias("sent"), F.col("value").alias("score"), "event_id")
 

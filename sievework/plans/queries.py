@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.plans import queries_metrics
+from sievework.plans import queries_metrics, queries_tables
 
-_PARTS = (queries_metrics,)
+_PARTS = (queries_metrics, queries_tables)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: q for part in _PARTS for name, q in part.SQL.items()}
