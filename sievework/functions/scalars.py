@@ -54,11 +54,12 @@ def is_gold(columns: list[str]) -> Column:
     return out
 
 
-def confidence(mean: Column, std: Column, floor: float = 0.15, missing: float = 0.5) -> Column:
-    """Weight of a cell from how far its sources agree and how decided they are."""
+def confidence(mean: Column, std: Column, floor: float = 0.15) -> Column:
+    """Weight of a cell from how far its sources agree and how decided they are; without values, both count as 0.5."""
+    mean, std = F.coalesce(mean, F.lit(0.5)), F.coalesce(std, F.lit(0.5))
     clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     w = 0.5 * clip(1 - 2 * std) + 0.5 * clip(2 * F.abs(mean - 0.5))
-    return F.coalesce(F.greatest(F.lit(floor), F.least(F.lit(1.0), w)), F.lit(missing))
+    return F.greatest(F.lit(floor), F.least(F.lit(1.0), w))
 
 
 def weighting(tr: Column, te: Column, seq: Column, desc: Column, long_te: float = 60.0, short_tr: float = 800.0) -> Column:

@@ -106,7 +106,7 @@ def log_lines(files: DataFrame, column: str = "value") -> DataFrame:
     whole = F.from_json(column, f"array<{entry}>")
     loose = F.transform(F.split(column, "\n"), lambda x: F.regexp_replace(x, r"^\s*,+|,+\s*$", ""))
     each = F.transform(loose, lambda x: F.coalesce(F.from_json(x, entry)["data"], F.when(~F.trim(x).isin("", "[", "]"), x)))
-    whole = F.when(F.size(F.filter(whole, lambda x: x["data"].isNotNull())) > 0, F.transform(whole, lambda x: x["data"]))
+    whole = F.when(F.col(column).rlike(r"^\s*\[") & (F.size(F.filter(whole, lambda x: x["data"].isNotNull())) > 0), F.transform(whole, lambda x: x["data"]))
     data = F.coalesce(whole, each)
     return files.select(F.posexplode(data).alias("entry", "data")).where("data is not null").select("entry", F.posexplode(F.split("data", "\n")).alias("at", "line")).where("line <> ''")
 

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-CONF = "coalesce(greatest(0.15, least(1.0, 0.5 * greatest(0, least(1, 1 - 2 * {s})) + 0.5 * greatest(0, least(1, 2 * abs({m} - 0.5))))), 0.5)"
+CONF = "greatest(0.15, least(1.0, 0.5 * greatest(0, least(1, 1 - 2 * coalesce({s}, 0.5))) + 0.5 * greatest(0, least(1, 2 * abs(coalesce({m}, 0.5) - 0.5)))))"
 
 
 @query(f"WITH {SOURCES_SQL}, c AS (SELECT uid, label, avg(value) AS mean, stddev_pop(value) AS std, count(value) AS n_sources FROM sources GROUP BY uid, label) SELECT uid, label, round(mean, 9) AS mean, round(std, 9) AS std, n_sources, round({CONF.format(s='std', m='mean')}, 9) AS w FROM c")
