@@ -49,9 +49,28 @@ def place(items: list[tuple], shards: int) -> list[int]:
         at = int(np.argmax(dot))
         rest[at] -= v
         out[i] = at
+    _even(sizes[:, 0], out, shards)
     return out
 
 
+def _even(size: np.ndarray, where: list[int], shards: int, moves: int = 1000) -> None:
+    """Evens the bytes out where the three sizes pulled apart: the item nearest to half the gap goes from the fullest to the
+    emptiest shard, as long as that narrows it."""
+    place = np.array(where)
+    total = np.bincount(place, weights=size, minlength=shards)
+    for _ in range(moves):
+        high, low = int(total.argmax()), int(total.argmin())
+        gap = total[high] - total[low]
+        mine = np.flatnonzero(place == high)
+        best = mine[np.abs(size[mine] - gap / 2).argmin()] if len(mine) else None
+        if best is None or not 0 < size[best] < gap:
+            break
+        place[best] = low
+        total[high] -= size[best]
+        total[low] += size[best]
+    where[:] = place.tolist()
+
+
 def pack(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, n_tokens, shard, slot."""
     spark = docs.sparkSession
