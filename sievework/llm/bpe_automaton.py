@@ -73,18 +73,15 @@ class Automaton:
             self.right[w] = ((w, always), *((x, min(time, until)) for x, until in self.right[v]))
             self.left[w] = ((w, always), *((t, min(time, until)) for t, until in self.left[u]))
         self.ids = {t: i for t, i in vocabulary.items() if i in self.left}
-        # The labels as a transition table over bytes: (node, byte) to node, and the token that ends at a node.
-        self.step: dict[int, int] = {}
-        self.ends_at: list[int] = [-1]
-        for label, i in self.ids.items():
-            node = 0
-            for byte in label:
-                key = node << 8 | byte
-                if (to := self.step.get(key)) is None:
-                    to = self.step[key] = len(self.ends_at)
-                    self.ends_at.append(-1)
-                node = to
-            self.ends_at[node] = i
+        # The sizes of labels by their first bytes (three where there are so many), longest first.
+        sizes: dict[bytes, set[int]] = {}
+        for label in self.ids:
+            sizes.setdefault(label[:3], set()).add(len(label))
+        for head in [h for h in sizes if len(h) == 3]:
+            sizes[head] |= {k for k in (1, 2) if head[:k] in self.ids}
+        for head in [h for h in sizes if len(h) == 2]:
+            sizes[head].add(1)
+        self.sizes = {h: tuple(sorted(x, reverse=True)) for h, x in sizes.items()}
 
     def _arc(self, u: int, t: int) -> bool:
         gadget = self.gadget
@@ -98,7 +95,7 @@ class Automaton:
         """Whether the state behind token u has an arc for token t."""
         key = u << 32 | t
         if (found := self.known.get(key)) is None:
-            if len(self.known) >= 500_000:
+            if len(self.known) >= 200_000:
                 self.known.clear()
             found = self.known[key] = self._arc(u, t)
         return found
@@ -107,69 +104,69 @@ class Automaton:
         """The one accepted sequence whose labels join to the word."""
         if (whole := self.ids.get(word)) is not None:
             return [whole]
-        step, ends_at, known, n = self.step.get, self.ends_at, self.known, len(word)
+        ids, sizes, known, n = self.ids.get, self.sizes, self.known, len(word)
         out: list[int] = []
-        open_: list[list[tuple[int, int]]] = []  # for each token so far, the shorter labels that are left to try
-        ends: list[int] = []  # where each token so far starts
+        starts: list[int] = []  # where each token so far starts, and which shorter labels are left to try there
+        left: list = []
         tried: set[tuple[int, int]] = set()
         at, last = 0, -1
+        here = None
         while at < n:
-            here, node, i = [], 0, at
-            while i < n and (node := step(node << 8 | word[i])) is not None:
-                i += 1
-                if (t := ends_at[node]) >= 0:
-                    here.append((i, t))
-            while True:
-                while here:
-                    end, t = here.pop()
-                    if last < 0:
-                        found = True
-                    elif (found := known.get(last << 32 | t)) is None:
-                        found = self.arc(last, t)
-                    if found and (end, t) not in tried:
-                        break
-                else:
-                    if not open_:
-                        raise ValueError("a byte of the text is not in the vocabulary")
-                    # No arc leads on behind the last token here: neither will it later.
-                    tried.add((at, out.pop()))
-                    here = open_.pop()
-                    last = out[-1] if out else -1
-                    at = ends.pop()
+            if here is None:
+                here = iter(sizes.get(word[at : at + 3]) or sizes.get(word[at : at + 2]) or (1,))
+            for size in here:
+                end = at + size
+                if end > n or (t := ids(word[at:end])) is None:
                     continue
-                break
-            out.append(t)
-            open_.append(here)
-            ends.append(at)
-            at, last = end, t
+                if last >= 0:
+                    if (found := known.get(last << 32 | t)) is None:
+                        found = self.arc(last, t)
+                    if not found:
+                        continue
+                if (end, t) not in tried:
+                    out.append(t)
+                    starts.append(at)
+                    left.append(here)
+                    at, last, here = end, t, None
+                    break
+            else:
+                if not out:
+                    raise ValueError("a byte of the text is not in the vocabulary")
+                # No arc leads on behind the last token here: neither will it later.
+                tried.add((at, out.pop()))
+                at, here = starts.pop(), left.pop()
+                last = out[-1] if out else -1
         return out
 
 
 class Kept(dict):
-    """A table of at most twice `most` entries: when it is full, what wasn't used lately goes."""
+    """A table that is filled on look-up, from an older table or by `make`."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, older: Kept | None = None):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.older = make, older
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
+        value = None if self.older is None else self.older.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
         return value
 
+    def bounded(self, most: int) -> Kept:
+        """This table, or a new one over it when it is full; what wasn't looked up for two turns is gone."""
+        if len(self) < most:
+            return self
+        self.older = None
+        return Kept(self.make, self)
+
 
 class Codec:
     """Encoder and decoder for one vocabulary file in the tokenizers library's format (byte-level BPE)."""
 
-    #: Words, and stretches of text, whose ids are kept.
-    MOST = 150_000
-
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, keep: int):
+        """keep: stretches of text whose ids are kept, up to twice as many for a while, and half as many words."""
+        self.keep = keep
         data = json.loads(file)
         alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
@@ -179,10 +176,15 @@ class Codec:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(PATTERN)
         self.labels = self.automaton.label | {i: t.encode() for t, i in self.special.items()}
-        self.words = Kept(lambda w: self.automaton.encode_word(w.encode("utf-8", "surrogatepass")), self.MOST)
-        self.stretches = Kept(self._ids, 2 * self.MOST)
+        self.words = Kept(lambda w: tuple(self.automaton.encode_word(w.encode("utf-8", "surrogatepass"))))
+        self.stretches = Kept(self._ids)
         self.decimal = {i: str(i) for i in self.labels}
 
+    def forget(self) -> None:
+        """Frees what was kept of texts."""
+        self.words, self.stretches = Kept(self.words.make), Kept(self.stretches.make)
+        self.automaton.known.clear()
+
     def _ids(self, text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text))))
 
@@ -196,6 +198,7 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
+        self.words, self.stretches = self.words.bounded(self.keep // 2), self.stretches.bounded(self.keep)
         if self.split_special is None or not any(s in text for s in self.special):
             done = self._plain(text)
         else:
@@ -213,24 +216,27 @@ class Codec:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(digest: bytes, file: bytes) -> Codec:
-    return Codec(file)
+    return Codec(file, 0)
 
 
-def codec(file: bytes) -> Codec:
+def codec(file: bytes, keep: int = 240_000) -> Codec:
     """One codec per worker process and vocabulary."""
-    return _codec(hashlib.sha256(file).digest(), file)
+    out = _codec(hashlib.sha256(file).digest(), file)
+    out.keep = keep
+    return out
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text."""
+def encode(docs: DataFrame, vocabulary: str, keep: int = 80_000) -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text. keep: see Codec; a larger table is faster and takes more memory."""
     file = docs.sparkSession.sparkContext.broadcast(local_file(vocabulary))
 
     def rows(it):
-        c = codec(file.value)
+        c = codec(file.value, keep)
         for doc_id, text in it:
             yield doc_id, c.encode(text)
+        c.forget()
 
     return map_rows(columns_only(docs, "doc_id", "text"), rows, "doc_id long, ids array<int>", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 

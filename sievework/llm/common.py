@@ -50,7 +50,7 @@ def columns_only(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{seen.get(n, lower.get(n.lower()))}").alias(n) for n in names))
 
 
-def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+def in_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most `most` rows from tuples."""
     part: list[tuple] = []
     for row in rows:
@@ -66,13 +66,27 @@ def _batch(part: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here are whole texts: where the session has Arrow's default of 10,000 rows a batch, 1,000 are sent at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def row_stream(batches: Iterable[pa.RecordBatch], at_once: int = 200) -> Iterator[tuple]:
+    """Rows as tuples; only a slice of a batch is held as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, at_once).columns))
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], ddl: str, arrow: pa.Schema) -> DataFrame:
     """fn over the rows of each partition as a stream of tuples, batched by Arrow; nothing of a partition is held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        yield from in_batches(fn(rows), arrow)
+        yield from in_batches(fn(row_stream(batches)), arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, ddl)
 
 

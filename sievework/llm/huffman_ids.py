@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.llm.common import columns_only, local_file, map_rows, written
+from sievework.llm.common import columns_only, in_batches, local_file, map_rows, row_stream, small_batches, written
 
 MAX_BITS = 16
 STRIDE = 256
@@ -216,6 +216,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> D
                 ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x + end for x in ids], pa.binary())], schema=_TOKENS)
 
+    small_batches(docs.sparkSession)
     return columns_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -271,17 +272,14 @@ def write_ids(tokens: DataFrame, path: str) -> None:
 
     ordered = tokens.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
     numbered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
-    small_batches(numbered, rows).write.parquet(f"{path}/blocks")
+    one_at_a_time(numbered, rows).write.parquet(f"{path}/blocks")
 
 
-def small_batches(df: DataFrame, fn) -> DataFrame:
+def one_at_a_time(df: DataFrame, fn) -> DataFrame:
     """Blocks leave a task one at a time, so only one is held."""
 
     def run(batches):
-        from sievework.llm.common import in_batches
-
-        stream = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        yield from in_batches(fn(stream), _BLOCK_ARROW, 1)
+        yield from in_batches(fn(row_stream(batches)), _BLOCK_ARROW, 1)
 
     return df.mapInArrow(run, _BLOCK_DDL)
 

@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import columns_only, map_rows
+from sievework.llm.common import columns_only, map_rows, small_batches
 
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 ROUNDS = 10
@@ -289,9 +289,12 @@ def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
 
     def run(batches):
         names = pseudonyms(secret)
-        for b in batches:
-            columns = list(b.columns)
-            columns[at] = pa.array([None if t is None else replaced(t, names)[0] for t in columns[at].to_pylist()], type=b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
-
+        for whole in batches:
+            for first in range(0, whole.num_rows, 200):
+                b = whole.slice(first, 200)
+                columns = list(b.columns)
+                columns[at] = pa.array([None if t is None else replaced(t, names)[0] for t in columns[at].to_pylist()], type=b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

@@ -18,8 +18,6 @@ document clean; extra columns are ignored, or kept by `keep_clean`.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,7 +43,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word to 64-bit hash; emptied when it holds too many words, so its memory is bounded."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -54,11 +52,6 @@ class WordHashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
 def scheme(t: int) -> tuple[int, int]:
     """k and w that guarantee a fingerprint in every shared span of t words."""
     k = (t + 1) // 2
@@ -86,8 +79,8 @@ def fingerprints(hashes: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     return kept, gram[kept]
 
 
-def _hash_row(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+def _hash_row(words: list[bytes], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 _PRINTS_DDL = "item_id long, t int, print long, at int, words array<binary>"
@@ -103,12 +96,13 @@ def _context(words: list[bytes], place: int, t: int) -> tuple[int, list[bytes]]:
 
 def _item_prints(items: DataFrame) -> DataFrame:
     def rows(it):
+        known = WordHashes()
         for item_id, text in it:
             words = words_of(text)
             if not words:
                 continue
             t = min(WINDOW, len(words))
-            for place, h in zip(*(x.tolist() for x in fingerprints(_hash_row(words), t))):
+            for place, h in zip(*(x.tolist() for x in fingerprints(_hash_row(words, known), t))):
                 at, around = _context(words, place, t)
                 yield item_id, t, h - (h >> 63 << 64), at, around
 
@@ -135,10 +129,10 @@ def _doc_prints(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFr
     known = docs.sparkSession.sparkContext.broadcast(bits)
 
     def rows(it):
-        have = known.value
+        have, hashed = known.value, WordHashes()
         for doc_id, key, text in it:
             words = words_of(text)
-            hashes = _hash_row(words)
+            hashes = _hash_row(words, hashed)
             hits = [_NONE]  # one row of each document has no fingerprint: it counts the document
             for t in lengths:
                 places, prints = fingerprints(hashes, t)
