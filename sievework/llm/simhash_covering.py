@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed, columns_only, connected_components, drop_listed, map_rows, text_key, written
+from sievework.llm.common import BROADCAST_ROWS, checkpointed, columns_only, connected_components, drop_listed, lookup, map_rows, text_key, written
 
 RADIUS = 3
 #: Members of a bucket that one task compares with each other.
@@ -159,17 +159,105 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return components(prints, radius).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with all its columns; of repeated rows one stays."""
-    found = near_duplicates(docs, shingle, radius)
-    named = checkpointed(found.select("doc_id", "text_key", "component_id"))
-    kept = drop_listed(docs, named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    again = checkpointed(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+def _nearest(rows: DataFrame, radius: int) -> DataFrame:
+    """(mask, key, fp, node), whole buckets together and in order: for each node the nearest one of a smaller number."""
+
+    def pick(fps: list[int], nodes: list[int]):
+        order = np.argsort(np.array(nodes, np.int64), kind="stable")
+        f, n = np.array(fps, np.int64).view(np.uint64)[order], np.array(nodes, np.int64)[order]
+        for i in range(1, len(f)):
+            d = np.bitwise_count(f[:i] ^ f[i])
+            at = int(d.argmin())
+            if d[at] <= radius and n[at] < n[i]:
+                yield int(n[i]), int(n[at]), int(d[at])
+
+    def run(it):
+        bucket, fps, nodes = None, [], []
+        for mask, key, fp, node in it:
+            if (mask, key) != bucket:
+                if len(fps) > 1:
+                    yield from pick(fps, nodes)
+                bucket, fps, nodes = (mask, key), [], []
+            fps.append(fp)
+            nodes.append(node)
+        if len(fps) > 1:
+            yield from pick(fps, nodes)
+
+    schema = pa.schema([("node", pa.int64()), ("earlier", pa.int64()), ("bits", pa.int32())])
+    return map_rows(rows, run, "node long, earlier long, bits int", schema)
+
+
+def nearest_earlier(nodes: DataFrame, radius: int, most: int = MOST) -> DataFrame:
+    """(node, fp), one row per text, to (node, earlier, bits): the node of smaller number whose fingerprint is nearest, of
+    equals the smallest, if it is within `radius` bits. Large buckets are split as in `links`; where no bits are left to
+    split by, the members differ in at most `radius` bits, and each is led to the bucket's first."""
+    spark = nodes.sparkSession
+    table = masks(radius)
+    rows = nodes.select("node", "fp", F.explode(F.array(*(F.lit(signed(m)) for m in table))).alias("mask")).withColumn("key", F.expr("mask & fp"))
+    out = None
+    while True:
+        sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
+        wide = F.bit_count(F.bitwise_not("mask")) > radius
+        shared = lookup(rows, sizes, ["mask", "key"], "inner", 300_000)
+        small = shared.where((F.col("n") <= most) & wide).select("mask", "key", "fp", "node")
+        found = _nearest(small.repartition("mask", "key").sortWithinPartitions("mask", "key", "node"), radius)
+        star = shared.where(~wide & (F.col("node") != F.col("first"))).select("node", F.col("first").alias("earlier"), F.lit(radius).alias("bits"))
+        out = found.unionByName(star) if out is None else out.unionByName(found).unionByName(star)
+        large = checkpointed(sizes.where((F.col("n") > most) & wide).select("mask", "key"))
+        heads = large.select("mask").distinct().collect()
+        if not heads:
+            return out.groupBy("node").agg(F.min_by(F.struct("earlier", "bits"), F.struct("bits", "earlier")).alias("b")).select("node", "b.*")
+        finer = spark.createDataFrame([(r.mask, [signed(x) for x in _blocks(r.mask & ALL, radius + 1)]) for r in heads], "mask long, finer array<long>")
+        members = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask")
+        rows = checkpointed(members.select("node", "fp", F.explode("finer").alias("mask")).withColumn("key", F.expr("mask & fp")).distinct())
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) to (node, shingles): the distinct XXH64 values of a text's shingles."""
+
+    def rows(it):
+        for node, text in it:
+            words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+            parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+            yield node, sorted({signed(xxhash.xxh64_intdigest(p, 42)) for p in parts})
+
+    return map_rows(texts, rows, "node long, shingles array<long>", pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 3) -> DataFrame:
+    """One document of each group of copies, with all its columns.
+
+    Of equal texts the smallest doc_id stays. A text goes if the text of a smaller doc_id whose fingerprint is nearest, within
+    `radius` bits, shares at least `similarity` of their word shingles (Jaccard, exact). As each such text leads to an
+    earlier one, the first of each chain stays. Fingerprints are of shorter shingles than the similarity: they differ in
+    fewer bits for the same edits. A null doc_id comes last.
+    """
+    number = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    prints = written(fingerprints(docs, print_shingle).withColumn("node", number), "simhash")
+    # One node per text, named by its smallest doc_id; texts of one id are told apart by their key.
+    first = checkpointed(prints.groupBy("text_key").agg(F.min(F.struct("node", "fp")).alias("m")).select("text_key", F.col("m.node").alias("node"), F.col("m.fp").alias("fp")))
+    texts = checkpointed(first.groupBy("node").agg(F.min(F.struct("text_key", "fp")).alias("m")).select("node", "m.text_key", "m.fp"))
+    pairs = checkpointed(nearest_earlier(texts.select("node", "fp"), radius))
+    wanted = checkpointed(pairs.select(F.explode(F.array("node", "earlier")).alias("node")).distinct().join(texts, "node").select("node", F.col("text_key").alias("_key")))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keyed = docs.select(number.alias("node"), text_key(F.col("text")).alias("_key"), "text")
+    bodies = keyed.join(F.broadcast(wanted) if few else wanted, ["node", "_key"], "left_semi")
+    sets = written(_shingle_sets(bodies.select("node", "text"), shingle).dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("earlier"), F.col("shingles").alias("_s")), "earlier")
+    shared = F.size(F.array_intersect("shingles", "_s"))
+    alike = both.where(shared >= similarity * (F.size("shingles") + F.size("_s") - shared)).select("node")
+    gone = checkpointed(alike.join(texts, "node").select("text_key"))
+    # Listed: every row of a text that goes, and of the texts that stay all rows but those of their first id.
+    least = first.select("text_key", F.col("node").alias("first"))
+    listed = prints.join(gone.withColumn("_gone", F.lit(True)), "text_key", "left").join(least, "text_key")
+    listed = listed.where(F.coalesce("_gone", F.lit(False)) | (F.col("node") != F.col("first"))).select("doc_id", "text_key")
+    kept = drop_listed(docs, listed)
+    again = checkpointed(prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():
         return kept
     twice = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
     once = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    return once.unionByName(twice.dropDuplicates(["doc_id"]))
+    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def digest(result: DataFrame) -> DataFrame:
