@@ -154,7 +154,8 @@ def language_vote(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("uid"), text.language_vote(F.col("text")).alias("lang"))
 
 
-PROBES = {"en": r"\bthe\b|\bwith\b", "fr": r"\bles\b|\bdans\b", "de": r"\bund\b|\bnicht\b", "es": r"\blos\b|\bpara\b"}
+#: A word's bounds are characters that aren't letters of any script, which engines agree on (they don't on \\b).
+PROBES = {k: rf"(^|\P{{L}})({words})(\P{{L}}|$)" for k, words in {"en": "the|with", "fr": "les|dans", "de": "und|nicht", "es": "los|para"}.items()}
 
 
 @query("SELECT " + ", ".join(f"count(*) FILTER (regexp_matches(lower(coalesce(text, '')), '{p}')) AS n_{k}" for k, p in PROBES.items()) + " FROM documents")
@@ -355,13 +356,13 @@ def slice_order(spark, d):
     return catalog.slice_order(s, "uid", "position", "instance", "ord").select("uid", "ord", F.col("place").cast("long").alias("place"))
 
 
-_GOOD = f"{SERIES_SQL}, r AS (SELECT uid, ord, n_slices > 15 AS good, row_number() OVER (PARTITION BY uid ORDER BY ord) - 1 AS place FROM series)"
+_GOOD = f"{SERIES_SQL}, r AS (SELECT uid, ord, n_slices > 15 AS good, row_number() OVER (PARTITION BY uid ORDER BY ord, n_slices) - 1 AS place FROM series)"
 
 
-@query(f"WITH {_GOOD} SELECT a.uid, a.ord, first(b.place ORDER BY abs(b.place - a.place), b.place) AS source FROM r a LEFT JOIN r b ON b.uid = a.uid AND b.good GROUP BY a.uid, a.ord")
+@query(f"WITH {_GOOD} SELECT a.uid, a.ord, first(b.place ORDER BY abs(b.place - a.place), b.place) AS source FROM r a LEFT JOIN r b ON b.uid = a.uid AND b.good GROUP BY a.uid, a.ord, a.place")
 def nearest_good(spark, d):
     """F5"""
-    s = series(spark, d).select("uid", "ord", (F.col("n_slices") > 15).alias("good"), (F.row_number().over(W.partitionBy("uid").orderBy("ord")) - 1).cast("long").alias("place"))
+    s = series(spark, d).select("uid", "ord", (F.col("n_slices") > 15).alias("good"), (F.row_number().over(W.partitionBy("uid").orderBy("ord", "n_slices")) - 1).cast("long").alias("place"))
     return catalog.nearest_good(s, ["uid"], "place", "good").select("uid", "ord", "source")
 
 
