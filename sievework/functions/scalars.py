@@ -62,14 +62,20 @@ def confidence(mean: Column, std: Column, floor: float = 0.15) -> Column:
     return F.greatest(F.lit(floor), F.least(F.lit(1.0), w))
 
 
+#: Tokens in series names (fixed values).
+FAT_SAT_TOKENS = ("fs", "fatsat", "fat_sat", "stir", "spir", "spair", "tirm", "dixon", "chess", "sat", "supp")
+FLUID_TOKENS = ("t2", "stir", "pd", "dess", "spair", "spir", "tirm")
+GRADIENT_ECHO_TOKENS = ("gre", "dess", "medic", "flash")
+
+
 def weighting(tr: Column, te: Column, seq: Column, desc: Column, long_te: float = 60.0, short_tr: float = 800.0) -> Column:
     """Contrast class of a series from its times and names: gradient echo by name first, names where times are missing."""
-    from sievework.functions.text import has_token
-
-    name = F.concat_ws(" ", seq, desc)
-    gre = has_token(name, ["gre", "fisp", "flash", "medic", "dess"])
-    by_name = F.when(has_token(name, ["t1"]), "T1").when(has_token(name, ["t2"]), "T2").when(has_token(name, ["pd", "dp"]), "PD").otherwise("UNK")
-    return F.when(gre, "GRE").when(tr.isNull() | te.isNull(), by_name).when(tr <= short_tr, "T1").when(te >= long_te, "T2").otherwise("PD")
+    seq, desc = F.lower(F.coalesce(seq, F.lit(""))), F.lower(F.coalesce(desc, F.lit("")))
+    echo = seq.contains("gr")
+    for t in GRADIENT_ECHO_TOKENS:
+        echo = echo | desc.contains(t)
+    by_name = F.when(desc.contains("t1"), "T1").when(desc.contains("t2"), "T2").when(desc.contains("pd"), "PD").otherwise("unknown")
+    return F.when(echo, "GRE").when(tr.isNull() | te.isNull(), by_name).when(tr <= short_tr, "T1").when(te >= long_te, "T2").otherwise("PD")
 
 
 def cross(iop: Column) -> list[Column]:
@@ -79,10 +85,10 @@ def cross(iop: Column) -> list[Column]:
 
 
 def plane(iop: Column) -> Column:
-    """Sagittal, coronal or axial by the largest component of the normal, the first of equals; null without six numbers."""
+    """Sagittal, coronal or axial by the largest component of the normal, the first of equals; unknown without six numbers."""
     x, y, z = (F.abs(c) for c in cross(iop))
-    kind = F.when((x >= y) & (x >= z), "SAG").when(y >= z, "COR").otherwise("AX")
-    return F.when(F.size(iop) == 6, kind)
+    kind = F.when((x >= y) & (x >= z), "Sagittal").when(y >= z, "Coronal").otherwise("Axial")
+    return F.when(F.size(iop) == 6, kind).otherwise("unknown")
 
 
 def centre_x(ipp: Column, iop: Column, ps: Column, rows: Column, cols: Column) -> Column:
@@ -94,8 +100,8 @@ def position(ipp: Column, iop: Column, kind: Column) -> Column:
     """Place of a slice along its normal; sagittal slices along x, others with the normal turned to its larger sign."""
     n = cross(iop)
     dot = sum((ipp[i] * n[i] for i in range(3)), F.lit(0.0))
-    lead = F.when(kind == "COR", n[1]).otherwise(n[2])
-    return F.when(kind == "SAG", ipp[0]).otherwise(F.when(lead < 0, -dot).otherwise(dot))
+    lead = F.when(kind == "Coronal", n[1]).otherwise(n[2])
+    return F.when(kind == "Sagittal", ipp[0]).otherwise(F.when(lead < 0, -dot).otherwise(dot))
 
 
 def mask(columns: list[str]) -> Column:

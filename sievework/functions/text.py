@@ -16,12 +16,17 @@ def text_group(text: Column) -> Column:
     return F.substring(F.md5(F.lower(stripped(F.coalesce(text, F.lit("")))).cast("binary")), 1, 16)
 
 
-#: Frequent words by language (fixed values of our own choice); each is counted with a blank on both sides.
+#: Frequent words by language (fixed values); each is counted with a blank on both sides.
 STOPWORDS = {
-    "en": ("the", "and", "of", "to", "in"),
-    "fr": ("le", "la", "de", "et", "les"),
-    "de": ("der", "die", "und", "ist", "den"),
-    "es": ("el", "los", "que", "en", "del"),
+    "en": ("the", "and", "with", "no", "of"),
+    "de": ("und", "der", "kein", "mit", "nicht"),
+    "nl": ("en", "van", "geen", "het", "met"),
+    "fr": ("et", "le", "pas", "avec", "des"),
+    "es": ("y", "el", "sin", "con", "del"),
+    "it": ("e", "il", "non", "con", "del"),
+    "pt": ("e", "do", "sem", "com", "da"),
+    "ru": ("и", "не", "в", "на", "без"),
+    "el": ("και", "της", "με", "χωρίς", "του"),
 }
 
 
@@ -46,7 +51,7 @@ def has_token(text: Column, tokens: list[str]) -> Column:
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[- ]", "")
     out = F.lit(False)
     for t in tokens:
-        out = out | flat.contains(t)
+        out = out | flat.contains(t.replace("_", ""))
     return out
 
 

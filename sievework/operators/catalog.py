@@ -42,7 +42,8 @@ def profile(series: DataFrame, uid: str, medians: dict[str, Column], flags: dict
     return series.groupBy(uid).agg(*aggs)
 
 
-#: A slot: its name, plane, and the strict and the relaxed condition as SQL over a series `r` (plane, fluid, fat_sat, weighting).
+#: A slot: its name, plane, and the strict and the relaxed condition as SQL over a series `r` (plane, fluid, fat_sat,
+#: weighting). The six below are fixed values.
 Slot = tuple[str, str, str, str]
 SLOTS: tuple[Slot, ...] = (
     ("SAG_FLUID_FS", "Sagittal", "r.fluid and r.fat_sat", "r.fluid"),

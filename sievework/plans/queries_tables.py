@@ -187,12 +187,12 @@ def url_rules(spark, d):
     return t.select("page_id", text.url_tail(F.col("url"), "https://").alias("alias"), scalars.classified(F.col("url"), [("^https://www", "www"), ("#top$", "top"), (r"\.html", "html")]).alias("kind"))
 
 
-@query(f"WITH {SERIES_SQL} SELECT uid, ord, CASE WHEN contains(lower(replace(replace(coalesce(plane, '') || weighting, '-', ''), ' ', '')), 'gre') THEN 'GRE' WHEN spacing * 1000 <= 300 THEN 'T1' WHEN n_slices * 2 >= 60 THEN 'T2' ELSE 'PD' END AS weighting, CASE WHEN plane IN ('Sagittal', 'Coronal') THEN plane ELSE 'OTHER' END AS plane FROM series")
+@query(f"WITH {SERIES_SQL} SELECT uid, ord, CASE WHEN contains(lower(plane), 'gr') THEN 'GRE' WHEN spacing * 1000 <= 300 THEN 'T1' WHEN n_slices * 2 >= 60 THEN 'T2' ELSE 'PD' END AS weighting, weighting = 'T2' AS fluid, CASE WHEN plane IN ('Sagittal', 'Coronal') THEN plane ELSE 'OTHER' END AS plane FROM series")
 def weighting_rules(spark, d):
     """B6, B7, B14"""
     s = series(spark, d)
     w = scalars.weighting(F.col("spacing") * 1000, F.col("n_slices") * 2.0, F.col("plane"), F.col("weighting"), 60.0, 300.0)
-    return s.select("uid", "ord", w.alias("weighting"), scalars.trusted(F.col("plane"), ["Sagittal", "Coronal"], F.lit("OTHER")).alias("plane"))
+    return s.select("uid", "ord", w.alias("weighting"), text.has_token(F.col("weighting"), list(scalars.FLUID_TOKENS)).alias("fluid"), scalars.trusted(F.col("plane"), ["Sagittal", "Coronal"], F.lit("OTHER")).alias("plane"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, TRY_CAST(trim(string_split(c, ':')[1]) AS DOUBLE) AS code, CASE lower(trim(l_linestatus)) WHEN '1' THEN 1 WHEN 'o' THEN NULL END AS flag, floor(q + 1e-9) + round_even((q - floor(q + 1e-9)) * 10, 0) AS part FROM (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN '.: Missing' ELSE (l_suppkey % 5) || '.' || (l_partkey % 4) || ': text' END AS c, (l_suppkey % 5) + (l_partkey % 4) / 10.0::DOUBLE AS q FROM lineitem)")
@@ -204,7 +204,7 @@ def coded_cells(spark, d):
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scalars.coded(c).alias("code"), scalars.flag(F.col("l_linestatus")).alias("flag"), scalars.split_code(q).alias("part"))
 
 
-@query("SELECT vec_id AS uid, CASE WHEN x >= y AND x >= z THEN 'SAG' WHEN y >= z THEN 'COR' ELSE 'AX' END AS plane, round(e[7] + e[1] * 256 / 2 * 0.5 + e[4] * 256 / 2 * 0.5, 6) AS centre_x, round(1 / (1 + exp(-e[10])), 9) AS p FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, abs(embedding[2]::DOUBLE * embedding[6] - embedding[3]::DOUBLE * embedding[5]) AS x, abs(embedding[3]::DOUBLE * embedding[4] - embedding[1]::DOUBLE * embedding[6]) AS y, abs(embedding[1]::DOUBLE * embedding[5] - embedding[2]::DOUBLE * embedding[4]) AS z FROM embeddings)")
+@query("SELECT vec_id AS uid, CASE WHEN x >= y AND x >= z THEN 'Sagittal' WHEN y >= z THEN 'Coronal' ELSE 'Axial' END AS plane, round(e[7] + e[1] * 256 / 2 * 0.5 + e[4] * 256 / 2 * 0.5, 6) AS centre_x, round(1 / (1 + exp(-e[10])), 9) AS p FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, abs(embedding[2]::DOUBLE * embedding[6] - embedding[3]::DOUBLE * embedding[5]) AS x, abs(embedding[3]::DOUBLE * embedding[4] - embedding[1]::DOUBLE * embedding[6]) AS y, abs(embedding[1]::DOUBLE * embedding[5] - embedding[2]::DOUBLE * embedding[4]) AS z FROM embeddings)")
 def header_geometry(spark, d):
     """B8, B9, B27"""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), F.transform("embedding", lambda v: v.cast("double")).alias("e"))

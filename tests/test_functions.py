@@ -110,8 +110,10 @@ def test_scalars(spark):
     assert one(scalars.coded(F.lit(".: Missing"))) is None
     assert [one(scalars.flag(F.lit(x))) for x in ("", "nan", "1", " TRUE ", "no", "7")] == [None, None, 1, 1, 0, None]
     assert one(scalars.split_code(F.lit(2.1))) == 3
-    assert one(scalars.plane(F.array(*(F.lit(float(x)) for x in (0, 1, 0, 0, 0, 1))))) == "SAG"
-    assert one(scalars.plane(F.array(F.lit(1.0)))) is None
+    assert one(scalars.plane(F.array(*(F.lit(float(x)) for x in (0, 1, 0, 0, 0, 1))))) == "Sagittal"
+    assert one(scalars.plane(F.array(F.lit(1.0)))) == "unknown"
+    w = lambda tr, te, seq, desc: one(scalars.weighting(F.lit(tr).cast("double"), F.lit(te).cast("double"), F.lit(seq), F.lit(desc)))
+    assert [w(500, 90, "SE", ""), w(3000, 90, "SE", ""), w(3000, 20, "SE", ""), w(500, 9, "GR", ""), w(500, 9, "SE", "dess"), w(None, 9, "SE", "sag T2"), w(None, None, None, None)] == ["T1", "T2", "PD", "GRE", "GRE", "T2", "unknown"]
     assert one(scalars.confidence(F.lit(None).cast("double"), F.lit(None).cast("double"))) == 0.15
 
 
