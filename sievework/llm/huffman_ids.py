@@ -141,9 +141,11 @@ class Encoder:
 
     MOST = 250_000
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, kind: str = "<u4"):
+        """kind: the integers in which ids are given, of two or four bytes."""
         from tokenizers import Tokenizer
 
+        self.kind = kind
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -168,17 +170,17 @@ class Encoder:
         texts = {s: s.decode("utf-8", "replace") for s in plain}
         # Stretches of letters alone are one word each: joined, they are one text, and each ends with a word-end token.
         letters = [s for s, t in texts.items() if t.isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(map(texts.__getitem__, letters))], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(map(texts.__getitem__, letters))], add_special_tokens=False)[0].ids, self.kind)
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) == len(letters):
             known.update((s, ids[a:b].tobytes()) for s, a, b in zip(letters, [0, *ends], ends))
         rest = [s for s in plain if s not in known]
         done = self.tokenizer.encode_batch_fast(list(map(texts.__getitem__, rest)), add_special_tokens=False)
-        known.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(rest, done))
+        known.update((s, np.array(e.ids, self.kind).tobytes()) for s, e in zip(rest, done))
         known.update((s, known[s[:-1]] + known[s[-1:]]) for s in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers."""
         split = []
         for t in texts:
             raw = t.encode("utf-8", "replace")
@@ -192,24 +194,31 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(digest: bytes, file: bytes) -> Encoder:
-    return Encoder(file)
+def _encoder(digest: bytes, file: bytes, kind: str) -> Encoder:
+    return Encoder(file, kind)
 
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def tokenise(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids as little-endian unsigned 32-bit integers), the end id appended to each document."""
+def id_kind(vocabulary: str, end_id: int | None) -> str:
+    """Two bytes where they hold every id, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id or 0, *Tokenizer.from_file(vocabulary).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def tokenise(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids as little-endian unsigned integers of a kind), the end id appended to each document."""
     file = docs.sparkSession.sparkContext.broadcast(local_file(vocabulary))
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    end = b"" if end_id is None else end_id.to_bytes(int(kind[2]), "little")
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         data = file.value
-        encoder = _encoder(hashlib.sha256(data).digest(), data)
+        encoder = _encoder(hashlib.sha256(data).digest(), data, kind)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -220,13 +229,13 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> D
     return columns_only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str = "<u4") -> DataFrame:
     """(id, n) over the whole corpus; each task sends one row per id that it saw."""
 
     def rows(it):
         total = np.zeros(0, np.int64)
         for (ids,) in it:
-            c = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            c = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
             if len(c) > len(total):
                 total = np.pad(total, (0, len(c) - len(total)))
             total += c
@@ -240,11 +249,11 @@ _BLOCK_DDL = "part int, block int, n long, before long, doc_ids array<long>, siz
 _BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int64()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("checkpoints", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
-def write_ids(tokens: DataFrame, path: str) -> None:
+def write_ids(tokens: DataFrame, path: str, kind: str = "<u4") -> None:
     """Writes (doc_id, ids), a table that is cheap to read twice, in the module's format."""
     spark = tokens.sparkSession
     # At most a vocabulary's rows reach the driver.
-    counts = sorted((r.id, r.n) for r in id_counts(tokens).collect())
+    counts = sorted((r.id, r.n) for r in id_counts(tokens, kind).collect())
     lengths = np.zeros(counts[-1][0] + 1 if counts else 1, np.uint8)
     lengths[[i for i, _ in counts]] = package_merge([n for _, n in counts])
     spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in counts], pa.int64()), "bits": pa.array(lengths[[i for i, _ in counts]].tolist(), pa.int32())}).to_pandas(), "id long, bits int").coalesce(1).write.parquet(f"{path}/lengths")
@@ -259,7 +268,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
             return part, block, n, before, docs, sizes, checkpoints.tolist(), bits
 
         for part, doc_id, raw in it:
-            x = np.frombuffer(raw, "<u4")
+            x = np.frombuffer(raw, kind)
             docs.append(doc_id)
             sizes.append(len(x))
             ids.append(x)
@@ -314,7 +323,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = END_ID) -> None:
-    write_ids(written(tokenise(docs, vocabulary, end_id), "ids"), path)
+    kind = id_kind(vocabulary, end_id)
+    write_ids(written(tokenise(docs, vocabulary, end_id, kind), "ids"), path, kind)
 
 
 def digest(read: DataFrame) -> DataFrame:
