@@ -18,8 +18,10 @@ are ignored, or kept by `keep_one`; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import random
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from sievework.llm.common import BROADCAST_ROWS, checkpointed, columns_only, con
 RADIUS = 3
 #: Members of a bucket that one task compares with each other.
 MOST = 2048
+#: Fingerprints, texts and shingles of a block in `keep_one`; a task compares two blocks at most.
+BLOCK_PRINTS, BLOCK_TEXTS, BLOCK_SHINGLES = 1 << 14, 1024, 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ALL = (1 << 64) - 1
 
@@ -159,59 +163,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return components(prints, radius).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def _nearest(rows: DataFrame, radius: int) -> DataFrame:
-    """(mask, key, fp, node), whole buckets together and in order: for each node the nearest one of a smaller number."""
-
-    def pick(fps: list[int], nodes: list[int]):
-        order = np.argsort(np.array(nodes, np.int64), kind="stable")
-        f, n = np.array(fps, np.int64).view(np.uint64)[order], np.array(nodes, np.int64)[order]
-        for i in range(1, len(f)):
-            d = np.bitwise_count(f[:i] ^ f[i])
-            at = int(d.argmin())
-            if d[at] <= radius and n[at] < n[i]:
-                yield int(n[i]), int(n[at]), int(d[at])
-
-    def run(it):
-        bucket, fps, nodes = None, [], []
-        for mask, key, fp, node in it:
-            if (mask, key) != bucket:
-                if len(fps) > 1:
-                    yield from pick(fps, nodes)
-                bucket, fps, nodes = (mask, key), [], []
-            fps.append(fp)
-            nodes.append(node)
-        if len(fps) > 1:
-            yield from pick(fps, nodes)
-
-    schema = pa.schema([("node", pa.int64()), ("earlier", pa.int64()), ("bits", pa.int32())])
-    return map_rows(rows, run, "node long, earlier long, bits int", schema)
-
-
-def nearest_earlier(nodes: DataFrame, radius: int, most: int = MOST) -> DataFrame:
-    """(node, fp), one row per text, to (node, earlier, bits): the node of smaller number whose fingerprint is nearest, of
-    equals the smallest, if it is within `radius` bits. Large buckets are split as in `links`; where no bits are left to
-    split by, the members differ in at most `radius` bits, and each is led to the bucket's first."""
-    spark = nodes.sparkSession
-    table = masks(radius)
-    rows = nodes.select("node", "fp", F.explode(F.array(*(F.lit(signed(m)) for m in table))).alias("mask")).withColumn("key", F.expr("mask & fp"))
-    out = None
-    while True:
-        sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
-        wide = F.bit_count(F.bitwise_not("mask")) > radius
-        shared = lookup(rows, sizes, ["mask", "key"], "inner", 300_000)
-        small = shared.where((F.col("n") <= most) & wide).select("mask", "key", "fp", "node")
-        found = _nearest(small.repartition("mask", "key").sortWithinPartitions("mask", "key", "node"), radius)
-        star = shared.where(~wide & (F.col("node") != F.col("first"))).select("node", F.col("first").alias("earlier"), F.lit(radius).alias("bits"))
-        out = found.unionByName(star) if out is None else out.unionByName(found).unionByName(star)
-        large = checkpointed(sizes.where((F.col("n") > most) & wide).select("mask", "key"))
-        heads = large.select("mask").distinct().collect()
-        if not heads:
-            return out.groupBy("node").agg(F.min_by(F.struct("earlier", "bits"), F.struct("bits", "earlier")).alias("b")).select("node", "b.*")
-        finer = spark.createDataFrame([(r.mask, [signed(x) for x in _blocks(r.mask & ALL, radius + 1)]) for r in heads], "mask long, finer array<long>")
-        members = rows.join(large, ["mask", "key"], "left_semi").join(F.broadcast(finer), "mask")
-        rows = checkpointed(members.select("node", "fp", F.explode("finer").alias("mask")).withColumn("key", F.expr("mask & fp")).distinct())
-
-
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, text) to (node, shingles): the distinct XXH64 values of a text's shingles."""
 
@@ -224,29 +175,117 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return map_rows(texts, rows, "node long, shingles array<long>", pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 3) -> DataFrame:
+def _meeting(rows: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Deals the `parts` blocks of each key by a hash of `by`; each two blocks i <= j of a key meet as (key, i, j), in order.
+    A pair of rows of one key meets at least once, and no task holds more than two blocks, however large the key is."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(by), "parts"))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    met = dealt.withColumn("at", F.explode(meet)).select(*key, "at.i", "at.j", *(c for c in dealt.columns if c not in (*key, "parts")))
+    return met.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
+
+
+def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS) -> DataFrame:
+    """As `links`, but buckets of more than `block` members are dealt to blocks: rows grow with members / `block`, where a split
+    by `radius` + 1 blocks of bits would multiply those of close fingerprints at each level."""
+    rows = distinct.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp").withColumn("key", F.expr("mask & fp"))
+    sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1").select("mask", "key", F.ceil(F.col("n") / block).alias("parts")))
+    met = _meeting(lookup(rows, sizes, ["mask", "key"], "inner", 300_000), ["mask", "key"], "fp")
+
+    def run(it):
+        for _, whole in groupby(it, key=lambda r: r[:4]):
+            for part in parts_within(np.unique(np.array([r[4] for r in whole], np.int64).view(np.uint64)), radius):
+                part = part.view(np.int64).tolist()
+                yield from ((part[(i - 1) // 2], part[i]) for i in range(1, len(part)))
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return checkpointed(map_rows(met.select("mask", "key", "i", "j", "fp"), run, "a long, b long", schema).distinct())
+
+
+def _candidates(texts: DataFrame, radius: int, block: int) -> DataFrame:
+    """(node, text_key, fp), one row per text, to (node, text_key, grp) of the texts that are not alone in their group: groups
+    are connected by chains of fingerprints at most `radius` bits apart, so every pair within `radius` bits shares one."""
+    distinct = checkpointed(texts.select("fp").distinct())
+    joined = checkpointed(connected_components(close_links(distinct, radius, block)).withColumnsRenamed({"node": "fp", "component": "grp"}))
+    grouped = lookup(texts, joined, ["fp"]).select("node", "text_key", F.coalesce("grp", "fp").alias("grp"))
+    several = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"))
+    return checkpointed(lookup(grouped, several, ["grp"], "inner").select("node", "text_key", "grp"))
+
+
+def alike_within(blocks: list[int], sets: list[np.ndarray], similarity: float):
+    """Links (i, j) that connect exactly the sets which chains of Jaccard similarity of `similarity` and more connect. With
+    two blocks only links from one to the other count. Two such sets share one of the rarest values of each (a prefix filter)."""
+    sizes, block = np.array([len(s) for s in sets]), np.array(blocks)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    once = int(np.count_nonzero(often == 1))
+    values = [np.sort(x) for x in np.split(rank[code], np.cumsum(sizes)[:-1])]
+    # The rarest values come first; those that only one set has lead to no other.
+    firsts = [v[: len(v) - math.ceil(similarity * len(v) - 1e-9) + 1] for v in values]
+    firsts = [v[v >= once] for v in firsts]
+    value, owner = np.concatenate(firsts), np.repeat(np.arange(len(sets)), [len(v) for v in firsts])
+    order = np.lexsort((owner, value))
+    owner, starts = owner[order], np.searchsorted(value[order], np.arange(len(often) + 1))
+    part, mine, cross = np.arange(len(sets)), np.zeros(len(often), bool), block.min() != block.max()
+    for i in range(1, len(sets)):
+        if not len(firsts[i]):
+            continue
+        near = np.concatenate([owner[starts[v] : starts[v + 1]] for v in firsts[i]])
+        near = near[(near < i) & (part[near] != part[i])]
+        near = near[(sizes[near] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[near])]
+        near = np.unique(near[block[near] != block[i]] if cross else near)
+        mine[values[i]] = True
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            shared = int(np.count_nonzero(mine[values[j]]))
+            if shared >= similarity * (sizes[i] + sizes[j] - shared):
+                yield j, i
+                part[part == part[j]] = part[i]
+                near = near[part[near] != part[i]]
+        mine[values[i]] = False
+
+
+def verified_links(sets: DataFrame, similarity: float, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(node, grp, shingles) to links (a, b) that connect exactly the nodes of each group which chains of pairs of `similarity`
+    and more connect. Large groups are dealt to blocks, and each two blocks meet in a task, which returns a tree of links."""
+    count = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("m"))
+    parts = checkpointed(count.select("grp", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("m") / block_shingles)).alias("parts")))
+    met = _meeting(lookup(sets, parts, ["grp"], "inner"), ["grp"], "node").select("grp", "i", "j", "node", "block", "shingles")
+
+    def run(it):
+        for _, whole in groupby(it, key=lambda r: r[:3]):
+            nodes, blocks, values = [], [], []
+            for *_, node, block, shingles in whole:
+                nodes.append(node)
+                blocks.append(block)
+                values.append(np.array(shingles, np.int64))
+            yield from ((nodes[a], nodes[b]) for a, b in alike_within(blocks, values, similarity))
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return map_rows(met, run, "a long, b long", schema)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 3, block: int = BLOCK_PRINTS) -> DataFrame:
     """One document of each group of copies, with all its columns.
 
-    Of equal texts the smallest doc_id stays. A text goes if the text of a smaller doc_id whose fingerprint is nearest, within
-    `radius` bits, shares at least `similarity` of their word shingles (Jaccard, exact). As each such text leads to an
-    earlier one, the first of each chain stays. Fingerprints are of shorter shingles than the similarity: they differ in
-    fewer bits for the same edits. A null doc_id comes last.
+    Of equal texts the smallest doc_id stays. Chains of fingerprints at most `radius` bits apart make candidate groups; in
+    each, all pairs that share at least `similarity` of their word shingles (Jaccard, exact) are linked, and of each connected
+    component of these links the smallest doc_id stays. Fingerprints are of shorter shingles than the similarity: they differ
+    in fewer bits for the same edits. A null doc_id comes last.
     """
     number = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     prints = written(fingerprints(docs, print_shingle).withColumn("node", number), "simhash")
     # One node per text, named by its smallest doc_id; texts of one id are told apart by their key.
     first = checkpointed(prints.groupBy("text_key").agg(F.min(F.struct("node", "fp")).alias("m")).select("text_key", F.col("m.node").alias("node"), F.col("m.fp").alias("fp")))
     texts = checkpointed(first.groupBy("node").agg(F.min(F.struct("text_key", "fp")).alias("m")).select("node", "m.text_key", "m.fp"))
-    pairs = checkpointed(nearest_earlier(texts.select("node", "fp"), radius))
-    wanted = checkpointed(pairs.select(F.explode(F.array("node", "earlier")).alias("node")).distinct().join(texts, "node").select("node", F.col("text_key").alias("_key")))
+    groups = _candidates(texts, radius, block)
+    wanted = groups.select("node", F.col("text_key").alias("_key"))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = docs.select(number.alias("node"), text_key(F.col("text")).alias("_key"), "text")
     bodies = keyed.join(F.broadcast(wanted) if few else wanted, ["node", "_key"], "left_semi")
-    sets = written(_shingle_sets(bodies.select("node", "text"), shingle).dropDuplicates(["node"]), "shingles")
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("earlier"), F.col("shingles").alias("_s")), "earlier")
-    shared = F.size(F.array_intersect("shingles", "_s"))
-    alike = both.where(shared >= similarity * (F.size("shingles") + F.size("_s") - shared)).select("node")
-    gone = checkpointed(alike.join(texts, "node").select("text_key"))
+    sets = written(lookup(_shingle_sets(bodies.select("node", "text"), shingle).dropDuplicates(["node"]), groups.select("node", "grp"), ["node"], "inner"), "shingles")
+    linked = connected_components(checkpointed(verified_links(sets, similarity)))
+    gone = checkpointed(linked.where("node <> component").join(texts, "node").select("text_key"))
     # Listed: every row of a text that goes, and of the texts that stay all rows but those of their first id.
     least = first.select("text_key", F.col("node").alias("first"))
     listed = prints.join(gone.withColumn("_gone", F.lit(True)), "text_key", "left").join(least, "text_key")
