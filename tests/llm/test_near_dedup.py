@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("sievework.llm")
@@ -65,3 +66,29 @@ def test_one_of_each_component_stays(spark):
     got = {r.doc_id for r in simhash_covering.keep_one(df).collect()}
     assert 0 in got and not {1, 2} & got
     assert got == kept_by_all_pairs(texts)
+
+
+def test_large_buckets_lose_no_pair(spark):
+    """Where a bucket holds more than a block of fingerprints within the radius, its texts are compared as before."""
+    texts = families(2)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DDL)
+    assert {r.doc_id for r in simhash_covering.keep_one(df, block=2).collect()} == kept_by_all_pairs(texts)
+
+
+@pytest.mark.parametrize("block_texts", [1024, 7])
+def test_blocks_of_one_fingerprint_link_exactly(spark, block_texts):
+    """Many texts of one fingerprint, the first of them like none: each links to those it is like, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    centres = [rng.integers(0, 1 << 60, 100) for _ in range(3)]
+    sets = [rng.integers(0, 1 << 60, 100)]
+    for k in range(80):
+        x = centres[k % 3].copy()
+        x[rng.choice(100, k % 13, replace=False)] = rng.integers(0, 1 << 60, k % 13)
+        sets.append(x[: rng.integers(70, 101)])
+    sets.append(sets[0][:85])
+    rows = [(i, 0, sorted(map(int, set(s.tolist())))) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, grp long, shingles array<long>").repartition(3)
+    got = {(r.a, r.b) for r in simhash_covering.verified_links(df, 0.8, block_texts).collect()}
+    plain = [set(r[2]) for r in rows]
+    assert all(alike(plain[a], plain[b]) for a, b in got)
+    assert roots(len(rows), lambda i, j: (i, j) in got or (j, i) in got) == roots(len(rows), lambda i, j: alike(plain[i], plain[j]))
