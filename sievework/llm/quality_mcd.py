@@ -10,8 +10,8 @@ counted in fixed logarithmic bins, each bin keeps the moments of its rows, and t
 row give the next centre and scatter. So a step is one grouped sum over (group, start, bin), whatever the group's size: no
 group is gathered, sampled or sorted, and the only things per group are at most BINS rows of moments.
 
-Groups of fewer than `least` documents are pooled by language, and what is left then over all. Where even that pool is
-smaller, the base rule decides alone.
+Groups of fewer than `least` documents that pass the base rule use the estimate of all documents of their language, and where
+that has fewer, too, the estimate of the whole corpus. Only in a corpus of less than half as many does the base rule decide alone.
 
 Cases: a null text has no words, so it fails the base rule, as do empty and very short texts; null language or source is a
 group value of its own; repeated rows count as often as they stand; ties in distance fall into one bin together; features
@@ -119,14 +119,18 @@ def features() -> dict[str, Column]:
 
 
 def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """Adds `pool`, the group whose estimate a row uses: its language and source, its language, or all."""
-    fine = F.concat_ws("\x1f", F.lit("s"), F.coalesce("lang", F.lit("\x1e")), F.coalesce("source", F.lit("\x1e")))
-    rows = rows.withColumn("fine", fine)
-    n = checkpointed(rows.groupBy("lang", "fine").agg(F.count("*").alias("n")))
-    small = n.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("m"))
-    named = n.join(small.select(F.col("lang").alias("l2"), "m"), n["lang"].eqNullSafe(F.col("l2")), "left")
-    pool = F.when(F.col("n") >= least, F.col("fine")).when(F.col("m") >= least, F.concat_ws("\x1f", F.lit("l"), F.coalesce("lang", F.lit("\x1e")))).otherwise("all")
-    return lookup(rows, checkpointed(named.select("fine", pool.alias("pool"))), ["fine"]).drop("fine")
+    """Adds `pool`, the group whose estimate a row uses: its language and source, its language, or all; and `pools`, the
+    groups to whose estimates it belongs. Those of languages and of all hold all their rows, and are made where one is used."""
+    lang = F.coalesce("lang", F.lit("\x1e"))
+    rows = rows.withColumn("fine", F.concat_ws("\x1f", F.lit("s"), lang, F.coalesce("source", F.lit("\x1e"))))
+    n = checkpointed(rows.groupBy("fine", F.concat_ws("\x1f", F.lit("l"), lang).alias("wide")).agg(F.count_if(~F.col("base_failed")).alias("n")))
+    m = n.groupBy("wide").agg(F.sum("n").alias("m"), (F.min("n") < least).alias("used"))
+    total = n.agg(F.sum("n").alias("total"))
+    far = m.agg(F.bool_or(F.col("used") & (F.col("m") < least)).alias("far"))
+    named = n.join(m, "wide").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(far))
+    own, next_, last = F.when(F.col("n") >= least, F.col("fine")), F.when(F.col("m") >= least, F.col("wide")), F.when(F.col("total") >= least // 2, F.lit("all"))
+    made = F.array_compact(F.array(own, F.when(F.col("used"), next_), F.when(F.col("far"), last)))
+    return lookup(rows, checkpointed(named.select("fine", F.coalesce(own, next_, last, F.lit("none")).alias("pool"), made.alias("pools"))), ["fine"]).drop("fine")
 
 
 def _distance2(center: str = "center", inverse: str = "inverse") -> Column:
@@ -257,8 +261,7 @@ def quality(docs: DataFrame, cut: float = 36.0, least: int = 100, share: float =
     """
     stats = written(document_statistics(docs), "quality")
     rows = _pools(stats.withColumns(features()), least)
-    fit = mcd(rows.where(~F.col("base_failed")).select("pool", *FEATURES), share)
-    fit = fit.where(F.col("n") >= least // 2)
+    fit = mcd(rows.where(~F.col("base_failed")).select(F.explode("pools").alias("pool"), *FEATURES), share)
     judged = lookup(rows, fit.select("pool", "center", "inverse"), ["pool"])
     p = len(FEATURES)
     junk = sum((F.pow(F.greatest(F.col(f) - F.col("center")[i], F.lit(0.0)), 2) * F.col("inverse")[i * p + i] for i, f in enumerate(FEATURES) if i >= 2), F.lit(0.0))
