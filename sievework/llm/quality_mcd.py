@@ -106,7 +106,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features() -> dict[str, Column]:
-    """The transformed vector: sizes on a log scale, shares as they are; each grows with one kind of junk but the first two."""
+    """The transformed vector: sizes on a log scale, shares as they are; each grows with one kind of junk but the first two, and f1 tells of junk both ways."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return {
         "f0": F.log(words.cast("double") + 1),
@@ -257,14 +257,15 @@ def quality(docs: DataFrame, cut: float = 36.0, least: int = 100, share: float =
 
     cut: the squared distance beyond which a document goes; at six features 36 is far beyond any quantile of a normal
     sample, as clean texts have long tails. Of that distance at least half must come from features f2 to f5 being above the
-    centre, so that long or short words and texts alone don't reject.
+    centre, or from f1 on either side (words far too long or short), so that long or short texts alone don't reject.
     """
     stats = written(document_statistics(docs), "quality")
     rows = _pools(stats.withColumns(features()), least)
     fit = mcd(rows.where(~F.col("base_failed")).select(F.explode("pools").alias("pool"), *FEATURES), share)
     judged = lookup(rows, fit.select("pool", "center", "inverse"), ["pool"])
     p = len(FEATURES)
-    junk = sum((F.pow(F.greatest(F.col(f) - F.col("center")[i], F.lit(0.0)), 2) * F.col("inverse")[i * p + i] for i, f in enumerate(FEATURES) if i >= 2), F.lit(0.0))
+    off = {f: F.col(f) - F.col("center")[i] for i, f in enumerate(FEATURES)}
+    junk = sum((F.pow(off[f] if i == 1 else F.greatest(off[f], F.lit(0.0)), 2) * F.col("inverse")[i * p + i] for i, f in enumerate(FEATURES) if i >= 1), F.lit(0.0))
     d2 = _distance2()
     rejected = F.coalesce((d2 > cut) & (junk > cut / 2), F.lit(False))
     return judged.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), F.round(d2, 6).alias("distance2"), "text_key")

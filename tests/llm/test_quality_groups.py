@@ -34,3 +34,14 @@ def test_junk_in_small_groups_is_judged(spark):
     got = kept(spark, rows)
     assert not any(got[i] for i in range(at, end))
     assert sum(got[i] for i in range(at)) >= 0.99 * at
+
+
+def test_extreme_word_length_is_junk(spark):
+    rng = random.Random(5)
+    rows = [(" ".join(clean(rng, rng.randrange(30, 300))), "en", "s") for _ in range(300)]
+    rows += [(" ".join("".join(clean(rng, 60)) for _ in range(12)), "en", "s") for _ in range(8)]
+    rows += [(" ".join("".join(clean(rng, 40))), "en", "s") for _ in range(8)]
+    rows += [(" ".join(clean(rng, n)), "en", "s") for n in (15, 20, 3000, 9000)]
+    got = kept(spark, rows)
+    assert not any(got[i] for i in range(300, 316))
+    assert all(got[i] for i in range(316, 320)) and sum(got[i] for i in range(300)) >= 297
