@@ -55,10 +55,29 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
+def folded(path: Column) -> Column:
+    """A path from the root without its segments . and .. (RFC 3986, 5.2.4)."""
+    empty = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    names = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(names, empty, step), "/"))
+
+
 def absolute(link: Column, base: Column) -> Column:
-    """A link of a page as a whole URL: links with a scheme, without one (//host), and from the host's root (/path)."""
+    """A link of a page as a whole URL: links with a scheme, without one (//host), from the host's root (/path), and from the
+    page's own place (name, ./name, ../name, ?query). Null for other schemes (mailto:) and for places within the page."""
     link = F.regexp_replace(link, "&amp;", "&")
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(F.lit("http://"), host_of(base), link))
+    root = F.concat(F.lit("http://"), host_of(base))
+    name, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    at = F.regexp_extract(path_of(base), r"(?s)^.*/", 0)
+    near = F.concat(root, folded(F.concat(F.when(at == "", "/").otherwise(at), name)), rest)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(link.startswith("/"), F.concat(root, F.when(name.rlike(r"/\.\.?(/|$)"), folded(name)).otherwise(name), rest))
+        .when(link.startswith("?"), F.concat(root, path_of(base), link))
+        .when(~link.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#)") & (link != ""), near)
+    )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
