@@ -1,9 +1,10 @@
 """Token ids in canonical, length-limited Huffman code.
 
 Code lengths come from the counts of all ids of the corpus by package-merge (Larmore and Hirschberg, 1990), at most MAX_BITS
-bits; codes are canonical, so the lengths alone are the table. The ids of consecutive documents, in ascending doc_id order,
+bits, or as many as the number of distinct ids needs (then a decoding table has up to twice as many entries as there are ids);
+codes are canonical, so the lengths alone are the table. The ids of consecutive documents, in ascending doc_id order,
 form blocks; a block is decoded on its own. Within a block, the bit offset of every STRIDE-th id is kept as a checkpoint, so
-a reader can enter there, and decoding runs from all checkpoints in step: one look at MAX_BITS bits gives an id and its
+a reader can enter there, and decoding runs from all checkpoints in step: one look at as many bits as the longest code has gives an id and its
 length by table.
 
 File format: Parquet in a folder `blocks`, a row per block: part and block number, number of ids, ids before it in its
@@ -21,9 +22,10 @@ first; an empty table gives no blocks and an empty result; a corpus of one disti
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -79,13 +81,14 @@ class Code:
     def __init__(self, lengths: np.ndarray):
         self.length = lengths.astype(np.uint64)
         self.code = np.zeros(len(lengths), np.uint64)
-        self.symbol = np.zeros(1 << MAX_BITS, np.uint32)
-        self.bits = np.zeros(1 << MAX_BITS, np.uint8)
+        self.width = max(1, int(lengths.max(initial=0)))
+        self.symbol = np.zeros(1 << self.width, np.uint32)
+        self.bits = np.zeros(1 << self.width, np.uint8)
         at = 0
         ids = np.nonzero(lengths)[0]
         for i in ids[np.lexsort((ids, lengths[ids]))].tolist():
-            size = 1 << (MAX_BITS - int(lengths[i]))
-            self.code[i] = at >> (MAX_BITS - int(lengths[i]))
+            size = 1 << (self.width - int(lengths[i]))
+            self.code[i] = at >> (self.width - int(lengths[i]))
             self.symbol[at : at + size] = i
             self.bits[at : at + size] = lengths[i]
             at += size
@@ -120,7 +123,7 @@ class Code:
                 at = at[:live]
             word, bit = at >> np.uint64(6), at & np.uint64(63)
             window = words[word] << bit | words[word + np.uint64(1)] >> np.uint64(1) >> (np.uint64(63) - bit)
-            window >>= np.uint64(64 - MAX_BITS)
+            window >>= np.uint64(64 - self.width)
             out[k, :live] = self.symbol[window]
             at = at + self.bits[window]
         return out.T.ravel()[:n] if n % STRIDE == 0 else np.concatenate([out[:, :-1].T.ravel(), out[: n % STRIDE, -1]])
@@ -131,12 +134,54 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _MARKS = frozenset(b".,;:!?")
 
 
+def _byte_names() -> dict[int, str]:
+    """What the vocabulary calls each byte that isn't printable ASCII, as a table for str.translate over Latin-1."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Words(dict):
+    """Stretches of text between white space to their ids, filled on look-up.
+
+    The library's model takes words as its own normaliser and splitter would hand them over: lower-case letters in composed
+    form are one word as they stand, and a mark behind a letter is a word of its own. All else goes through the whole
+    tokenizer. When the table is full, it becomes the older one of two.
+    """
+
+    def __init__(self, encoder: Encoder, older: dict):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, s: bytes) -> bytes:
+        if (ids := self.older.get(s)) is None:
+            ids = self._made(s)
+        self[s] = ids
+        return ids
+
+    def _made(self, s: bytes) -> bytes:
+        word = self.encoder.word
+        if word is not None:
+            if s.isalpha() and s.islower():
+                return word(s.decode())
+            if len(s) > 1 and s[-1] in _MARKS:
+                if s[-2] in _LETTERS or s[-2] > 127 and s[:-1].decode("utf-8", "replace")[-1:].isalpha():
+                    return self[s[:-1]] + self[s[-1:]]
+            text = s.decode("utf-8", "replace")
+            if text.isalpha() and text.islower() and is_normalized("NFC", text):
+                return word(s.decode("latin-1").translate(_NAMES))
+        return self.encoder.whole(s.decode("utf-8", "replace"))
+
+
+_NAMES = _byte_names()
+
+
 class Encoder:
     """The tokenizers library on stretches between white space, which no word of the vocabulary's pattern crosses; the ids
     of stretches are kept in a bounded table.
 
     The vocabulary lower-cases, so A-Z are lowered before the look-up, but for texts with combining marks (which could
-    compose with another letter) or what may be a special token. A mark behind a letter is a word of its own.
+    compose with another letter) or what may be a special token.
     """
 
     MOST = 250_000
@@ -145,52 +190,34 @@ class Encoder:
         """kind: the integers in which ids are given, of two or four bytes."""
         from tokenizers import Tokenizer
 
-        self.kind = kind
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or "\0"
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        known.update((s, older[s]) for s in new if s in older)
-        plain, marked = set(), []
-        for s in new:
-            if s not in known:
-                if len(s) > 1 and s[-1] in _MARKS and s[-2] in _LETTERS:
-                    marked.append(s)
-                    plain.update(x for x in (s[:-1], s[-1:]) if x not in known)
-                else:
-                    plain.add(s)
-        texts = {s: s.decode("utf-8", "replace") for s in plain}
-        # Stretches of letters alone are one word each: joined, they are one text, and each ends with a word-end token.
-        letters = [s for s, t in texts.items() if t.isalpha()]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(map(texts.__getitem__, letters))], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-        if len(ends) == len(letters):
-            known.update((s, ids[a:b].tobytes()) for s, a, b in zip(letters, [0, *ends], ends))
-        rest = [s for s in plain if s not in known]
-        done = self.tokenizer.encode_batch_fast(list(map(texts.__getitem__, rest)), add_special_tokens=False)
-        known.update((s, np.array(e.ids, self.kind).tobytes()) for s, e in zip(rest, done))
-        known.update((s, known[s[:-1]] + known[s[-1:]]) for s in marked)
+        self.pack = {"<u2": "H", "<u4": "I"}[kind]
+        self.model = self.tokenizer.model
+        # Words go to the model directly only where that is seen to give the same.
+        self.word = self._word if all(self._word(w.encode().decode("latin-1").translate(_NAMES)) == self.whole(w) for w in ("probe", "naïveté", "æther", "слово", "a")) else None
+        self.known = Words(self, {})
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(word)])
+
+    def whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers."""
-        split = []
+        out = []
         for t in texts:
+            if len(self.known) > self.MOST:
+                self.known = Words(self, dict(self.known))
             raw = t.encode("utf-8", "replace")
-            split.append((raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.translate(_LOWER)).split())
-        used = set(chain.from_iterable(split))
-        if len(self.known) > self.MOST:
-            self.older, self.known = self.known, {}
-        self._learn(used.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+            parts = (raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.translate(_LOWER)).split()
+            out.append(b"".join(map(self.known.__getitem__, parts)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -255,7 +282,7 @@ def write_ids(tokens: DataFrame, path: str, kind: str = "<u4") -> None:
     # At most a vocabulary's rows reach the driver.
     counts = sorted((r.id, r.n) for r in id_counts(tokens, kind).collect())
     lengths = np.zeros(counts[-1][0] + 1 if counts else 1, np.uint8)
-    lengths[[i for i, _ in counts]] = package_merge([n for _, n in counts])
+    lengths[[i for i, _ in counts]] = package_merge([n for _, n in counts], max(MAX_BITS, (len(counts) - 1).bit_length()))
     spark.createDataFrame(pa.table({"id": pa.array([i for i, _ in counts], pa.int64()), "bits": pa.array(lengths[[i for i, _ in counts]].tolist(), pa.int32())}).to_pandas(), "id long, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     shared = spark.sparkContext.broadcast(lengths)
 

@@ -559,3 +559,11 @@ def test_url_rules_and_aliases(spark):
     assert again[8] == "block"
     assert url_equivalence.judge(df.where("false")).count() == 0
     assert url_equivalence.judge(df).count() == len(pages)
+
+
+def test_huffman_more_ids_than_16_bits_count(spark, tmp_path):
+    rows = [(k, np.arange(k * 1000, k * 1000 + 1500, dtype="<u4") % 70_000) for k in range(70)]
+    tokens = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in rows], "doc_id long, ids binary")
+    huffman_ids.write_ids(tokens, f"file://{tmp_path}/wide")
+    got = {r.doc_id: bytes(r.ids) for r in huffman_ids.read_ids(spark, f"file://{tmp_path}/wide").collect()}
+    assert got == {k: x.tobytes() for k, x in rows}
