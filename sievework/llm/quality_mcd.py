@@ -3,7 +3,10 @@
 Statistics of every whole text become a vector of five transformed features. For each language and source the minimum
 covariance determinant (MCD) gives a centre and a scatter that junk can't pull: deterministic starts (Hubert, Rousseeuw and
 Verdonck, 2012), concentration steps over all rows, one reweighting. A document whose Mahalanobis distance from its group
-exceeds the cut, in a direction that means junk, is rejected.
+exceeds the cut is rejected; the distance alone decides. The features are transformed so that it can: each tells of junk
+(word length both ways, shares of symbols, repeats, capitals and doubled words, which clean texts hold near zero), length of
+the text is none of them, and all are shrunk as if PRIOR_WORDS words of an ordinary text stood in front, so that the noise of
+short texts isn't taken for junk.
 
 The steps are Spark aggregations. A concentration step needs the h rows of smallest distance in each group: distances are
 counted in fixed logarithmic bins, each bin keeps the moments of its rows, and the bins below the one that holds the h-th
@@ -34,9 +37,13 @@ from sievework.llm.common import checkpointed, columns_only, drop_listed, lookup
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_adjacent")
-FEATURES = ("f0", "f1", "f2", "f3", "f4", "f5")
-#: Added to the variance of each feature: differences below these are not evidence of junk, and no scatter is singular.
-FLOOR = (0.35, 0.5, 0.06, 0.06, 0.06, 0.06)
+FEATURES = ("f1", "f2", "f3", "f4", "f5")
+#: Standard deviations whose squares are added to the variances, so that no scatter is singular where a feature hardly
+#: varies: a sixteenth of a word's length, and three words in a hundred; six for repeats, as one line that stands twice is no junk.
+FLOOR = (0.25, 0.03, 0.06, 0.03, 0.03)
+PRIOR_WORDS, PRIOR_LENGTH = 20, 5
+#: The quantile 1 - 1e-6 of chi-square with five degrees of freedom, that of squared distances in a normal sample.
+CUT = 35.888
 #: Distances are binned at BINS_PER_UNIT per unit of log distance, from 0 to BINS - 1.
 BINS, BINS_PER_UNIT = 400, 16
 STARTS = 3
@@ -106,14 +113,14 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def features() -> dict[str, Column]:
-    """The transformed vector: sizes on a log scale, shares as they are; each grows with one kind of junk but the first two, and f1 tells of junk both ways."""
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    """The transformed vector: word length on a log scale, and shares."""
+    words = F.col("n_words") + PRIOR_WORDS
+    letters = F.col("n_letters") + PRIOR_WORDS * PRIOR_LENGTH
     return {
-        "f0": F.log(words.cast("double") + 1),
-        "f1": F.log(chars / words) * 4,
+        "f1": F.log((F.col("word_chars") + PRIOR_WORDS * PRIOR_LENGTH) / words) * 4,
         "f2": F.least(F.col("n_symbols") / words, F.lit(4.0)),
-        "f3": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)) * 0.25 + F.col("n_repeat_words") / words,
-        "f4": F.col("n_upper") / F.greatest("n_letters", F.lit(1)),
+        "f3": F.col("n_dup_lines") / (F.col("n_lines") + 1) * 0.25 + F.col("n_repeat_words") / words,
+        "f4": F.col("n_upper") / letters,
         "f5": F.col("n_adjacent") / words,
     }
 
@@ -252,23 +259,18 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, reweigh_at: float
     return checkpointed(inner.mapInPandas(final, "pool string, n long, center array<double>, inverse array<double>"))
 
 
-def quality(docs: DataFrame, cut: float = 36.0, least: int = 100, share: float = 0.75) -> DataFrame:
+def quality(docs: DataFrame, cut: float = CUT, least: int = 100, share: float = 0.75) -> DataFrame:
     """One row per document: its statistics, base_failed, kept, distance2 (null without an estimate) and text_key.
 
-    cut: the squared distance beyond which a document goes; at six features 36 is far beyond any quantile of a normal
-    sample, as clean texts have long tails. Of that distance at least half must come from features f2 to f5 being above the
-    centre, or from f1 on either side (words far too long or short), so that long or short texts alone don't reject.
+    cut: the squared distance beyond which a document goes.
     """
     stats = written(document_statistics(docs), "quality")
     rows = _pools(stats.withColumns(features()), least)
     fit = mcd(rows.where(~F.col("base_failed")).select(F.explode("pools").alias("pool"), *FEATURES), share)
     judged = lookup(rows, fit.select("pool", "center", "inverse"), ["pool"])
-    p = len(FEATURES)
-    off = {f: F.col(f) - F.col("center")[i] for i, f in enumerate(FEATURES)}
-    junk = sum((F.pow(off[f] if i == 1 else F.greatest(off[f], F.lit(0.0)), 2) * F.col("inverse")[i * p + i] for i, f in enumerate(FEATURES) if i >= 1), F.lit(0.0))
-    d2 = _distance2()
-    rejected = F.coalesce((d2 > cut) & (junk > cut / 2), F.lit(False))
-    return judged.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), F.round(d2, 6).alias("distance2"), "text_key")
+    d2 = F.round(_distance2(), 6)
+    rejected = F.coalesce(d2 > cut, F.lit(False))
+    return judged.select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), d2.alias("distance2"), "text_key")
 
 
 def keep_quality(docs: DataFrame, **how) -> DataFrame:

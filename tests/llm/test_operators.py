@@ -152,8 +152,8 @@ def test_mcd_rejects_junk_and_keeps_clean(spark):
 def test_mcd_matches_a_direct_concentration(spark):
     """The binned, distributed estimate is as good as exact concentration steps from many random starts."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(500, 6)) * [0.5, 0.4, 0.05, 0.05, 0.05, 0.05] + [5, 6, 0.1, 0.1, 0.1, 0.1]
-    x[:60] += [0, 0, 2, 0, 1, 0]
+    x = rng.normal(size=(500, 5)) * [0.4, 0.05, 0.05, 0.05, 0.05] + [6, 0.1, 0.1, 0.1, 0.1]
+    x[:60] += [0, 2, 0, 1, 0]
     df = spark.createDataFrame([("p", *map(float, r)) for r in x], "pool string, " + ", ".join(f"{f} double" for f in quality_mcd.FEATURES))
     got = quality_mcd.mcd(df).first()
     floor = np.diag(np.square(quality_mcd.FLOOR))
@@ -167,10 +167,36 @@ def test_mcd_matches_a_direct_concentration(spark):
         det = np.linalg.slogdet(s)[1]
         best = min(best or (det, c), (det, c), key=lambda t: t[0])
     assert np.abs(np.array(got.center) - best[1]).max() < 0.06
-    d = np.einsum("ij,jk,ik->i", x - got.center, np.array(got.inverse).reshape(6, 6), x - got.center)
+    d = np.einsum("ij,jk,ik->i", x - got.center, np.array(got.inverse).reshape(5, 5), x - got.center)
     assert d[:60].min() > np.quantile(d[60:], 0.999)
 
 
+def test_quality_verdict_is_the_distance_from_a_trimmed_estimate(spark):
+    """Kept against a plain version: concentration from many starts over all rows, one reweighting, and the cut alone."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(15, 200))) for _ in range(400)]
+    texts += [" ".join(word() + "***" for _ in range(60)) for _ in range(20)] + [" ".join(word() * 9 for _ in range(60)) for _ in range(10)]
+    texts += [" ".join(" ".join(word())for _ in range(60)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'a' source")
+    got = quality_mcd.quality(docs).orderBy("doc_id")
+    x = np.array(got.select(*(c.alias(f) for f, c in quality_mcd.features().items())).collect())
+    floor, best = np.diag(np.square(quality_mcd.FLOOR)), None
+    for _ in range(20):
+        idx = np.random.default_rng(rng.randrange(1 << 30)).choice(len(x), 12, replace=False)
+        for _ in range(20):
+            c, s = x[idx].mean(0), np.cov(x[idx].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+            idx = np.argsort(d)[: int(0.75 * len(x))]
+        best = min(best or (np.linalg.slogdet(s)[1], idx), (np.linalg.slogdet(s)[1], idx), key=lambda t: t[0])
+    c, s = x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True) + floor
+    inner = x[np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c) <= 16]
+    c, s = inner.mean(0), np.cov(inner.T, bias=True) + floor
+    d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+    kept = [r.kept for r in got.collect()]
+    assert kept == (d <= quality_mcd.CUT).tolist() == [True] * 400 + [False] * 40
+
+
 def test_quality_cases(docs, empty):
     got = quality_mcd.digest(quality_mcd.quality(clashing(docs)))
     assert got.count() == docs.count()
