@@ -51,15 +51,17 @@ def masks(radius: int, seed: int = 1) -> tuple[int, ...]:
     return tuple(sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 1 << (radius + 1)))
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of the XXH64 values of all shingles, repeats included."""
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """The 64-bit SimHash of the XXH64 values of all shingles, repeats included, or of the distinct ones."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return 0
     if len(words) < shingle:
         pieces = [b" ".join(words)]
     else:
-        pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+        pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if shingle > 1 else words
+    if distinct:
+        pieces = set(pieces)
     h = np.array([xxhash.xxh64_intdigest(p, 42) for p in pieces], dtype="<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
@@ -68,10 +70,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False) -> DataFrame:
     rows = columns_only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
-    return map_rows(rows, lambda it: ((i, key, signed(fingerprint(t, shingle))) for i, key, t in it), "doc_id long, text_key long, fp long", schema)
+    return map_rows(rows, lambda it: ((i, key, signed(fingerprint(t, shingle, distinct))) for i, key, t in it), "doc_id long, text_key long, fp long", schema)
 
 
 def parts_within(members: np.ndarray, radius: int) -> list[np.ndarray]:
@@ -265,16 +267,17 @@ def verified_links(sets: DataFrame, similarity: float, block_texts: int = BLOCK_
     return map_rows(met, run, "a long, b long", schema)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 3, block: int = BLOCK_PRINTS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 6, print_shingle: int = 1, block: int = BLOCK_PRINTS) -> DataFrame:
     """One document of each group of copies, with all its columns.
 
     Of equal texts the smallest doc_id stays. Chains of fingerprints at most `radius` bits apart make candidate groups; in
     each, all pairs that share at least `similarity` of their word shingles (Jaccard, exact) are linked, and of each connected
-    component of these links the smallest doc_id stays. Fingerprints are of shorter shingles than the similarity: they differ
-    in fewer bits for the same edits. A null doc_id comes last.
+    component of these links the smallest doc_id stays. Fingerprints are of the distinct words, not of the similarity's shingles:
+    an edited word changes one of them and five of those, so near copies differ in fewer bits, and common words don't make
+    unrelated texts alike. A null doc_id comes last.
     """
     number = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    prints = written(fingerprints(docs, print_shingle).withColumn("node", number), "simhash")
+    prints = written(fingerprints(docs, print_shingle, distinct=True).withColumn("node", number), "simhash")
     # One node per text, named by its smallest doc_id; texts of one id are told apart by their key.
     first = checkpointed(prints.groupBy("text_key").agg(F.min(F.struct("node", "fp")).alias("m")).select("text_key", F.col("m.node").alias("node"), F.col("m.fp").alias("fp")))
     texts = checkpointed(first.groupBy("node").agg(F.min(F.struct("text_key", "fp")).alias("m")).select("node", "m.text_key", "m.fp"))
@@ -286,10 +289,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     sets = written(lookup(_shingle_sets(bodies.select("node", "text"), shingle).dropDuplicates(["node"]), groups.select("node", "grp"), ["node"], "inner"), "shingles")
     linked = connected_components(checkpointed(verified_links(sets, similarity)))
     gone = checkpointed(linked.where("node <> component").join(texts, "node").select("text_key"))
-    # Listed: every row of a text that goes, and of the texts that stay all rows but those of their first id.
-    least = first.select("text_key", F.col("node").alias("first"))
-    listed = prints.join(gone.withColumn("_gone", F.lit(True)), "text_key", "left").join(least, "text_key")
-    listed = listed.where(F.coalesce("_gone", F.lit(False)) | (F.col("node") != F.col("first"))).select("doc_id", "text_key")
+    # Rows are looked up by id and text, so one text's copies don't meet in one task.
+    keepers = first.join(gone, "text_key", "left_anti").select("node", "text_key")
+    listed = prints.join(keepers, ["node", "text_key"], "left_anti").select("doc_id", "text_key")
     kept = drop_listed(docs, listed)
     again = checkpointed(prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if again.isEmpty():

@@ -38,25 +38,41 @@ def test_pipeline(spark, tmp_path):
     docs = spark.createDataFrame(rows, DDL)
     kept = {r.doc_id for r in quality_mcd.quality(docs).where("kept").collect()}
     shingles = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))}
-    left, seen = {}, []
-    for i, t, *_ in sorted((r for r in rows if r[0] in kept), key=lambda r: r[0]):
-        fp = simhash_covering.fingerprint(t, 3)
-        if any(t == x for _, _, x in seen):
-            continue
-        near = min(((fp ^ f).bit_count(), j, x) for f, j, x in seen) if seen else (64, 0, "")
-        a, b = shingles(t), shingles(near[2])
-        if near[0] > 7 or len(a & b) < 0.8 * len(a | b):
-            left[i] = t
-        seen.append((fp, i, t))
+    # Near copies by all pairs of five-word shingle sets, independent of fingerprints: of each component the smallest id stays.
+    alive = sorted((r[:2] for r in rows if r[0] in kept), key=lambda r: r[0])
+    sets, root = [shingles(t) for _, t in alive], list(range(len(alive)))
+    for k in range(len(alive)):
+        for j in range(k):
+            if len(sets[j] & sets[k]) >= 0.8 * len(sets[j] | sets[k]) and root[j] != root[k]:
+                old, new = max(root[j], root[k]), min(root[j], root[k])
+                root = [new if r == old else r for r in root]
+    left = {i: t for k, (i, t) in enumerate(alive) if root[k] == k}
+    copies = {i: t for k, (i, t) in enumerate(alive) if root[k] != k}
     grams = {tuple(w[k : k + 10]) for _, t in bench for w in [winnowing.words_of(t)] for k in range(len(w) - 9)}
-    clean = {i: t for i, t in left.items() if not any(tuple(w[k : k + 10]) in grams for w in [winnowing.words_of(t)] for k in range(len(w) - 9))}
+    clean = {i: t for i, t in (left | copies).items() if not any(tuple(w[k : k + 10]) in grams for w in [winnowing.words_of(t)] for k in range(len(w) - 9))}
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     want = {i: lib.encode(secret_scan.redact(t, "[secret]"), add_special_tokens=False).ids for i, t in clean.items()}
-    assert got == want
+    # No document without a copy goes; of the copies at least nine in ten do, and all equal texts.
+    assert {i for i in left if i in want} <= set(got) and all(want[i] == ids for i, ids in got.items())
+    assert sum(i in got for i in copies) <= 0.1 * len(copies)
     assert not any(200 <= i < 210 or 300 <= i < 305 or 500 <= i < 700 for i in got) and sum(400 <= i < 405 for i in got) == 5
-    assert sum(700 <= i < 720 for i in got) <= 6
+
+
+def test_near_dedup_recall_on_the_tables(spark):
+    """Against all pairs of different texts at sf0.01 that share 0.8 of their five-word shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    first = {r.text: r.doc_id for r in docs.groupBy("text").agg({"doc_id": "min"}).toDF("text", "doc_id").collect()}
+    sets = {}
+    for t, i in first.items():
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r.doc_id for r in simhash_covering.keep_one(docs).select("doc_id").collect()}
+    assert len(pairs) >= 5 and sum(a in kept and b in kept for a, b in pairs) <= 0.1 * len(pairs)
+    assert {i for i in ids if not any(i in p for p in pairs)} <= kept
 
 
 def test_stages_keep_columns(spark, tmp_path):
