@@ -3,17 +3,22 @@
 The automaton reads tokens and accepts exactly the sequences that BPE makes. It starts as one state with a loop for each
 byte; each merge (u, v) -> w, in order, adds a gadget (Berglund, Martens and van der Merwe, 2024): the state that u leads to
 is copied without its arc for v, u's arcs are led to the copy, and every state that had an arc for u gets one for w, which
-leads to where v led. All arcs with one label lead to one state, so the automaton is held as its gadgets with their
-times, from which any arc is looked up in a few steps (`Automaton.arc`) and then kept in a bounded transition table; no
-table of states times tokens is held.
+leads to where v led. All arcs with one label lead to one state, so the state behind a sequence is that of its last token.
 
-A word has one accepted sequence. Encoding walks the arcs from the start state, longest label first, and backs up where no
-arc goes on; a position that failed once isn't tried again from the same state. Text is first split by the vocabulary's
-public pattern; stretches between single spaces are split and encoded once and then kept in a bounded table. Decoding
-emits the arcs' labels.
+Texts are bytes, so this automaton is compiled into a deterministic one over bytes. Every string has one accepted sequence,
+and so has each of its prefixes. A byte state is the set of labels that the bytes so far may be in the midst of, each
+with the token before it; its next byte moves on all labels, and of those that end there exactly one has an arc from the
+token before it: that is the last token of the prefix. The byte automaton's rows are made when they are first used, as its
+states are those that texts reach, and kept in a bounded table. Encoding a pre-split word is then one look-up per byte, and
+the last tokens, read from the end of the word, are its ids; nothing is searched. Decoding emits the arcs' labels.
+
+Text is first split by the vocabulary's public pattern; stretches between single spaces are split and encoded once and
+then kept in a bounded table.
 
 Cases: null is an empty text, which has no ids; special tokens in a text are themselves (as the tokenizers library does by
-default); repeated rows each get a result; extra columns are ignored; an empty table gives an empty table.
+default); a vocabulary in which two merges make one token is refused when it is read, and a byte that it lacks when it
+comes (ValueError; byte-level vocabularies have neither); repeated rows each get a result; extra columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ from sievework.llm.common import columns_only, local_file, map_rows
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Marks that end a stretch often; behind a letter each is a word of the pattern.
+_MARKS = frozenset(",.;:!?")
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in the vocabulary file: itself if printable, else the next code from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -44,22 +53,24 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Automaton:
-    """The states and arcs behind the merges; tokens are the file's ids.
+    """The states and arcs that the merges make, and the byte automaton over them; tokens are the file's ids.
 
-    All arcs with label u lead to one state. Its copies over time are: one for each gadget (u, v), in order; before u was
-    made by (a, b), those that b's state had by then; and so on down u's right spine. The newest copy is the state behind
-    u. Likewise an arc for a token goes back to its left side, where its state was copied after the token's merge. So there
-    is no arc for T behind u exactly if some gadget (x, t), x on u's right spine and t on T's left spine, fell into the
-    time in which both x's state and t's arc were the ones that count.
+    A token's arcs and state change as merges are added. The copies of the state behind u are: one for each gadget (u, v),
+    in order; before u was made by (a, b), those that b's state had by then; and so on down u's right spine. The newest copy is
+    the state behind u. Likewise an arc for a token goes back to its left side, where its state was copied after the token's
+    merge. So there is no arc for T behind u exactly if some gadget (x, t), x on u's right spine and t on T's left spine,
+    fell into the time in which both x's state and t's arc were the ones that count.
     """
 
+    #: States of the byte automaton that are kept; beyond that the table starts anew.
+    MOST = 250_000
+
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.label = {i: t for t, i in vocabulary.items()}
         always = 1 << 60
         self.right: dict[int, tuple] = {}  # token: its right spine, each with the time until which that state counts
         self.left: dict[int, tuple] = {}  # token: its left spine, each with the time until which that arc counts
         self.gadget: dict[tuple[int, int], int] = {}  # (u, v): the time at which the state behind u lost its arc for v
-        self.known: dict[int, bool] = {}
         for b in range(256):
             if (i := vocabulary.get(bytes([b]))) is not None:
                 self.right[i] = self.left[i] = ((i, always),)
@@ -67,23 +78,35 @@ class Automaton:
             u, v, w = vocabulary[a], vocabulary[b], vocabulary[a + b]
             if w in self.left:
                 raise ValueError("two merges make one token")
-            if u not in self.left or v not in self.left or not self._arc(u, v):
+            if u not in self.left or v not in self.left or not self.arc(u, v):
                 continue  # u and v never stand side by side: no gadget, and no arc for w
             self.gadget[u, v] = time
             self.right[w] = ((w, always), *((x, min(time, until)) for x, until in self.right[v]))
             self.left[w] = ((w, always), *((t, min(time, until)) for t, until in self.left[u]))
         self.ids = {t: i for t, i in vocabulary.items() if i in self.left}
-        # The sizes of labels by their first bytes (three where there are so many), longest first.
-        sizes: dict[bytes, set[int]] = {}
-        for label in self.ids:
-            sizes.setdefault(label[:3], set()).add(len(label))
-        for head in [h for h in sizes if len(h) == 3]:
-            sizes[head] |= {k for k in (1, 2) if head[:k] in self.ids}
-        for head in [h for h in sizes if len(h) == 2]:
-            sizes[head].add(1)
-        self.sizes = {h: tuple(sorted(x, reverse=True)) for h, x in sizes.items()}
-
-    def _arc(self, u: int, t: int) -> bool:
+        # A trie of the labels: (node, byte) to node, and the token that ends at a node.
+        self.next: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for label, i in self.ids.items():
+            node = 0
+            for byte in label:
+                node = self.next.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = i
+        self.inner = {key >> 8 for key in self.next}  # nodes with labels below them
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the byte automaton anew."""
+        start = ((0, -1),)
+        self.state = {start: 0}
+        self.inside: list[tuple] = [start]  # the (trie node, token before) pairs of each state
+        self.rows: list[dict[int, int]] = [{}]
+        self.last, self.back = [-1], [0]  # the last token of the bytes so far, and its number of bytes
+
+    def arc(self, u: int, t: int) -> bool:
+        """Whether the state behind token u has an arc for token t."""
         gadget = self.gadget
         for x, until in self.right[u]:
             for y, last in self.left[t]:
@@ -91,52 +114,43 @@ class Automaton:
                     return False
         return True
 
-    def arc(self, u: int, t: int) -> bool:
-        """Whether the state behind token u has an arc for token t."""
-        key = u << 32 | t
-        if (found := self.known.get(key)) is None:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            found = self.known[key] = self._arc(u, t)
-        return found
+    def step(self, s: int, byte: int) -> int:
+        """Makes the transition of a state for a byte."""
+        onward, ends, moved, token = self.next, self.ends, [], -1
+        for at, before in self.inside[s]:
+            if (node := onward.get(at << 8 | byte)) is not None:
+                if node in self.inner:
+                    moved.append((node, before))
+                if token < 0 and (t := ends[node]) >= 0 and (before < 0 or self.arc(before, t)):
+                    token = t
+        if token < 0:
+            raise ValueError("a byte of the text is not in the vocabulary")
+        pairs = (*moved, (0, token))
+        if (to := self.state.get(pairs)) is None:
+            to = self.state[pairs] = len(self.rows)
+            self.inside.append(pairs)
+            self.rows.append({})
+            self.last.append(token)
+            self.back.append(len(self.label[token]))
+        self.rows[s][byte] = to
+        return to
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one accepted sequence whose labels join to the word."""
         if (whole := self.ids.get(word)) is not None:
             return [whole]
-        ids, sizes, known, n = self.ids.get, self.sizes, self.known, len(word)
-        out: list[int] = []
-        starts: list[int] = []  # where each token so far starts, and which shorter labels are left to try there
-        left: list = []
-        tried: set[tuple[int, int]] = set()
-        at, last = 0, -1
-        here = None
-        while at < n:
-            if here is None:
-                here = iter(sizes.get(word[at : at + 3]) or sizes.get(word[at : at + 2]) or (1,))
-            for size in here:
-                end = at + size
-                if end > n or (t := ids(word[at:end])) is None:
-                    continue
-                if last >= 0:
-                    if (found := known.get(last << 32 | t)) is None:
-                        found = self.arc(last, t)
-                    if not found:
-                        continue
-                if (end, t) not in tried:
-                    out.append(t)
-                    starts.append(at)
-                    left.append(here)
-                    at, last, here = end, t, None
-                    break
-            else:
-                if not out:
-                    raise ValueError("a byte of the text is not in the vocabulary")
-                # No arc leads on behind the last token here: neither will it later.
-                tried.add((at, out.pop()))
-                at, here = starts.pop(), left.pop()
-                last = out[-1] if out else -1
-        return out
+        if len(self.rows) > self.MOST:
+            self.forget()
+        rows, s, path = self.rows, 0, []
+        for byte in word:
+            s = rows[s].get(byte) or self.step(s, byte)
+            path.append(s)
+        out, last, back, n = [], self.last, self.back, len(word)
+        while n:
+            s = path[n - 1]
+            out.append(last[s])
+            n -= back[s]
+        return out[::-1]
 
 
 class Kept(dict):
@@ -183,9 +197,13 @@ class Codec:
     def forget(self) -> None:
         """Frees what was kept of texts."""
         self.words, self.stretches = Kept(self.words.make), Kept(self.stretches.make)
-        self.automaton.known.clear()
+        self.automaton.forget()
 
     def _ids(self, text: str) -> tuple[int, ...]:
+        if (text[1:] if text[:1] == " " else text).isalpha():  # one word of the pattern
+            return self.words.make(text)
+        if text[-1:] in _MARKS and text[1:-1].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self.stretches[text[:-1]] + self.words[text[-1]]
         return tuple(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text))))
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
