@@ -3,7 +3,7 @@
 A window over a whole label would put the label into one task. So rows are first counted by distinct value (one hash
 aggregation), and running totals over the distinct values are taken in two levels: values are dealt to ordered buckets at
 approximate quantiles of their label, buckets are totalled, and windows run within a bucket. Where the quantiles fall has no
-effect on results.
+effect on results. The counts are computed once (a checkpoint), so nested ranks read their input once each.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.sources.shared import once
+
 BUCKETS = 64
+#: Reference rows per bucket in `quantile_match`, about, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 10_000, 4096
 
 
 def null_if_nan(c: Column) -> Column:
@@ -26,6 +30,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, values: list[str],
         w = W.partitionBy(*keys)
         before = w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumns({f"{v}_total": F.sum(v).over(w) for v in values} | {f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values})
+    df = once(df)
     grid = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, grid, 1000).alias("_bounds"), *(F.sum(v).alias(f"{v}_total") for v in values))
     dealt = df.join(bounds, keys).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
@@ -64,10 +69,32 @@ def with_rank(df: DataFrame, keys: list[str], value: str, name: str, kind: str =
 
 
 def with_row_rank(df: DataFrame, keys: list[str], value: str, tie: str, name: str) -> DataFrame:
-    """The variant without ties: 0-1 rank by (value, tie)."""
-    w = W.partitionBy(*keys)
-    n = F.count("*").over(w)
-    return df.withColumn(name, F.when(n == 1, 0.5).otherwise((F.row_number().over(w.orderBy(value, tie)) - 1) / F.nullif(n - 1, F.lit(0))))
+    """The variant without ties: 0-1 rank by (value, tie), null first. Only rows of one value are ordered in a window."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
+    known = running_total(counts.where(F.col(value).isNotNull()), keys, value, ["ties"]).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), F.col(value).alias("_v"), "ties_before", "ties_total")
+    null = counts.where(F.col(value).isNull()).select(*(F.col(c).alias(f"_n{i}") for i, c in enumerate(keys)), F.col("ties").alias("_null"))
+    on = lambda p: [F.col(c).eqNullSafe(F.col(f"{p}{i}")) for i, c in enumerate(keys)]
+    tie_at = F.row_number().over(W.partitionBy(*keys, value).orderBy(tie)) - 1
+    placed = df.withColumn("_tie", tie_at).join(known, [*on("_k"), F.col(value) == F.col("_v")], "left").join(null, on("_n") or F.lit(True), "left")
+    nulls = F.coalesce("_null", F.lit(0))
+    at = F.when(F.col(value).isNull(), F.col("_tie")).otherwise(nulls + F.col("ties_before") + F.col("_tie"))
+    totals = counts.groupBy(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(keys))).agg(F.sum("ties").alias("_total"))
+    placed = placed.withColumn("_at", at).join(totals, on("_m") or F.lit(True))
+    out = placed.withColumn(name, F.when(F.col("_total") == 1, 0.5).otherwise(F.col("_at") / F.nullif(F.col("_total") - 1, F.lit(0))))
+    return out.select(*df.columns, name)
+
+
+def _last_before(known: DataFrame, asked: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """(keys, _at) of `asked` with `_v` of the last row of `known` (keys, _from, _v) that starts at or before it. Positions lie
+    evenly in 0 .. size - 1, so they are dealt to buckets of equal width; a bucket starts with what the one before ended with."""
+    count = F.greatest(F.lit(1), F.least(F.lit(MOST_BUCKETS), F.ceil(F.col(size) / BUCKET_ROWS)))
+    bucket = lambda at: F.floor(at * count / F.col(size))
+    rows = known.select(*keys, bucket(F.col("_from")).alias("_b"), F.col("_from").alias("_at"), F.lit(0).alias("_ask"), "_v")
+    rows = rows.unionByName(asked.select(*keys, bucket(F.col("_at")).alias("_b"), "_at", F.lit(1).alias("_ask"), F.lit(None).cast("double").alias("_v")).distinct())
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_ask") == 0, F.col("_at"))).alias("_end"))
+    start = ends.select(*keys, "_b", F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_start"))
+    inside = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys, "_b").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_v", inside).where("_ask = 1").join(start, [*keys, "_b"]).select(*keys, "_at", F.coalesce("_v", "_start").alias("_v"))
 
 
 def quantile_match(pred: DataFrame, ref: DataFrame, keys: list[str], value: str, ref_value: str, name: str) -> DataFrame:
@@ -75,16 +102,15 @@ def quantile_match(pred: DataFrame, ref: DataFrame, keys: list[str], value: str,
 
     Null stays null; a constant prediction gets the median; keys without reference give null.
     """
-    m = rank_table(ref, keys, ref_value).select(*keys, F.col(ref_value).alias("_v"), "before", "ties", F.col("n").alias("_m"))
-    # A reference value stands at positions before .. before + ties - 1: found by the positions' own distinct values.
-    ranked = with_rank(pred, keys, value, "_rank", "average")
-    counts = pred.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    sizes = ref.where(F.col(ref_value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_m"))
-    spots = ranked.join(counts, keys, "left").join(sizes, keys, "left")
-    pos = (F.col("_rank") - 0.5) / F.col("_n") * (F.col("_m") - 1)
-    spots = spots.withColumn("_pos", pos).withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-    numbered = m.select(*keys, "_v", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("ties") - 1)).alias("_at"))
-    low, high = numbered.select(*keys, F.col("_v").alias("_low"), F.col("_at").alias("_lo")), numbered.select(*keys, F.col("_v").alias("_high"), F.col("_at").alias("_hi"))
-    out = spots.join(low, [*keys, "_lo"], "left").join(high, [*keys, "_hi"], "left")
-    out = out.withColumn(name, F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.col("_lo")))
-    return out.drop("_rank", "_n", "_m", "_pos", "_lo", "_hi", "_low", "_high")
+    table = once(rank_table(ref, keys, ref_value).select(*keys, F.col(ref_value).cast("double").alias("_v"), F.col("before").alias("_from"), F.col("n").alias("_m")))
+    ranks = rank_table(pred, keys, value)
+    sizes = table.groupBy(*keys).agg(F.max("_m").alias("_m"))
+    pos = (average_rank() - 0.5) / F.col("n") * (F.col("_m") - 1)
+    # One spot per distinct predicted value; a reference value stands at positions _from .. _from + ties - 1.
+    spots = once(ranks.join(sizes, keys).select(*keys, value, pos.alias("_pos"), "_m").withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")}))
+    asked = spots.select(*keys, "_m", F.explode(F.array("_lo", "_hi")).alias("_at"))
+    found = once(_last_before(table, asked, keys, "_m"))
+    low, high = found.withColumnsRenamed({"_at": "_lo", "_v": "_low"}), found.withColumnsRenamed({"_at": "_hi", "_v": "_high"})
+    at = spots.join(low, [*keys, "_lo"]).join(high, [*keys, "_hi"])
+    at = at.select(*keys, value, (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.col("_lo"))).alias(name))
+    return pred.join(at, [*keys, value], "left")

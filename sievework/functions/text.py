@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +75,20 @@ def md5_shard(uid: Column, n: int) -> Column:
     return out.cast("int")
 
 
-#: Character references that HTML text uses most (fixed values).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: References that stand for more than can be resolved by one pass over the text come last: an ampersand starts others.
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def resolved(value: Column) -> Column:
+    """Character references as their characters: all names of HTML 5 and all numbers; what isn't one stays as it is."""
+    names = F.create_map(*(F.lit(x) for n, c in sorted(html5.items()) if n.endswith(";") for x in (f"&{n}", c)))
+    code = lambda ref: F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX](.*);$", 1), 16, 10)).when(ref.startswith("&#"), F.regexp_extract(ref, "^&#(.*);$", 1)).try_cast("long")
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    # Few texts have many different references: each is resolved once, and its occurrences are put together in order.
+    pieces = F.split(value, rf"(?={_REFERENCE})|(?<=&[A-Za-z0-9#]{{2,33}};)")
+    one = lambda p: F.when(p.rlike(f"^{_REFERENCE}$"), F.coalesce(F.when(valid(code(p)), char(code(p))), F.try_element_at(names, p), p)).otherwise(p)
+    return F.when(value.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(value)
 
 
 def html_text(html: Column) -> Column:
@@ -82,9 +96,7 @@ def html_text(html: Column) -> Column:
     t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>|</p>|</li>", "\n")
     t = F.regexp_replace(t, r"(?i)<li[^>]*>", "- ")
     t = F.regexp_replace(t, r"<[^>]+>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return stripped(t)
+    return stripped(resolved(t))
 
 
 def url_tail(url: Column, prefix: str) -> Column:
@@ -113,7 +125,9 @@ def log_lines(files: DataFrame, column: str = "value") -> DataFrame:
     each = F.transform(loose, lambda x: F.coalesce(F.from_json(x, entry)["data"], F.when(~F.trim(x).isin("", "[", "]"), x)))
     whole = F.when(F.col(column).rlike(r"^\s*\[") & (F.size(F.filter(whole, lambda x: x["data"].isNotNull())) > 0), F.transform(whole, lambda x: x["data"]))
     data = F.coalesce(whole, each)
-    return files.select(F.posexplode(data).alias("entry", "data")).where("data is not null").select("entry", F.posexplode(F.split("data", "\n")).alias("at", "line")).where("line <> ''")
+    kept = [c for c in files.columns if c != column]
+    entries = files.select(*kept, F.posexplode(data).alias("entry", "data")).where("data is not null")
+    return entries.select(*kept, "entry", F.posexplode(F.split("data", "\n")).alias("at", "line")).where("line <> ''")
 
 
 def key_lines(lines: DataFrame, words: list[str], width: int = 300) -> DataFrame:

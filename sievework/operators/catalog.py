@@ -96,9 +96,9 @@ def slice_order(slices: DataFrame, series: str = "series", position: str = "posi
 
 
 def natural_key(file: Column) -> Column:
-    """A key that sorts img2 before img10: digits padded."""
+    """A key that sorts img2 before img10: a number is its count of digits, then its digits."""
     parts = F.regexp_extract_all(file, F.lit(r"(\d+|\D+)"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 4, "0"), F.ltrim(p, F.lit("0")))).otherwise(p)), "")
 
 
 def band_sample(series: DataFrame, n: int, low: float, high: float, count: str = "n_slices", reverse: Column | None = None) -> DataFrame:

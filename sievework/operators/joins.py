@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievework.operators import quality
+from sievework.sources.shared import once
+
 
 def reindex(index: DataFrame, table: DataFrame, on: str = "uid") -> DataFrame:
     """The table's rows for each key of the index, null where there is none."""
@@ -35,9 +38,22 @@ def union_complete(parts: DataFrame, uid: str, priority: str, file: str, complet
     return parts.where(complete).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def append_cohort(base: DataFrame, extra: DataFrame, imaged: DataFrame, on: str = "uid") -> DataFrame:
-    """Rows of another cohort, only where imaged: fold -1 and not gold, with null in columns that it lacks."""
+def append_cohort(base: DataFrame, extra: DataFrame, imaged: DataFrame, on: str = "uid", least: float = 0.0, same_columns: bool = False, use: bool = True) -> DataFrame:
+    """Rows of another cohort, only where imaged: fold -1 and not gold, with null in columns that it lacks.
+
+    least: the share of the cohort's rows that must be imaged, else an error; same_columns: a column that only one side has
+    (but for fold and is_gold) is an error; use: False gives the base alone.
+    """
+    if not use:
+        return base
+    own = {"fold", "is_gold"}
+    if same_columns and (odd := (set(base.columns) ^ set(extra.columns)) - own):
+        raise quality.DataError(f"columns of one side only: {sorted(odd)}")
     rows = extra.join(imaged.select(on), on, "left_semi").withColumns({"fold": F.lit(-1), "is_gold": F.lit(False)})
+    if least > 0:
+        have, all_ = rows.count(), extra.count()
+        if have < least * all_:
+            raise quality.DataError(f"only {have} of {all_} rows of the cohort are imaged")
     return base.unionByName(rows, allowMissingColumns=True)
 
 
@@ -81,13 +97,30 @@ def search_merge(hits: DataFrame, forum: str) -> DataFrame:
     return hits.where(F.col("forum") == forum).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("votes"), "topic")
 
 
-def reply_tree(comments: DataFrame, view: str = "comments_for_tree") -> DataFrame:
-    """(id, parent, ...) to depth and a path that sorts depth first, by a recursive query."""
-    comments.createOrReplaceTempView(view)
-    return comments.sparkSession.sql(
-        f"""WITH RECURSIVE t AS (
-              SELECT id, parent, topic, 0 AS depth, lpad(cast(id AS string), 12, '0') AS path FROM {view} WHERE parent IS NULL
-              UNION ALL
-              SELECT c.id, c.parent, c.topic, t.depth + 1, concat(t.path, '/', lpad(cast(c.id AS string), 12, '0')) FROM {view} c JOIN t ON c.parent = t.id)
-            SELECT * FROM t"""
-    )
+def reply_tree(comments: DataFrame) -> DataFrame:
+    """(id, parent, topic) to depth and a path that sorts depth first. Comments whose chain of parents doesn't end at a root are
+    left out, as are those of a parent that isn't there.
+
+    Each round every comment takes over what its furthest known ancestor knows, so a thread of depth n takes log2(n) rounds.
+    Each round ends some chain while there is one that ends; when none does, what is left goes round in circles.
+    """
+    padded = F.lpad(F.col("id").cast("string"), 20, "0")
+    now = once(comments.select("id", "parent", "topic", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), padded.alias("path")))
+    before = -1
+    while True:
+        open_ = now.where("up is not null")
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.concat("path", F.lit("/")).alias("_path"))
+        left = open_.count()
+        if left in (0, before):
+            break
+        before = left
+        moved = open_.join(above, "up").select("id", "parent", "topic", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", "path").alias("path"))
+        now = once(now.where("up is null").unionByName(moved))
+    return now.where("up is null").select("id", "parent", "topic", "depth", "path")
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, on: str, columns: list[str], limit: int = 1_000_000) -> DataFrame:
+    """Adds columns of a dimension with one row per key, null where the key isn't known. It is broadcast only up to `limit` rows."""
+    quality.require(quality.duplicates(dimension, [on]), f"keys of the dimension repeat: {on}")
+    small = dimension.select(on, *columns)
+    return rows.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, "left")

@@ -141,7 +141,9 @@ def balanced(rows: DataFrame, uid: str, cost: str, n: int) -> DataFrame:
     before = running_total(costs, ["all"], "_c", ["one"]).select("_c", "one_before")
     tie = F.row_number().over(W.partitionBy("_c").orderBy(uid)) - 1
     place = rows.select(uid, (-F.col(cost)).alias("_c")).withColumn("_t", tie).join(before, "_c").select(uid, (F.col("one_before") + F.col("_t")).alias("p"))
-    own = F.floor(F.col("p") / n)
-    turn = F.row_number().over(W.partitionBy("worker").orderBy(own % 2, own)) - 1
-    dealt = place.withColumn("worker", (F.col("p") % n).cast("int")).withColumn("turn", turn.cast("int"))
+    # A worker's c places own = 0 .. c - 1: the even ones are its first ceil(c / 2) turns, in order.
+    own, worker = F.floor(F.col("p") / n), F.col("p") % n
+    has = F.ceil((F.lit(rows.count()) - worker) / n)
+    turn = F.when(own % 2 == 0, own / 2).otherwise(F.ceil(has / 2) + (own - 1) / 2)
+    dealt = place.withColumns({"worker": worker.cast("int"), "turn": turn.cast("int")})
     return rows.join(dealt.select(uid, "worker", "turn"), uid)

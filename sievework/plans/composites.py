@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions import ranks
 from sievework.functions.metrics import auc, macro, spearman
 from sievework.functions.ranks import with_rank
 from sievework.operators import blend, labels, quality, resample, splits
@@ -88,10 +89,15 @@ def board(private: DataFrame, public: DataFrame) -> DataFrame:
     """Private and public boards by team: ranks, rank within ties, gap."""
     from pyspark.sql import Window as W
 
-    w = W.orderBy(F.desc("score"))
-    mine = private.select("team", F.col("score").alias("private"), F.rank().over(w).alias("private_rank"), F.row_number().over(W.orderBy(F.desc("score"), "team")).alias("private_row"))
-    other = public.select("team", F.col("score").alias("public"), F.rank().over(w).alias("public_rank"))
-    return mine.join(other, "team", "left").withColumn("gap", F.col("private") - F.col("public"))
+    def placed(scores: DataFrame, name: str, row: bool) -> DataFrame:
+        falling = scores.select("team", F.col("score").alias(name), F.lit(0).alias("_all"), (-F.col("score")).alias("_s"))
+        at = ranks.rank_table(falling, ["_all"], "_s").select("_s", "before")
+        out = falling.join(at, "_s").withColumn(f"{name}_rank", (F.col("before") + 1).cast("int"))
+        if row:  # teams of one score in order
+            out = out.withColumn(f"{name}_row", (F.col("before") + F.row_number().over(W.partitionBy("_s").orderBy("team"))).cast("int"))
+        return out.drop("_all", "_s", "before")
+
+    return placed(private, "private", True).join(placed(public, "public", False), "team", "left").withColumn("gap", F.col("private") - F.col("public"))
 
 
 __all__ = ["blend_check", "board", "build_targets", "marginal_value", "pair_study", "resample", "score_sources", "submission"]

@@ -727,10 +727,10 @@ def wide_targets(spark, d):
     return sinks.target_table(cells, [f"c{k}" for k in range(4)], m.select("uid", "fold").distinct())
 
 
-@query("WITH r AS (SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS j FROM nation) SELECT count(*) AS n, bit_xor(('0x' || substr(md5(j), 1, 8))::BIGINT) AS \"xor\", sum(('0x' || substr(md5(j), 9, 8))::BIGINT)::BIGINT AS total FROM r")
+@query("WITH r AS (SELECT '{\"l_orderkey\":' || l_orderkey || ',\"l_linenumber\":' || l_linenumber || ',\"l_returnflag\":\"' || l_returnflag || '\"}' AS j FROM lineitem) SELECT count(*) AS n, bit_xor(('0x' || substr(md5(j), 1, 8))::BIGINT) AS \"xor\", sum(('0x' || substr(md5(j), 9, 8))::BIGINT)::BIGINT AS total FROM r")
 def table_checksum(spark, d):
     """A16"""
-    return sinks.checksum(table(spark, d, "nation"))
+    return sinks.checksum(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
 
 
 @query(f"WITH {SERIES_SQL}, r AS (SELECT uid, rank() OVER (PARTITION BY uid ORDER BY ord) + (count(*) OVER (PARTITION BY uid, ord) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY uid ORDER BY centre_x) + (count(*) OVER (PARTITION BY uid, centre_x) - 1) / 2.0::DOUBLE AS z FROM series), c AS (SELECT uid, CASE WHEN stddev_pop(x) * stddev_pop(z) > 1e-12 THEN covar_pop(x, z) / (stddev_pop(x) * stddev_pop(z)) END AS rho FROM r GROUP BY uid) SELECT round(avg(rho), 9) AS mean_rho, round(avg((rho > 0.99)::INT), 9) AS in_order, count(rho) AS series FROM c")
@@ -741,13 +741,13 @@ def order_audit(spark, d):
     return t.select(R("mean_rho").alias("mean_rho"), R("in_order").alias("in_order"), "series")
 
 
-@query("SELECT event_id AS id, user_id AS done FROM events WHERE user_id % 3 = 1 AND event_id % 50 = 0")
+@query("SELECT event_id AS id, user_id AS done FROM events WHERE user_id % 3 = 1")
 def progress_lines(spark, d):
-    """B25, B23"""
-    e = table(spark, d, "events").where("event_id % 50 = 0")
+    """An event is a log file of one entry"""
+    e = table(spark, d, "events")
     line = F.when(F.col("user_id") % 3 == 1, F.concat(F.lit("[0:50] studies "), "user_id", F.lit("/200 | elapsed 30.5s"))).otherwise("noise")
-    lines = e.select(F.to_json(F.array(F.struct(F.lit("stdout").alias("stream_name"), line.alias("data")))).alias("value"), "event_id")
-    out = lines.select("event_id", F.from_json("value", "array<struct<stream_name:string,data:string>>")[0]["data"].alias("line")).withColumn("p", text.progress(F.col("line"))).where("p is not null")
+    files = e.select("event_id", F.to_json(F.array(F.struct(F.lit("stdout").alias("stream_name"), line.alias("data")))).alias("value"))
+    out = text.log_lines(files).withColumn("p", text.progress(F.col("line"))).where("p is not null")
     return out.select(F.col("event_id").alias("id"), F.col("p.done").cast("long").alias("done"))
 
 

@@ -25,13 +25,26 @@ def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return first[0].value.split(sep) if first else []
 
 
+def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str]]]:
+    """The header line of each file of a path, glob or list, with the files that have it."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))  # a file's first block is read in order by one task
+    return [(r.head, sorted(r.files)) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()]
+
+
 def read_table(spark: SparkSession, path: str | list[str], ids: list[str], labels: list[str]) -> DataFrame:
-    """CSV with string keys and double labels; columns by name, others are pruned."""
-    some = path if isinstance(path, str) else path[0]
-    names = header(spark, some)
-    schema = T.StructType([T.StructField(n, T.DoubleType() if n in labels else T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(path)
-    return nan_to_null(df.select(*(F.col(f"`{c}`") for c in [*ids, *labels] if c in names)))
+    """CSV with string keys and double labels; columns by name, others are pruned. Files of one path may have their columns
+    in different orders: those of one header are read together; a column that only some have is null in the others."""
+    out = None
+    for head, files in headers(spark, path):
+        names = head.split(",")
+        schema = T.StructType([T.StructField(n, T.DoubleType() if n in labels else T.StringType()) for n in names])
+        part = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(files)
+        part = part.select(*(F.col(f"`{c}`") for c in [*ids, *labels] if c in names))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], wide_schema(ids, labels))
+    return nan_to_null(out.select(*(F.col(f"`{c}`") for c in [*ids, *labels] if c in out.columns)))
 
 
 def read_coded(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -105,7 +118,8 @@ def load_teachers(spark: SparkSession, files: dict[str, str], labels: list[str],
 
 def read_oof(spark: SparkSession, root: str, ids: list[str], labels: list[str], epochs: bool = False) -> DataFrame:
     """Out-of-fold files <version>_fold<k>_oof.csv, or with epochs <version>_fold<k>_ep<e>_oof.csv, with what their names say."""
-    pattern = "*_fold[0-9]_ep*_oof.csv" if epochs else "*_fold[0-9]_oof.csv"
+    fold = "_fold{[0-9],[0-9][0-9],[0-9][0-9][0-9]}"
+    pattern = f"*{fold}_ep*_oof.csv" if epochs else f"*{fold}_oof.csv"
     columns = [*ids, *(f"{kind}__{c}" for c in labels for kind in ("pred", "y", "w"))]
     schema = T.StructType([T.StructField(c, T.StringType() if c in ids else T.DoubleType()) for c in columns])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(f"{root}/{pattern}").withColumn("_f", F.col("_metadata.file_name"))

@@ -17,6 +17,21 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", one_file: bool = False)
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path, sep=sep)
 
 
+def write_one_file(df: DataFrame, path: str, sep: str = ",") -> None:
+    """A table of bounded size as one CSV file of this name: written aside, then renamed, so that no half file is ever seen."""
+    spark = df.sparkSession
+    jvm, aside = spark.sparkContext._jvm, f"{path}.tmp"
+    write_csv(df, aside, sep, one_file=True)
+    at = jvm.org.apache.hadoop.fs.Path(aside)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{aside}/part-*"))]
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"could not rename to {path}")
+    fs.delete(at, True)
+
+
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
     """Small aggregate tables as JSON lines or TSV in one file."""
     out = rows.coalesce(1).write.mode("overwrite")

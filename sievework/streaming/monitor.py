@@ -91,9 +91,13 @@ def status_changes_batch(polled: DataFrame) -> DataFrame:
     return changed.select("ref", "poll_ts", "before", "status", ends.alias("terminal"), since.alias("minutes"), F.when(since.isNotNull(), low).alias("minutes_low"))
 
 
-def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
-    """One row per ref when it is first seen to have ended."""
-    return stream.where(F.col("status").isin(*terminal)).withWatermark("poll_ts", delay).dropDuplicatesWithinWatermark(["ref"])
+def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL, give_up: str | None = None) -> DataFrame:
+    """One row per ref when it is first seen to have ended, or, with give_up (an interval), to be pending that long after it was
+    sent; `event` is the status, or GAVE_UP."""
+    ended = F.col("status").isin(*terminal)
+    late = F.lit(False) if give_up is None else F.col("poll_ts") >= F.col("sent") + F.expr(f"interval {give_up}")
+    events = stream.withColumn("event", F.when(ended, F.col("status")).when(late, F.lit("GAVE_UP"))).where("event is not null")
+    return events.withWatermark("poll_ts", delay).dropDuplicatesWithinWatermark(["ref"])
 
 
 def key_lines(stream: DataFrame, words: list[str]) -> DataFrame:
@@ -112,22 +116,13 @@ def rates(stream: DataFrame, width: str = "5 minutes", delay: str = "10 minutes"
 
 
 def flush(stream: DataFrame, path: str, checkpoint: str, uid: str = "uid", every: str | None = None):
-    """Writes rows of new uids, batch by batch; a batch that runs again after a failure replaces its own folder, and uids
-    that earlier batches wrote are left out."""
+    """Writes rows of new uids, batch by batch. Which uids were seen is kept in the stream's state, so earlier output isn't read
+    again; a batch that runs again after a failure gives the same rows and replaces its own folder."""
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([uid])
-        if n:
-            try:
-                old = spark.read.parquet(f"{path}/batch=*")
-                fresh = fresh.join(old.where(~F.col("_metadata.file_path").contains(f"/batch={n}/")).select(uid), uid, "left_anti")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    out = stream.dropDuplicates([uid]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
