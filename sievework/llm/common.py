@@ -16,10 +16,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of a local
+    session; on a cluster that is an error, as no other machine would see it."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-sievework-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -3,7 +3,8 @@
 A word is a start mark and its lower-cased letters. Over a fixed public vocabulary of pieces, each language has a
 probability for each piece (bytes of a character stand in where no piece does), and a word's probability is the sum over
 all its segmentations into pieces, by the forward algorithm. A text's score is the sum of its words' logarithms, each word
-weighted by its length at most once per language by a small uniform share, so no word decides alone.
+with what it says against a language bounded, so no word decides alone. Runs of over LONGEST letters are cut, and their parts'
+segmentations are summed apart.
 
 Piece probabilities are learned by expectation-maximisation: expected piece counts by forward-backward over the counted
 words of each language, one Spark aggregation a round. The labelled rows used are a bounded sample: about PER_LANGUAGE per
@@ -16,7 +17,6 @@ sorts first; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
 import re
 from functools import lru_cache
 
@@ -40,6 +40,11 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def has_letter(words: list[str]) -> bool:
+    """Whether a word has a letter: runs of other numbers (such as fractions) have none."""
+    return any(any(map(str.isalpha, w)) for w in words)
+
+
 def stretches(word: str) -> list[str]:
     return [MARK + word] if len(word) <= LONGEST else [MARK * (at == 0) + word[at : at + LONGEST] for at in range(0, len(word), LONGEST)]
 
@@ -205,8 +210,6 @@ class Scorer:
     """Words to log probabilities per language, kept in a bounded table."""
 
     MOST = 400_000
-    #: The share of a uniform guess in each word's probability per letter.
-    FLAT = -math.log(60.0)
 
     def __init__(self, pieces: Pieces, prob: np.ndarray):
         self.pieces, self.prob = pieces, prob
@@ -250,7 +253,7 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary:
             if scorer is not None:
                 scorer.learn({w for _, words in part for w in words})
             for doc_id, words in part:
-                if not words or scorer is None:
+                if scorer is None or not has_letter(words):
                     yield doc_id, "und", 0.0
                     continue
                 total = scorer.score(words)

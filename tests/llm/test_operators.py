@@ -593,3 +593,7 @@ def test_huffman_more_ids_than_16_bits_count(spark, tmp_path):
     huffman_ids.write_ids(tokens, f"file://{tmp_path}/wide")
     got = {r.doc_id: bytes(r.ids) for r in huffman_ids.read_ids(spark, f"file://{tmp_path}/wide").collect()}
     assert got == {k: x.tobytes() for k, x in rows}
+
+
+def test_numbers_that_are_no_letters_are_und():
+    assert not langid.has_letter(langid.words_of("½ ² ³⁄₄ 12")) and langid.has_letter(langid.words_of("½ a"))
