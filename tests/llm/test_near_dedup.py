@@ -63,7 +63,7 @@ def test_one_of_each_component_stays(spark):
     sets = [shingles(t) for t in texts[:3]]
     assert alike(sets[0], sets[2]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[1])
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DDL).repartition(3)
-    got = {r.doc_id for r in simhash_covering.keep_one(df).collect()}
+    got = {r.doc_id for r in simhash_covering.keep_one(df, radius=7, print_shingle=3).collect()}
     assert 0 in got and not {1, 2} & got
     assert got == kept_by_all_pairs(texts)
 
@@ -72,7 +72,7 @@ def test_large_buckets_lose_no_pair(spark):
     """Where a bucket holds more than a block of fingerprints within the radius, its texts are compared as before."""
     texts = families(2)
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DDL)
-    assert {r.doc_id for r in simhash_covering.keep_one(df, block=2).collect()} == kept_by_all_pairs(texts)
+    assert {r.doc_id for r in simhash_covering.keep_one(df, radius=7, print_shingle=3, block=2).collect()} == kept_by_all_pairs(texts)
 
 
 @pytest.mark.parametrize("block_texts", [1024, 7])
