@@ -267,7 +267,7 @@ def verified_links(sets: DataFrame, similarity: float, block_texts: int = BLOCK_
     return map_rows(met, run, "a long, b long", schema)
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 6, print_shingle: int = 1, block: int = BLOCK_PRINTS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 1, block: int = BLOCK_PRINTS) -> DataFrame:
     """One document of each group of copies, with all its columns.
 
     Of equal texts the smallest doc_id stays. Chains of fingerprints at most `radius` bits apart make candidate groups; in
