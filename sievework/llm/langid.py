@@ -1,13 +1,13 @@
 """Language identification by segmentation-marginalised unigrams.
 
-A word is a start mark and its lower-cased letters. Over a fixed public vocabulary of pieces, each language has a
-probability for each piece (bytes of a character stand in where no piece does), and a word's probability is the sum over
-all its segmentations into pieces, by the forward algorithm. A text's score is the sum of its words' logarithms, each word
-with what it says against a language bounded, so no word decides alone. Runs of over LONGEST letters are cut, and their parts'
-segmentations are summed apart.
+A word is a start mark and its lower-cased letters with their combining marks. Over a fixed public vocabulary of pieces, each
+language has a probability for each piece (bytes of a character stand in where no piece does), and a word's probability is
+the sum over all its segmentations into pieces, by the forward algorithm, however long the word is. Each word is with
+probability FOREIGN (names, quotations) drawn from all languages alike, so no word decides alone. A text's score is the sum of
+its words' logarithms.
 
 Piece probabilities are learned by expectation-maximisation: expected piece counts by forward-backward over the counted
-words of each language, one Spark aggregation a round. The labelled rows used are a bounded sample: about PER_LANGUAGE per
+words of each language, one Spark aggregation a round; there, words of over LONGEST letters are learned in stretches. The labelled rows used are a bounded sample: about PER_LANGUAGE per
 language, chosen by a hash of their position-free key; everything else covers all rows.
 
 Cases: null text or text without a letter is `und` with score 0; null lang teaches nothing; without any labelled row every
@@ -18,7 +18,11 @@ sorts first; extra columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +34,32 @@ from sievework.llm.common import checkpointed, columns_only, local_file, map_row
 #: Labelled documents per language that are learned from, about.
 PER_LANGUAGE = 1500
 ROUNDS = 3
-#: Letters of a word that are scored together; longer runs are cut into such stretches, all of which count.
-LONGEST = 48
+#: Letters of a word whose probability is summed as it is; those of longer words, which could underflow, in logarithms.
+LONGEST = 20
+#: The share of words that may be of any language.
+FOREIGN = 0.002
 MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _letters() -> re.Pattern:
+    """Runs of letters and combining marks (Unicode categories L and M), as one class of ranges."""
+    kinds = groupby(range(sys.maxunicode + 1), key=lambda c: unicodedata.category(chr(c))[0] in "LM")
+    runs = [list(run) for ok, run in kinds if ok]
+    return re.compile("[" + "".join(f"\\U{run[0]:08x}-\\U{run[-1]:08x}" for run in runs) + "]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    return _letters().findall(text.lower()) if text else []
 
 
 def has_letter(words: list[str]) -> bool:
-    """Whether a word has a letter: runs of other numbers (such as fractions) have none."""
+    """Whether a word has a letter: runs of combining marks have none."""
     return any(any(map(str.isalpha, w)) for w in words)
 
 
 def stretches(word: str) -> list[str]:
+    """The parts of a word that are learned from."""
     return [MARK + word] if len(word) <= LONGEST else [MARK * (at == 0) + word[at : at + LONGEST] for at in range(0, len(word), LONGEST)]
 
 
@@ -63,19 +77,30 @@ class Pieces:
         self.size = len(names) + 256
         self.heads = {p[:k] for p in names for k in range(1, len(p) + 1)}
 
-    def arcs(self, word: str) -> list[tuple[int, int, tuple[int, ...]]]:
-        """(start, end, pieces) of each step through the word; a character that is no piece is its bytes."""
-        out, n = [], len(word)
+    def arcs(self, word: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        """(start, end, pieces) of each step through the word, by start; a character that is no piece is its bytes."""
+        n = len(word)
         for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 s = word[i:j]
                 if s not in self.heads:
                     break
                 if (p := self.number.get(s)) is not None:
-                    out.append((i, j, (p,)))
+                    yield i, j, (p,)
             if word[i] not in self.number:
-                out.append((i, i + 1, tuple(self.bytes_from + b for b in word[i].encode("utf-8", "replace"))))
-        return out
+                yield i, i + 1, tuple(self.bytes_from + b for b in word[i].encode("utf-8", "replace"))
+
+    def log_total(self, word: str, log_prob: np.ndarray) -> np.ndarray:
+        """The logarithm of a word's probability, per language; only the places that a piece can reach are held."""
+        ring = np.full((self.longest + 1, log_prob.shape[1]), -np.inf)
+        ring[0], last = 0, 0
+        for i, j, p in self.arcs(word):
+            if i > last:
+                ring[last % len(ring)] = -np.inf  # left behind: the place is used again
+                last = i
+            at = j % len(ring)
+            ring[at] = np.logaddexp(ring[at], ring[i % len(ring)] + log_prob[list(p)].sum(axis=0))
+        return ring[len(word) % len(ring)]
 
 
 @lru_cache(maxsize=2)
@@ -207,37 +232,41 @@ def train(labelled: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE
 
 
 class Scorer:
-    """Words to log probabilities per language, kept in a bounded table."""
+    """Words to log probabilities per language, relative to the word's best one, kept in a bounded table."""
 
     MOST = 400_000
 
     def __init__(self, pieces: Pieces, prob: np.ndarray):
-        self.pieces, self.prob = pieces, prob
+        self.pieces, self.prob, self.log_prob = pieces, prob, np.log(prob)
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, prob.shape[1]))
 
+    def logs(self, words: list[str]) -> np.ndarray:
+        short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+        out = np.zeros((len(words), self.prob.shape[1]))
+        if short:
+            lattice = Lattice(self.pieces, [MARK + words[k] for k in short])
+            out[short] = np.log(np.maximum(lattice.total(lattice.weights(self.prob)), 1e-300))
+        for k, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[k] = self.pieces.log_total(MARK + w, self.log_prob)
+        own = np.exp(out - out.max(axis=1, keepdims=True))
+        return np.log((1 - FOREIGN) * own + FOREIGN * own.mean(axis=1, keepdims=True))
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > self.MOST:
             self.at, new = {}, list(words)
         for k in range(0, len(new), 4000):
             part = new[k : k + 4000]
-            pieces = [(n, s) for n, w in enumerate(part) for s in stretches(w)]
-            lattice = Lattice(self.pieces, [s for _, s in pieces])
-            logs = np.log(np.maximum(lattice.total(lattice.weights(self.prob)), 1e-300))
-            values = np.zeros((len(part), self.prob.shape[1]))
-            np.add.at(values, [n for n, _ in pieces], logs)
             first = len(self.at)
             while first + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : first + len(part)] = values
+            self.table[first : first + len(part)] = self.logs(part)
             self.at.update(zip(part, range(first, first + len(part))))
 
     def score(self, words: list[str]) -> np.ndarray:
-        rows = self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
-        # A word that all languages find odd says little: what it says is bounded.
-        rows = rows - rows.max(axis=1, keepdims=True)
-        return np.maximum(rows, -8.0).sum(axis=0)
+        return self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
 def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary: str) -> DataFrame:

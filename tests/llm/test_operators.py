@@ -254,6 +254,17 @@ def test_winnowing_by_shuffle_is_the_same(spark, monkeypatch):
     assert table(winnowing.digest(winnowing.decontaminate(df, bench)), "doc_id", "n_hit", "items_sha256") == a
 
 
+def test_frequent_grams_meet_only_items_of_the_same_window(spark):
+    items = [(i, f"which of the following is true of number{i} in the year{i} of all") for i in range(60)]
+    rows = [(i, f"so which of the following is true of number{i % 90} in the year{i % 90} of all things", "en", "a", 0) for i in range(120)]
+    rows += [(200 + i, "which of the following is a question that only begins like one", "en", "a", 0) for i in range(50)]
+    df, bench = spark.createDataFrame(rows, DDL), spark.createDataFrame(items, "item_id long, text string")
+    met = winnowing._matched(df, bench)
+    assert met.where("t > 0").count() == sum(4 for i in range(120) if i % 90 < 60)  # a row per window, not per gram and item
+    got = table(winnowing.digest(winnowing.decontaminate(df, bench)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(((r[0], *brute_hits(r[1], items)) for r in rows), key=str)
+
+
 # 4 simhash
 
 
@@ -456,7 +467,7 @@ def test_lattice_sums_all_segmentations():
     rng = np.random.default_rng(13)
     prob = rng.random((p.size, 2))
     for w in ("▁the", "▁añ日", "▁x", "▁ing"):
-        arcs = p.arcs(w)
+        arcs = list(p.arcs(w))
 
         def total(at, k):
             if at == len(w):
@@ -466,6 +477,33 @@ def test_lattice_sums_all_segmentations():
         lat = langid.Lattice(p, [w, "▁other"])
         got = lat.total(lat.weights(prob))[0]
         assert np.allclose(got, [total(0, 0), total(0, 1)])
+        assert np.allclose(p.log_total(w, np.log(prob)), np.log(got))
+
+
+def test_long_words_sum_over_all_places():
+    p = langid.Pieces(common.local_file(public.path("piece_bpe_32k.model")))
+    prob = np.random.default_rng(14).random((p.size, 3)) / 4
+    w = "▁" + "donaudampfschifffahrtsgesellschaft" + "日本語の文章" + "internationalization"
+    lat = langid.Lattice(p, [w])
+    assert np.allclose(p.log_total(w, np.log(prob)), np.log(lat.total(lat.weights(prob))[0]))
+    long = p.log_total("▁" + "abcdefghij" * 2000, np.log(prob))
+    assert np.isfinite(long).all() and (long < -1000).all()
+
+
+def test_a_word_bounds_what_it_says_by_the_foreign_share():
+    p = langid.Pieces(common.local_file(public.path("piece_bpe_32k.model")))
+    prob = np.random.default_rng(15).random((p.size, 2)) / p.size
+    scorer = langid.Scorer(p, prob)
+    lat = langid.Lattice(p, ["▁the"])
+    exact = lat.total(lat.weights(prob))[0]
+    mixed = (1 - langid.FOREIGN) * exact + langid.FOREIGN * exact.mean()
+    got = scorer.logs(["the"])[0]
+    assert np.allclose(got[0] - got[1], np.log(mixed[0] / mixed[1]))
+
+
+def test_words_keep_their_combining_marks():
+    assert langid.words_of("हिन्दी में naïve e\u0301t_a 1x") == ["हिन्दी", "में", "naïve", "e\u0301t", "a", "x"]
+    assert not langid.has_letter(langid.words_of("\u0301 \u0302"))
 
 
 def test_language_accuracy(spark, empty):
