@@ -3,7 +3,10 @@
 Validated values (payment cards by the Luhn rule, IBANs by mod 97, phone and social security numbers by their plans, IPv4
 addresses, e-mail addresses, calendar dates) are replaced by another value of the same format: a keyed permutation of the
 format's own domain, so equal values get equal pseudonyms in all documents and tasks, whatever their separators, and nothing
-needs to be stored or looked up. The permutation is a balanced Feistel network of ten rounds over numbers below a * b
+needs to be stored or looked up. International phone numbers are split into country code and number by the calling codes,
+so +44 20 7946 0958, +442079460958 and 0044 20 7946 0958 agree, as do North American numbers with and without the 1;
+national forms elsewhere (020 7946 0958) don't name their country and are values of their own. A run of digits that only
+starts with 00 may be any number and stays. The permutation is a balanced Feistel network of ten rounds over numbers below a * b
 (NIST SP 800-38G's shape, with BLAKE2b as the round function), walked on until the result is valid again (cycle walking).
 Check digits are made anew. Dates are permuted as days from 1900 to 2099, so 2024-01-31 and 31/01/2024 keep agreeing.
 
@@ -35,12 +38,16 @@ EMAIL = r"(?P<email>[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
 IBAN = r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 CARD = r"(?P<card>(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9]))"
 SSN = r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-PHONE = r"(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])|\+[0-9]{9,15}(?![0-9]))"
+PHONE = r"(?P<phone>(?<![0-9A-Za-z+])(?:(?:\+|00(?=[1-9]))[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])|\+[0-9]{9,15}(?![0-9]))"
 IP = r"(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9]))"
 DATE = r"(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9]))"
 PATTERN = re.compile("|".join((EMAIL, IBAN, CARD, SSN, PHONE, IP, DATE)))
 #: A value holds two digits near each other, or an @.
 HINT = re.compile(r"[0-9][0-9 ().+/-]{0,3}[0-9]|@")
+#: The international calling codes of two digits. Codes from 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 
 
 class Permuter:
@@ -107,6 +114,14 @@ def _nanp(s: str) -> bool:
     return s[0] in "23456789" and s[3] in "23456789"
 
 
+def _north_american(digits: str, international: bool) -> bool:
+    return len(digits) == 11 and digits[0] == "1" and _nanp(digits[1:]) or len(digits) == 10 and not international and _nanp(digits)
+
+
+def country_code(digits: str) -> str:
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+
+
 class Pseudonyms:
     """`of(kind, value)`: the pseudonym, or None if the value isn't valid. Results are kept in a bounded table."""
 
@@ -179,15 +194,16 @@ class Pseudonyms:
 
     def phone(self, value: str) -> str | None:
         d = _digits(value)
+        prefix = "00" if d.startswith("00") and value[0] != "+" else ""
+        d, international = d[len(prefix) :], bool(prefix) or value[0] == "+"
         if not 7 <= len(d) <= 15:
             return None
-        if len(d) == 11 and d[0] == "1" and _nanp(d[1:]):
-            return _refill(value, "1" + self._number("nanp", d[1:], _nanp))
-        if len(d) == 10 and not value.startswith("+") and _nanp(d):
-            return _refill(value, self._number("nanp", d, _nanp))
-        # The country's code stays, as far as it is marked off.
-        code = _digits(re.match(r"\+[0-9]{1,3}(?=[\x20.(-])|", value)[0])
-        return _refill(value, code + self._number("phone" + code, d[len(code) :]))
+        if _north_american(d, international):
+            return _refill(value, prefix + d[:-10] + self._number("nanp", d[-10:], _nanp))
+        # The country's code stays. No number becomes one of another plan, so each plan is permuted in itself.
+        code = country_code(d) if international else ""
+        other = lambda s: not _north_american(code + s, international) and (international or not s.startswith("00"))
+        return _refill(value, prefix + code + self._number("phone" + code, d[len(code) :], other))
 
     def ip(self, value: str) -> str | None:
         parts = value.split(".")
@@ -283,7 +299,8 @@ def find_and_replace(docs: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """The same rows and columns with the values in `column` replaced; lengths of texts may change with addresses only."""
+    """The same rows and columns with the values in `column` replaced; lengths of texts may change with IP addresses and with dates
+    written without leading zeros."""
     secret, schema = key.encode(), docs.schema
     at = docs.columns.index(column)
 

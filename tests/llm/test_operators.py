@@ -571,6 +571,24 @@ def test_pii_values_and_links():
     assert pii_feistel.luhn_digit(c[:-1]) == c[-1]
 
 
+def test_phone_numbers_agree_in_all_forms():
+    names, undo = pii_feistel.Pseudonyms(b"k"), pii_feistel.Pseudonyms(b"k", False)
+    forms = ["+44 20 7946 0958", "+442079460958", "+44 (20) 7946-0958", "0044 20 7946 0958", "+4420 7946 0958"]
+    new = [pii_feistel.replaced(f"a {t} b", names) for t in forms]
+    assert all(len(found) == 1 and found[0][:3] == (2, 2 + len(t), "phone") for t, (_, found) in zip(forms, new))
+    assert len({re.sub(r"\D", "", x).removeprefix("00") for x, _ in new}) == 1
+    assert all(x.startswith(("a +44", "a 0044")) and pii_feistel.replaced(x, undo)[0] == f"a {t} b" for t, (x, _) in zip(forms, new))
+    assert pii_feistel.replaced("id 00123456789012", names)[0] == "id 00123456789012"
+    rng, seen = random.Random(16), {}
+    for _ in range(400):  # national, North American and international numbers: all undone, no two alike
+        d = "".join(rng.choice("0123456789") for _ in range(10))
+        t = rng.choice(["+{0}{1}{2}", "{0} {1} {2}", "+1 {0} {1} {2}", "+353 {0} {1} {2}"]).format(d[:3], d[3:6], d[6:])
+        x, found = pii_feistel.replaced(t, names)
+        if len(found) == 1 and found[0][1] - found[0][0] == len(t):
+            assert pii_feistel.replaced(x, undo)[0] == t
+            assert seen.setdefault(x, t) == t
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 10, 100, 366, 1000])
 def test_permutations(n):
     p = pii_feistel.Permuter(b"key")
