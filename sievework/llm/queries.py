@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe_automaton, huffman_ids, langid, pii_feistel, quality_mcd, secret_scan, simhash_covering, url_equivalence, vector_packing, winnowing
+from sievework.llm import bpe_automaton, huffman_ids, langid, merkle_manifest, oracle, pii_feistel, pivot_codes, quality_mcd, secret_scan, simhash_covering, substring_rlz, url_equivalence, vector_packing, winnowing
 from sievework.llm.common import shared_dir
 
 #: Key of the registered PII query; a real run passes one of its own.
@@ -66,9 +66,24 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.digest(huffman_ids.read_ids(spark, path))
 
 
+def op11_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_rlz.digest(substring_rlz.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_quality_mcd, op3_winnowing, op4_simhash_covering, op5_bpe_automaton, op6_langid_marginal, op7_vector_packing, op8_pii_feistel, op9_url_equivalence, op10_huffman_ids)
+    for f in (
+        op1_secret_scan, op2_quality_mcd, op3_winnowing, op4_simhash_covering, op5_bpe_automaton, op6_langid_marginal, op7_vector_packing, op8_pii_feistel, op9_url_equivalence, op10_huffman_ids,
+        op11_laesa_codes, op12_substring_rlz, op13_merkle_intervals,
+    )
 }
 
 #: Components as reachable pairs of a recursive query: fine for the few links of a test table, not for a large one.
@@ -113,4 +128,6 @@ FROM p LEFT JOIN ruled ON p.host <> '' AND ruled.key = p.host || p.rest AND rule
 LEFT JOIN bad ON p.host <> '' AND bad.key = p.host || p.rest
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_url_equivalence": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_equivalence": _OP9_SQL, "op11_laesa_codes": oracle.pivot_codes(), "op12_substring_rlz": oracle.substring(), "op13_merkle_intervals": oracle.merkle(),
+}
