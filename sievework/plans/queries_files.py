@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.operators import joins, quality, splits
-from sievework.plans.inputs import MEMBERS_SQL, POLLS_SQL, SERIES_SQL, SOURCES_SQL, STUDIES_SQL, members, series, sources, status_polls, studies, table
+from sievework.plans.inputs import MEMBERS_SQL, POLLS_SQL, SERIES_SQL, SOURCES_SQL, STUDIES_SQL, events, members, series, sources, status_polls, studies, table
 from sievework.sources import readers, sinks
 from sievework.sources.shared import fresh_dir
 from sievework.streaming import monitor
@@ -204,11 +204,11 @@ def column_order(spark, d):
     return out
 
 
-def _streamed(spark, rows, name):
-    """The rows as a stream of files, and a fresh folder."""
+def _streamed(spark, rows, name, files=1000):
+    """The rows as a stream of files, `files` of them a batch, and a fresh folder."""
     path = fresh_dir(spark, name)
     rows.write.parquet(f"{path}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in"), path
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in"), path
 
 
 def _run(stream, path):
@@ -216,11 +216,19 @@ def _run(stream, path):
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query(f"WITH {POLLS_SQL} SELECT DISTINCT ref FROM polls WHERE status IN ('COMPLETE', 'ERROR') OR poll_ts >= sent + INTERVAL 20 HOUR")
+@query(f"""WITH {POLLS_SQL}, t AS (SELECT ref, min(sent) AS sent, min(sent) + INTERVAL 20 HOUR AS deadline FROM polls GROUP BY ref),
+e AS (SELECT ref, min(poll_ts) AS poll_ts FROM polls JOIN t USING (ref) WHERE status IN ('COMPLETE', 'ERROR') AND poll_ts < deadline GROUP BY ref)
+SELECT e.ref, e.poll_ts, min(p.status) AS event FROM e JOIN polls p ON p.ref = e.ref AND p.poll_ts = e.poll_ts WHERE p.status IN ('COMPLETE', 'ERROR') GROUP BY ALL
+UNION ALL SELECT ref, deadline, 'GAVE_UP' FROM t WHERE ref NOT IN (SELECT ref FROM e) AND deadline < (SELECT max(poll_ts) - INTERVAL 36 HOUR FROM polls)""")
 def one_shot_events(spark, d):
-    """One event per reference that ended, or that was given up after 20 hours"""
-    stream, path = _streamed(spark, status_polls(spark, d), "polls")
-    return _run(monitor.one_shot(stream, give_up="20 hours"), path).select("ref").distinct()
+    """One event per reference: the end of it, or that it was given up after 20 hours, once the watermark has passed these.
+    The polls come in several batches, in the order of their time."""
+    polls, path = status_polls(spark, d).select("ref", "poll_ts", "status", "sent", "score"), fresh_dir(spark, "polls")
+    cuts = [-1.0, *polls.select(F.col("poll_ts").cast("double").alias("s")).approxQuantile("s", [0.25, 0.5, 0.75], 0.01), 1e18]
+    for low, high in zip(cuts, cuts[1:]):  # one file a batch, the earliest first
+        polls.where((F.col("poll_ts").cast("double") > low) & (F.col("poll_ts").cast("double") <= high)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return _run(monitor.one_shot(stream, delay="36 hours", give_up="20 hours"), path).select("ref", "poll_ts", "event")
 
 
 @query("SELECT event_id, 'done ' || event_type AS line FROM events WHERE event_type IN ('purchase', 'error')")
@@ -231,10 +239,25 @@ def log_tail(spark, d):
     return _run(monitor.key_lines(stream, ["purchase", "error"]), path)
 
 
+@query("""SELECT worker, place, ts, line FROM (SELECT user_id % 20 || '' AS worker, ts, lpad(event_id || '', 12, '0') || ' ' || event_type AS line,
+  cast(row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events WHERE event_type IN ('purchase', 'error')) WHERE place <= 40""")
+def last_key_lines(spark, d):
+    """The last 40 key lines per worker, kept across batches and over a restart between two of them"""
+    line = F.concat_ws(" ", F.lpad(F.col("event_id").cast("string"), 12, "0"), "event_type")
+    rows = events(spark, d).select((F.col("user_id") % 20).cast("string").alias("worker"), "ts", line.alias("line"), "event_id")
+    stream, path = _streamed(spark, rows.where("event_id % 2 = 0").drop("event_id"), "tail", 2)
+    for odd in (False, True):
+        if odd:
+            rows.where("event_id % 2 = 1").drop("event_id").write.mode("append").parquet(f"{path}/in")
+        found = _run(monitor.last_lines(monitor.key_lines(stream, ["purchase", "error"]), 40), path)
+    return monitor.newest(found).select("worker", "place", "ts", "line")
+
+
 @query("SELECT DISTINCT user_id AS uid FROM events")
 def flushed_rows(spark, d):
     """Batches of new uids; a second run with nothing new adds nothing"""
-    stream, path = _streamed(spark, table(spark, d, "events").select(F.col("user_id").alias("uid"), "event_id"), "flush")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("uid"), "event_id")
+    stream, path = _streamed(spark, rows.repartition(3, "event_id"), "flush", 1)
     for _ in range(2):
         monitor.flush(stream, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("uid")

@@ -1,7 +1,8 @@
 """Monitors of polled status feeds and logs as Structured Streaming queries.
 
-State is bounded: a reference's state goes when it has ended or after a time without polls, and duplicates are remembered
-within the watermark only.
+State is bounded: a reference's last status goes after a time without polls, of an event that was given only a flag stays (or
+goes as well, see OneShot), duplicates are remembered within the watermark only, of log lines the last n are kept, and rows that
+were flushed are looked up in what was written.
 """
 
 from __future__ import annotations
@@ -73,6 +74,7 @@ class Changes(StatefulProcessor):
 
 def status_changes(stream: DataFrame, delay: str = "1 hour", hours: float = 48.0) -> DataFrame:
     """Status changes per ref (see Changes). The session needs the RocksDB state store."""
+    rocksdb(stream.sparkSession)
     keyed = stream.withWatermark("poll_ts", delay).select("ref", "poll_ts", "status", "sent")
     return keyed.groupBy("ref").transformWithStateInPandas(statefulProcessor=Changes(hours), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
 
@@ -91,13 +93,78 @@ def status_changes_batch(polled: DataFrame) -> DataFrame:
     return changed.select("ref", "poll_ts", "before", "status", ends.alias("terminal"), since.alias("minutes"), F.when(since.isNotNull(), low).alias("minutes_low"))
 
 
-def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL, give_up: str | None = None) -> DataFrame:
-    """One row per ref when it is first seen to have ended, or, with give_up (an interval), to be pending that long after it was
-    sent; `event` is the status, or GAVE_UP."""
-    ended = F.col("status").isin(*terminal)
-    late = F.lit(False) if give_up is None else F.col("poll_ts") >= F.col("sent") + F.expr(f"interval {give_up}")
-    events = stream.withColumn("event", F.when(ended, F.col("status")).when(late, F.lit("GAVE_UP"))).where("event is not null")
-    return events.withWatermark("poll_ts", delay).dropDuplicatesWithinWatermark(["ref"])
+ONE_SHOT = "ref string, at long, event string, sent long, score double"
+
+
+class OneShot(StatefulProcessor):
+    """Gives one row per ref for the ref's lifetime: the first terminal poll before its deadline, else GAVE_UP at the deadline.
+
+    The deadline is a timer in event time, so giving up needs no further poll of the ref, only that the watermark passes it; and
+    which polls came in which batch has no effect. After its row a ref keeps a flag and nothing else; with `forget` (microseconds)
+    the flag goes when the ref wasn't polled for that long, and a later poll would be a new lifetime.
+    """
+
+    def __init__(self, terminal: tuple[str, ...] = TERMINAL, forget: int | None = None):
+        self.terminal, self.forget = terminal, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # fired; deadline, sent and the last poll in microseconds
+        self.known = handle.getValueState("known", "fired boolean, deadline long, sent long, last long")
+
+    def _timer(self, fired: bool, deadline: int | None, last: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t if isinstance(t, int) else t[0])
+        at = deadline if not fired else None if self.forget is None else last + self.forget
+        if at is not None:
+            self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        polls = pd.concat(list(rows)).sort_values(["poll_us", "status"], kind="stable")
+        fired, deadline, sent, last = self.known.get() if self.known.exists() else (False, None, None, 0)
+        out = []
+        for at, status, sent_us, deadline_us, score in polls[["poll_us", "status", "sent_us", "deadline_us", "score"]].itertuples(index=False):
+            at, last = int(at), max(last, int(at))
+            if deadline is None and not pd.isna(deadline_us):
+                sent, deadline = int(sent_us), int(deadline_us)
+            if not fired and status in self.terminal and (deadline is None or at < deadline):
+                fired = True
+                out.append((key[0], at, status, sent if sent is not None or pd.isna(sent_us) else int(sent_us), None if pd.isna(score) else float(score)))
+        self.known.update((fired, deadline, sent, last))
+        self._timer(fired, deadline, last)
+        yield pd.DataFrame(out, columns=["ref", "at", "event", "sent", "score"]).astype({"at": "Int64", "sent": "Int64", "score": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired, deadline, sent, last = self.known.get()
+        out = []
+        if fired:
+            self.known.clear()
+        else:
+            out.append((key[0], deadline, "GAVE_UP", sent, None))
+            self.known.update((True, deadline, sent, last))
+            self._timer(True, deadline, last)
+        yield pd.DataFrame(out, columns=["ref", "at", "event", "sent", "score"]).astype({"at": "Int64", "sent": "Int64", "score": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """Stateful processors need the RocksDB state store: set for the session where it still has the default one."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(key, ""):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL, give_up: str | None = None, forget_hours: float | None = None) -> DataFrame:
+    """(ref, poll_ts, event, sent, score): one row per ref. event: the status of its first terminal poll; with give_up (an
+    interval after `sent`) GAVE_UP at that time where no terminal poll came before it. See OneShot."""
+    rocksdb(stream.sparkSession)
+    deadline = F.lit(None).cast("long") if give_up is None else F.unix_micros(F.col("sent") + F.expr(f"interval {give_up}"))
+    rows = stream.withWatermark("poll_ts", delay).select("ref", "poll_ts", "status", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("sent").alias("sent_us"), deadline.alias("deadline_us"), F.col("score").cast("double").alias("score"))
+    made = OneShot(terminal, None if forget_hours is None else int(forget_hours * 3600e6))
+    events = rows.groupBy("ref").transformWithStateInPandas(statefulProcessor=made, outputStructType=ONE_SHOT, outputMode="Append", timeMode="EventTime")
+    return events.select("ref", F.timestamp_micros("at").alias("poll_ts"), "event", F.timestamp_micros("sent").alias("sent"), "score")
 
 
 def key_lines(stream: DataFrame, words: list[str]) -> DataFrame:
@@ -115,22 +182,87 @@ def rates(stream: DataFrame, width: str = "5 minutes", delay: str = "10 minutes"
     return out.select(F.col("w.start").alias("start"), "worker", "rows", "lines", (F.col("rows") / minutes).alias("per_minute"))
 
 
-def flush(stream: DataFrame, path: str, checkpoint: str, uid: str = "uid", every: str | None = None):
-    """Writes rows of new uids, batch by batch. Which uids were seen is kept in the stream's state, so earlier output isn't read
-    again; a batch that runs again after a failure gives the same rows and replaces its own folder."""
+def flush(stream: DataFrame, path: str, checkpoint: str, uid: str = "uid", every: str | None = None, buckets: int = 64, ts: str | None = None, keep: str = "1 hour"):
+    """Writes rows of new uids, batch by batch, to path/batch=<n>.
 
-    def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    What was written is the memory: beside the rows lie their uids, path/_uids/bucket=<b>/batch=<n>, dealt by a hash; a batch is
+    compared (anti join) with those buckets only that it touches, so the stream itself keeps no uids. With `ts`, an event time,
+    repeats within `keep` are dropped by the stream's state before, which forgets them after that time. A batch that runs again
+    after a failure isn't compared with its own uids, gives the same rows and replaces its own output.
+    """
 
-    out = stream.dropDuplicates([uid]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, n: int) -> None:
+        spark, index = batch.sparkSession, f"{path}/_uids"
+        bucket = F.pmod(F.xxhash64(uid), F.lit(buckets)).cast("int")
+        rows = held = batch.dropDuplicates([uid]).persist()  # read several times; recomputed where an executor is lost
+        try:
+            touched = [r.b for r in rows.select(bucket.alias("b")).distinct().collect()]  # `buckets` numbers at most
+            if touched and _exists(spark, index):
+                kept = spark.read.schema(f"_seen {rows.schema[uid].dataType.simpleString()}, bucket int, batch long").parquet(index)
+                seen = kept.where(F.col("bucket").isin(touched) & (F.col("batch") != n))
+                rows = rows.join(seen, (bucket == seen["bucket"]) & rows[uid].eqNullSafe(seen["_seen"]), "left_anti")
+            rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+            made = spark.read.schema(batch.schema).parquet(f"{path}/batch={n}").select(F.col(uid).alias("_seen"), bucket.alias("bucket"), F.lit(n).cast("long").alias("batch"))
+            # One file a bucket.
+            made.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(index)
+        finally:
+            held.unpersist()
+
+    once = stream if ts is None else stream.withWatermark(ts, keep).dropDuplicatesWithinWatermark([uid])
+    out = once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remaining(units: DataFrame, done: DataFrame, uid: str = "uid") -> DataFrame:
     """Units that a restart has left to do."""
     return units.join(done.select(uid).distinct(), uid, "left_anti")
 
 
-def last_lines(batch: DataFrame, n: int = 40) -> DataFrame:
-    """The last n lines of a batch, for use in foreachBatch."""
-    return batch.orderBy(F.desc("ts"), F.desc("line")).limit(n)
+class LastLines(StatefulProcessor):
+    """Keeps the last n lines per worker, by time and then text, across batches and restarts; gives them anew, under the next
+    version, whenever one of them is new."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lines = handle.getListState("lines", "us long, line string")
+        self.version = handle.getValueState("version", "version long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = [tuple(x) for x in self.lines.get()] if self.lines.exists() else []
+        best = list(before)
+        for part in rows:  # only n lines are held, however long the batch is
+            best = sorted(best + [(int(a), b) for a, b in part[["us", "line"]].itertuples(index=False)])[-self.n :]
+        out = []
+        if best != before:
+            version = (self.version.get()[0] if self.version.exists() else 0) + 1
+            self.lines.put(best)
+            self.version.update((version,))
+            out = [(key[0], version, len(best) - k, us, line) for k, (us, line) in enumerate(best)]
+        yield pd.DataFrame(out, columns=["worker", "version", "place", "us", "line"]).astype({"version": "int64", "place": "int32", "us": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def last_lines(lines: DataFrame, n: int = 40) -> DataFrame:
+    """(worker, ts, line) as a stream to (worker, version, place, ts, line): each worker's last n lines after each batch that
+    changes them, place 1 being the last. The highest version of a worker is its present state (`newest`)."""
+    rocksdb(lines.sparkSession)
+    rows = lines.select(F.col("worker").cast("string").alias("worker"), F.unix_micros("ts").alias("us"), "line").where("us is not null and line is not null")
+    kept = rows.groupBy("worker").transformWithStateInPandas(
+        statefulProcessor=LastLines(n), outputStructType="worker string, version long, place int, us long, line string", outputMode="Append", timeMode="None"
+    )
+    return kept.select("worker", "version", "place", F.timestamp_micros("us").alias("ts"), "line")
+
+
+def newest(versions: DataFrame) -> DataFrame:
+    """The rows of each worker's highest version in what `last_lines` wrote."""
+    top = versions.groupBy("worker").agg(F.max("version").alias("version"))
+    return versions.join(top, ["worker", "version"], "left_semi")

@@ -174,6 +174,71 @@ def test_one_shot_and_repeats(spark, tmp_path):
     assert len(rows) == 10
 
 
+def to_files(df, folder):
+    """Runs a stream into a folder, going on where an earlier run of it ended; all rows so far."""
+    q = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def test_one_shot_fires_once_and_gives_up(spark, tmp_path):
+    """24 hourly polls of an ended ref give one row, over batches and a restart; a ref that falls silent is given up by the
+    watermark; an end after the deadline comes too late; a late poll of an earlier end still counts within the delay."""
+    hour = [[("a", 60 * h + 60, "COMPLETE")] for h in range(24)]
+    hour[0] += [("silent", 61, "PENDING"), ("slow", 62, "RUNNING"), ("late", 62, "RUNNING")]
+    hour[5] += [("late", 200, "ERROR")]
+    hour[11] += [("slow", 60 * 11 + 65, "COMPLETE"), ("late", 60 * 11 + 70, "COMPLETE")]
+    for part, hours in enumerate((hour[:12], hour[12:])):
+        for n, polls in enumerate(hours):
+            write_polls(f"{tmp_path}/polls", 100 * part + n, polls)
+        stream = monitor.one_shot(monitor.polls(spark, f"{tmp_path}/polls"), delay="6 hours", give_up="10 hours")
+        found = to_files(stream, f"{tmp_path}/once").collect()
+    minutes = lambda t: (t - T0).total_seconds() / 60
+    assert sorted((r.ref, r.event, minutes(r.poll_ts)) for r in found) == [("a", "COMPLETE", 60), ("late", "ERROR", 200), ("silent", "GAVE_UP", 600), ("slow", "GAVE_UP", 600)]
+
+
+def test_last_lines(spark, tmp_path):
+    """The last three of all lines so far per worker, with a late one, over a restart."""
+    lines = [("w", m, f"loss {m}") for m in (1, 2, 3, 9)] + [("v", 1, "loss a"), ("v", 1, "loss b"), ("w", 4, "other")] + [("w", 5, "loss late"), ("u", 7, "loss u"), ("w", None, "loss none")]
+    for n, part in enumerate((lines[:3], lines[3:7], lines[7:])):
+        rows = [{"worker": w, "ts": None if m is None else (T0 + timedelta(minutes=m)).strftime("%Y-%m-%dT%H:%M:%S"), "line": x} for w, m, x in part]
+        put(f"{tmp_path}/lines/{n}.json", "\n".join(map(json.dumps, rows)))
+        stream = spark.readStream.schema("worker string, ts timestamp, line string").json(f"{tmp_path}/lines")
+        kept = monitor.last_lines(monitor.key_lines(stream, ["loss"]), 3)
+        out = to_files(kept, f"{tmp_path}/kept")
+    got = monitor.newest(out).orderBy("worker", "place").collect()
+    assert [(r.worker, r.place, r.line) for r in got] == [("u", 1, "loss u"), ("v", 1, "loss b"), ("v", 2, "loss a"), ("w", 1, "loss 9"), ("w", 2, "loss late"), ("w", 3, "loss 3")]
+
+
+def test_flush_keeps_no_uids_in_its_state(spark, tmp_path):
+    """Many batches with repeats: no uid twice, no state at all; a batch that runs again replaces its own output."""
+    for n in range(12):
+        write_polls(f"{tmp_path}/polls", n, [(f"u{k}", 60 + n, "X") for k in range(n, n + 4)])
+    q = monitor.flush(monitor.polls(spark, f"{tmp_path}/polls"), f"{tmp_path}/out", f"{tmp_path}/cp", uid="ref", buckets=4)
+    q.awaitTermination(240)
+    assert q.exception() is None and all(not p["stateOperators"] for p in map(dict, q.recentProgress))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.ref for r in out.collect()) == sorted(f"u{k}" for k in range(15))
+    commits = sorted((int(f), f) for f in os.listdir(f"{tmp_path}/cp/commits") if f.isdigit())
+    for name in (commits[-1][1], f".{commits[-1][1]}.crc"):  # as if the last batch had failed after writing
+        if os.path.exists(f"{tmp_path}/cp/commits/{name}"):
+            os.remove(f"{tmp_path}/cp/commits/{name}")
+    monitor.flush(monitor.polls(spark, f"{tmp_path}/polls"), f"{tmp_path}/out", f"{tmp_path}/cp", uid="ref", buckets=4).awaitTermination(240)
+    assert sorted(r.ref for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(f"u{k}" for k in range(15))
+
+
+def test_flush_with_time_to_live(spark, tmp_path):
+    """With an event time the stream drops near repeats itself and what it wrote tells it of old ones."""
+    for n in range(8):
+        write_polls(f"{tmp_path}/polls", n, [("same", 60 + 300 * n, "X"), (f"u{n}", 60 + 300 * n, "X")])
+    q = monitor.flush(monitor.polls(spark, f"{tmp_path}/polls"), f"{tmp_path}/out", f"{tmp_path}/cp", uid="ref", ts="poll_ts", keep="1 hour")
+    q.awaitTermination(240)
+    assert q.exception() is None
+    assert sorted(r.ref for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(["same", *(f"u{n}" for n in range(8))])
+    assert max(dict(p)["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4
+
+
 def test_flush_resumes(spark, tmp_path):
     for n, polls in enumerate(BATCHES[:2]):
         write_polls(f"{tmp_path}/polls", n, polls)
