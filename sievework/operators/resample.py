@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.metrics import auc, macro, pearson
+from sievework.sources.shared import once
 
 
 def poisson1(u: Column) -> Column:
@@ -23,34 +24,116 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def replicates(rows: DataFrame, n: int, uid: str = "uid") -> DataFrame:
-    """Each row n times with replicate number and its Poisson(1) weight, rows of weight 0 left out: a bootstrap whose size
-    varies as little as rows are many. Weights follow the uid, so all labels and members of one are drawn together."""
-    out = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out.withColumn("times", poisson1(uniform(F.col("replicate").cast("string"), F.col(uid).cast("string")))).where("times > 0")
+#: Replicates whose weights ride on one row, each a column; more make further copies of a row.
+TOGETHER = 16
+#: Rows of a class that one leaf of the tree of draws holds.
+LEAF = 4096
 
 
-def weighted_auc(rows: DataFrame, keys: list[str], y: str, score: str, times: str) -> DataFrame:
-    """AUC with integer row weights, per keys."""
-    from sievework.functions.ranks import running_total
+def _blocks_of(rows: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // TOGETHER))))
+
+
+def _weight(k: int) -> str:
+    return f"_w{k}"
 
-    t = F.col(times)
-    counts = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(y) == 1, t).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(t)).alias("neg"))
-    sums = running_total(counts, keys, "_s", ["neg"], 1).groupBy(*keys).agg(F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))).alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("twice") / F.nullif(2 * F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
 
+def with_weights(rows: DataFrame, n: int, uid: str = "uid") -> DataFrame:
+    """Rows with the Poisson(1) weights of n replicates, TOGETHER of them as columns of one row (_block, _w0, ...): a bootstrap
+    whose size varies as little as rows are many. Weights follow the uid, so all labels and members of one are drawn together.
+    Unused columns of the last block are 0."""
+    out, each = _blocks_of(rows, n), {}
+    for k in range(min(n, TOGETHER)):
+        number = F.col("_block") * TOGETHER + k
+        each[_weight(k)] = F.when(number < n, poisson1(uniform(number.cast("string"), F.col(uid).cast("string")))).otherwise(0)
+    return out.withColumns(each)
+
+
+def replicate_auc(rows: DataFrame, keys: list[str], y: str, score: str, n: int) -> DataFrame:
+    """Rows with weights (`with_weights`, `with_draws`) to the AUC per keys and replicate. Each key's scores are ordered once: counts
+    and running totals of all replicates are columns of one row per distinct score."""
+    from sievework.functions.ranks import running_total
 
-def bootstrap_macro(rows: DataFrame, n: int = 200) -> DataFrame:
-    """(uid, label, y, p) to the mean, 2.5th and 97.5th percentile of the macro AUC over replicates."""
-    per = macro(weighted_auc(replicates(rows, n), ["replicate", "label"], "y", "p", "times"), ["replicate"])
+    many, keyed = range(min(n, TOGETHER)), [*keys, "_block"]
+    known = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull())
+    hit = F.col(y) == 1
+    counts = known.groupBy(*keyed, F.col(score).alias("_s")).agg(
+        *(F.sum(F.when(hit, F.col(_weight(k))).otherwise(0)).alias(f"_pos{k}") for k in many), *(F.sum(F.when(hit, 0).otherwise(F.col(_weight(k)))).alias(f"_neg{k}") for k in many)
+    )
+    totals = running_total(counts, keyed, "_s", [f"_neg{k}" for k in many])
+    sums = totals.groupBy(*keyed).agg(
+        *(F.sum(F.col(f"_pos{k}") * (2 * F.col(f"_neg{k}_before") + F.col(f"_neg{k}"))).alias(f"_twice{k}") for k in many), *(F.sum(f"_{c}{k}").alias(f"_{c}{k}") for c in ("pos", "neg") for k in many)
+    )
+    area = lambda k: F.when((F.col(f"_pos{k}") > 0) & (F.col(f"_neg{k}") > 0), F.col(f"_twice{k}") / F.nullif(2 * F.col(f"_pos{k}") * F.col(f"_neg{k}"), F.lit(0)))
+    each = F.explode(F.array(*(F.struct((F.col("_block") * TOGETHER + k).alias("replicate"), area(k).alias("auc")) for k in many)))
+    return sums.select(*keys, each.alias("r")).select(*keys, "r.replicate", "r.auc").where(F.col("replicate") < n)
+
+
+def _number(*parts: Column, digits: int = 12) -> Column:
+    """The first hex digits of the md5 of the parts as a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def _pick(n: Column, *parts: Column) -> Column:
+    """One of 0 to n - 1."""
+    return F.floor(_number(*parts).cast("double") / float(1 << 48) * n).cast("long")
+
+
+def class_places(rows: DataFrame, uid: str = "uid", y: str = "y") -> DataFrame:
+    """(uid, label, y, ...) with _place, a row's number within its label and class in the order of a hash of uid, and _size, the rows
+    of that class. Numbers are counted within 1024 parts of the hash's range, so no class meets in one task."""
+    from pyspark.sql import Window as W
+
+    hashed = once(rows.where(F.col(y).isNotNull()).withColumn("_h", _number(F.col(uid).cast("string"))))
+    parted = hashed.withColumn("_part", F.shiftright("_h", 38))
+    counts = parted.groupBy("label", y, "_part").agg(F.count("*").alias("_rows"))
+    of_class = W.partitionBy("label", y)
+    first = counts.select("label", y, "_part", F.coalesce(F.sum("_rows").over(of_class.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_rows").over(of_class).alias("_size"))
+    inside = F.row_number().over(W.partitionBy("label", y, "_part").orderBy("_h", uid)) - 1
+    return parted.withColumn("_in", inside).join(first, ["label", y, "_part"]).withColumn("_place", F.col("_first") + F.col("_in")).drop("_h", "_part", "_in", "_first")
+
+
+def with_draws(rows: DataFrame, n: int, uid: str = "uid", y: str = "y", leaf: int = LEAF) -> DataFrame:
+    """Rows with the weights of n class-stratified replicates: in each replicate and label, every class is drawn with replacement
+    exactly as often as it has rows, so class totals hold.
+
+    A multinomial split in two levels. A class of N rows, numbered by hash, makes N draws; a draw first falls into a leaf of
+    `leaf` consecutive numbers (in proportion to the leaf's rows, as it picks a number of 0 to N - 1), of which only the totals
+    per leaf and replicate are kept: a partial sum, some numbers per task. Within a leaf its draws fall on its rows alike. Draws
+    are md5 numbers, equal in every engine and independent of partitioning; they are made where they are counted and never
+    shuffled one by one.
+    """
+    placed = once(class_places(rows, uid, y))
+    own = [F.col("label").cast("string"), F.col(y).cast("string")]
+    draws = placed.select("label", y, "_place", "_size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    draws = draws.withColumn("_leaf", F.floor(_pick(F.col("_size"), F.col("replicate").cast("string"), *own, F.col("_place").cast("string")) / leaf).cast("long"))
+    per_leaf = draws.groupBy("label", y, "_size", "_leaf", "replicate").agg(F.count("*").alias("_m")).repartition("label", y, "_leaf")
+    one = per_leaf.withColumn("_i", F.explode(F.expr("sequence(1L, _m)")))
+    rows_of = F.least(F.lit(leaf), F.col("_size") - F.col("_leaf") * leaf)
+    place = F.col("_leaf") * leaf + _pick(rows_of, F.lit("leaf"), F.col("replicate").cast("string"), *own, F.col("_leaf").cast("string"), F.col("_i").cast("string"))
+    block, at = F.floor(F.col("replicate") / TOGETHER).cast("int"), F.col("replicate") % TOGETHER
+    # The leaf stays among the keys: counting needs no further exchange.
+    drawn = one.select("label", y, "_leaf", place.alias("_place"), block.alias("_block"), at.alias("_at")).groupBy("label", y, "_leaf", "_place", "_block").agg(*(F.count_if(F.col("_at") == k).alias(_weight(k)) for k in range(min(n, TOGETHER))))
+    joined = _blocks_of(placed, n).join(drawn.drop("_leaf"), ["label", y, "_place", "_block"], "left")
+    return joined.withColumns({_weight(k): F.coalesce(_weight(k), F.lit(0)) for k in range(min(n, TOGETHER))})
+
+
+def _drawn(rows: DataFrame, n: int, stratified: bool) -> DataFrame:
+    return with_draws(rows, n) if stratified else with_weights(rows, n)
+
+
+def bootstrap_macro(rows: DataFrame, n: int = 200, stratified: bool = False) -> DataFrame:
+    """(uid, label, y, p) to the mean, 2.5th and 97.5th percentile of the macro AUC over replicates: Poisson weights per uid, or
+    stratified by class within each label."""
+    per = macro(replicate_auc(_drawn(rows, n, stratified), ["label"], "y", "p", n), ["replicate"])
     return per.agg(F.avg("macro_auc").alias("mean"), F.expr("percentile(macro_auc, array(0.025, 0.975))").alias("q"), F.count("*").alias("n")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "n")
 
 
-def bootstrap_delta(rows: DataFrame, n: int = 200) -> DataFrame:
+def bootstrap_delta(rows: DataFrame, n: int = 200, stratified: bool = False) -> DataFrame:
     """(uid, label, y, a, b): per label the paired gain of b over a: mean, 10th and 90th percentile, share of wins."""
-    drawn = replicates(rows, n)
-    a = weighted_auc(drawn, ["replicate", "label"], "y", "a", "times").withColumnRenamed("auc", "auc_a")
-    b = weighted_auc(drawn, ["replicate", "label"], "y", "b", "times").withColumnRenamed("auc", "auc_b")
+    drawn = _drawn(rows, n, stratified)
+    a = replicate_auc(drawn, ["label"], "y", "a", n).withColumnRenamed("auc", "auc_a")
+    b = replicate_auc(drawn, ["label"], "y", "b", n).withColumnRenamed("auc", "auc_b")
     gain = a.join(b, ["replicate", "label"]).withColumn("gain", F.col("auc_b") - F.col("auc_a"))
     return gain.groupBy("label").agg(F.avg("gain").alias("mean"), F.expr("percentile(gain, array(0.1, 0.9))").alias("q"), F.avg((F.col("gain") > 0).cast("int")).alias("win")).select("label", "mean", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q90"), "win")
 
@@ -64,9 +147,10 @@ def fit_weights(rows: DataFrame, grid: list[float], default: float) -> DataFrame
 
 
 def bootstrap_weights(rows: DataFrame, grid: list[float], default: float, n: int = 50) -> DataFrame:
-    """Per label over replicates: median and mode of the best weight, and the share of replicates above the default."""
-    tried = replicates(rows, n).withColumn("weight", F.explode(F.array(*(F.lit(g) for g in grid)))).withColumn("m", F.round((1 - F.col("weight")) * F.col("ra") + F.col("weight") * F.col("rb"), 9))
-    scored = weighted_auc(tried, ["replicate", "label", "weight"], "y", "m", "times").where("auc is not null")
+    """Per label over replicates: median and mode of the best weight, and the share of replicates above the default. The grid
+    multiplies the rows, replicates don't: their weights are columns."""
+    tried = with_weights(rows, n).withColumn("weight", F.explode(F.array(*(F.lit(g) for g in grid)))).withColumn("m", F.round((1 - F.col("weight")) * F.col("ra") + F.col("weight") * F.col("rb"), 9))
+    scored = replicate_auc(tried, ["label", "weight"], "y", "m", n).where("auc is not null")
     order = F.struct((-F.round("auc", 12)).alias("a"), F.round(F.abs(F.col("weight") - default), 9).alias("d"), F.col("weight").alias("w"))
     best = scored.groupBy("replicate", "label").agg(F.min_by("weight", order).alias("weight"))
     modes = best.groupBy("label", "weight").agg(F.count("*").alias("n")).groupBy("label").agg(F.min_by("weight", F.struct((-F.col("n")).alias("n"), F.col("weight").alias("w"))).alias("mode"))
@@ -128,4 +212,4 @@ def ols(rows: DataFrame, y: str, x: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([(t, float(c), r2) for t, c in zip(["1", *x], coef)], "term string, coef double, r2 double")
 
 
-__all__ = ["bootstrap_delta", "bootstrap_macro", "bootstrap_weights", "compare_profiles", "fit_weights", "ols", "pair_gain", "pearson", "profiles", "replicates", "split_half"]
+__all__ = ["bootstrap_delta", "bootstrap_macro", "bootstrap_weights", "compare_profiles", "fit_weights", "ols", "pair_gain", "pearson", "profiles", "replicate_auc", "split_half", "with_draws", "with_weights"]

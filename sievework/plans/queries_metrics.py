@@ -390,13 +390,43 @@ def fit_target_weights(spark, d):
     return resample.fit_weights(_ranked_pair(spark, d), GRID, 0.5).select("label", "weight", R("auc").alias("auc"))
 
 
-@query()
+@query(f"WITH {_RANKED}, {_DRAWS.format(t='z', n=20, p=_POISSON)}, g AS (SELECT d.*, weight, round((1 - weight) * ra + weight * rb, 9) AS m FROM d, (VALUES {', '.join(f'({g}::DOUBLE)' for g in GRID)}) v(weight)), {wauc_sql('t', 'g', 'replicate, label, weight', 'm')}, best AS (SELECT replicate, label, first(weight ORDER BY round(auc, 12) DESC, round(abs(weight - 0.5), 9), weight) AS weight FROM t WHERE auc IS NOT NULL GROUP BY replicate, label), md AS (SELECT label, first(weight ORDER BY n DESC, weight) AS mode FROM (SELECT label, weight, count(*) AS n FROM best GROUP BY ALL) GROUP BY label) SELECT label, quantile_cont(weight, 0.5) AS median, avg((weight > 0.5)::INT) AS above, mode FROM best JOIN md USING (label) GROUP BY label, mode")
 def bootstrap_weights(spark, d):
-    """Stability of the best weight (ties in floating point may fall either way in another engine: no SQL)"""
-    t = resample.bootstrap_weights(_ranked_pair(spark, d), [0.25, 0.5, 0.75], 0.5, 10)
+    """Stability of the best weight"""
+    t = resample.bootstrap_weights(_ranked_pair(spark, d), GRID, 0.5, 20)
     return t.select("label", "median", "above", "mode")
 
 
+_U48 = "('0x' || substr(md5({}), 1, 12))::BIGINT::DOUBLE / 281474976710656.0"
+
+
+def draws_sql(source: str, n: int, leaf: int) -> str:
+    """A CTE d: the rows of `source` (uid, label, y) with replicate and times, drawn by class in two levels."""
+    key = "r || ':' || label || ':' || y || ':' || "
+    return f"""pl AS (SELECT s.*, row_number() OVER (PARTITION BY label, y ORDER BY substr(md5(uid || ''), 1, 12), uid) - 1 AS place, count(*) OVER (PARTITION BY label, y) AS size FROM {source} s WHERE y IS NOT NULL),
+lf AS (SELECT label, y, size, r, floor({_U48.format(key + 'place')} * size)::BIGINT // {leaf} AS leaf, count(*) AS m FROM pl, range({n}) x(r) GROUP BY ALL),
+dr AS (SELECT label, y, r, leaf * {leaf} + floor({_U48.format("'leaf:' || " + key + "leaf || ':' || i")} * least({leaf}, size - leaf * {leaf}))::BIGINT AS place, count(*) AS times FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM lf) GROUP BY ALL),
+d AS (SELECT pl.*, r AS replicate, times FROM pl JOIN dr ON pl.label = dr.label AND pl.y = dr.y AND pl.place = dr.place)"""
+
+
+@query(f"WITH {MEMBERS_SQL}, m0 AS (SELECT uid, label, y, p FROM members WHERE member = 'm0'), {draws_sql('m0', 40, 64)}, {wauc_sql('t', 'd', 'replicate, label', 'p')}, q AS (SELECT avg(auc) AS a FROM t GROUP BY replicate) SELECT round(avg(a), 9) AS mean, round(quantile_cont(a, 0.025), 9) AS low, round(quantile_cont(a, 0.975), 9) AS high, count(*) AS n FROM q")
+def bootstrap_by_class(spark, d):
+    """Stratified by class within each label"""
+    drawn = resample.with_draws(one(spark, d).select("uid", "label", "y", "p"), 40, leaf=64)
+    per = metrics.macro(resample.replicate_auc(drawn, ["label"], "y", "p", 40), ["replicate"])
+    t = per.agg(F.avg("macro_auc").alias("mean"), F.expr("percentile(macro_auc, array(0.025, 0.975))").alias("q"), F.count("*").alias("n"))
+    return t.select(R("mean").alias("mean"), R(F.col("q")[0]).alias("low"), R(F.col("q")[1]).alias("high"), "n")
+
+
+@query(f"WITH {MEMBERS_SQL}, m0 AS (SELECT uid, label, y FROM members WHERE member = 'm0'), {draws_sql('m0', 20, 64)} SELECT label, y, replicate, sum(times)::BIGINT AS drawn, max(size) AS size, count(*) AS different FROM d GROUP BY label, y, replicate")
+def class_draws(spark, d):
+    """What each class of each replicate holds; `drawn` equals `size` in every row"""
+    drawn = resample.with_draws(one(spark, d).select("uid", "label", "y"), 20, leaf=64)
+    each = F.explode(F.array(*(F.struct((F.col("_block") * resample.TOGETHER + k).alias("replicate"), F.col(f"_w{k}").alias("times")) for k in range(resample.TOGETHER))))
+    rows = drawn.select("label", "y", "_size", each.alias("r")).select("label", "y", "_size", "r.*").where("replicate < 20")
+    return rows.groupBy("label", "y", "replicate").agg(F.sum("times").alias("drawn"), F.max("_size").alias("size"), F.count_if(F.col("times") > 0).alias("different"))
+
+
 @query(f"WITH {_RANKED}, {_FIT}, pr AS (SELECT label, unnest([{{'k': 'default', 'w': 0.5::DOUBLE}}, {{'k': 'fitted', 'w': weight}}, {{'k': 'half', 'w': (weight + 0.5) / 2}}, {{'k': 'step', 'w': 0.5 + greatest(-0.1, least(0.1, weight - 0.5))}}, {{'k': 'against', 'w': 0.5 - (weight - 0.5) / 2}}]) AS s FROM fit), mx AS (SELECT s.k AS profile, z.label, z.y, round((1 - s.w) * ra + s.w * rb, 9) AS m FROM z JOIN pr USING (label)), {auc_sql('ap', 'mx', 'profile, label', 'y', 'm')}, mp AS (SELECT profile, avg(auc) AS a FROM ap GROUP BY profile) SELECT profile, round(a, 9) AS macro_auc, round(a - (SELECT a FROM mp WHERE profile = 'default'), 9) AS gain FROM mp")
 def profile_comparison(spark, d):
     """G18"""
@@ -477,3 +507,55 @@ def source_scores(spark, d):
 def rank_floor(spark, d):
     """H6"""
     return quality.rank_floor(metrics.spearman(pair(spark, d), ["label"], "a", "b"), 0.9, 0.5).select(R("mean").alias("mean"), R("least").alias("least"), "unknown")
+
+
+def _audit_sql(n: int) -> str:
+    from sievework.plans.queries_tables import CONF
+
+    err = [f"CASE WHEN is_gold AND v{k} IS NOT NULL THEN ((v{k} >= 0.5) <> (y > 0.5))::INT END" for k in range(3)]
+    gold_cells = "CASE WHEN is_gold THEN y END"
+    by_label = [(2, "gold_rate", None, None, f"avg({gold_cells})"), (2, "unk", None, None, "avg(unk::INT)"), (2, "yes", None, None, "avg(coalesce(verdict = 'YES', FALSE)::INT)")]
+    by_label += [(2, "blend_positive", None, None, "avg((blend >= 0.5)::INT)"), (2, "blend_unk", None, None, "avg(blend) FILTER (unk)"), (2, "w_unk", None, None, "avg(w) FILTER (unk)"), (2, "w_addressed", None, None, "avg(w) FILTER (NOT unk)"), (2, "at_floor", None, None, "avg((w <= 0.15 + 1e-9)::INT)")]
+    for k in range(3):
+        by_label += [(2, "positive", f"s{k + 1}", None, f"avg((v{k} >= 0.5)::INT)"), (2, "value_unk", f"s{k + 1}", None, f"avg(v{k}) FILTER (unk)"), (3, "error", f"s{k + 1}", None, f"avg({err[k]})")]
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    for i, j in pairs:
+        x, z = (f"(CASE WHEN {err[i]} IS NOT NULL AND {err[j]} IS NOT NULL THEN {err[o]} END)" for o in (i, j))
+        by_label.append((3, "error_phi", f"s{i + 1}", f"s{j + 1}", f"CASE WHEN stddev_pop({x}) * stddev_pop({z}) > 1e-12 THEN covar_pop({x}, {z}) / (stddev_pop({x}) * stddev_pop({z})) END"))
+    q = lambda v: "NULL" if v is None else f"'{v}'"
+    parts = [f"SELECT {sec} AS section, NULL AS lang, label, {q(a)} AS a, {q(b)} AS b, '{m}' AS measure, ({x})::DOUBLE AS value FROM b GROUP BY label" for sec, m, a, b, x in by_label]
+    parts += [f"SELECT 1, lang, NULL, NULL, NULL, '{m}', ({x})::DOUBLE FROM b GROUP BY lang" for m, x in (("studies", "count(*) FILTER (first)"), ("gold", "count(*) FILTER (first AND is_gold)"), ("share", "count(*) FILTER (first)::DOUBLE / (SELECT count(*) FROM b WHERE first)"))]
+    parts += ["SELECT 1, NULL, NULL, NULL, NULL, 'all_studies', (count(*) FILTER (first))::DOUBLE FROM b"]
+    parts += [f"SELECT 3, NULL, NULL, 's{i + 1}', 's{j + 1}', 'agreement', avg(((v{i} >= 0.5) = (v{j} >= 0.5))::INT) FROM b" for i, j in pairs]
+    parts += ["SELECT 4, lang, label, NULL, NULL, 'unk', avg(unk::INT) FROM b GROUP BY lang, label", "SELECT 4, lang, label, NULL, NULL, 'cells', count(*)::DOUBLE FROM b GROUP BY lang, label"]
+    parts += ["SELECT 4, lang, NULL, 's1', 's2', 'spearman', avg(rho) FROM rho GROUP BY lang"]
+    for m, x in (("unaddressed", "avg(unk::INT)"), ("n", "count(*) FILTER (unk)"), ("gold_unaddressed", "count(*) FILTER (unk AND is_gold)"), ("gold_unaddressed_positive", "count(*) FILTER (unk AND is_gold AND y > 0.5)"), ("w_before", "avg(w) FILTER (unk)"), ("w_after", "avg(CASE WHEN unk AND dv IS NOT NULL THEN dw ELSE w END) FILTER (unk)")):
+        parts.append(f"SELECT 5, NULL, 'toxic', 'quality', NULL, '{m}', ({x})::DOUBLE FROM bf")
+    se = "sqrt(greatest(auc * (1 - auc) + (n_pos - 1) * (auc / (2 - auc) - auc * auc) + (n_neg - 1) * (2 * auc * auc / (1 + auc) - auc * auc), 0) / (n_pos * n_neg))"
+    parts += ["SELECT 5, NULL, 'toxic', 'quality', NULL, 'auc_' || which, auc FROM sc", f"SELECT 5, NULL, 'toxic', 'quality', NULL, 'se_' || which, {se} FROM sc"]
+    parts += [f"SELECT 5, NULL, 'toxic', 'quality', NULL, '{m}', {x} FROM gn" for m, x in (("delta", "avg(g)"), ("delta_low", "quantile_cont(g, 0.025)"), ("delta_high", "quantile_cont(g, 0.975)"))]
+    tri = "SELECT x.uid, x.label AS a, z.label AS c, x.{v} AS s, z.{v} AS t FROM co x JOIN co z ON x.uid = z.uid AND x.label < z.label WHERE x.{v} IS NOT NULL AND z.{v} IS NOT NULL"
+    phi = "CASE WHEN stddev_pop(s) * stddev_pop(t) > 1e-12 THEN covar_pop(s, t) / (stddev_pop(s) * stddev_pop(t)) END"
+    parts += [f"SELECT 6, NULL, a, c, NULL, 'phi_gold', {phi} FROM ({tri.format(v='g')}) GROUP BY a, c", f"SELECT 6, NULL, c, a, NULL, 'phi_weak', {phi} FROM ({tri.format(v='w')}) GROUP BY a, c"]
+    return f"""WITH {SOURCES_SQL}, {GOLD_SQL}, cell AS (
+  SELECT uid, lang, label, max(value) FILTER (source = 's1') AS v0, max(value) FILTER (source = 's2') AS v1, max(value) FILTER (source = 's3') AS v2, max(verdict) FILTER (source = 's1') AS verdict,
+         avg(value) AS blend, {CONF.format(s='stddev_pop(value)', m='avg(value)')} AS w FROM sources GROUP BY uid, lang, label),
+b AS (SELECT c.*, g.y, count(g.y) OVER (PARTITION BY c.uid, c.lang) = count(*) OVER (PARTITION BY c.uid, c.lang) AS is_gold, row_number() OVER (PARTITION BY c.uid, c.lang ORDER BY c.label) = 1 AS first,
+             coalesce(verdict = 'UNK', FALSE) AS unk FROM cell c LEFT JOIN gold g ON g.uid = c.uid AND g.label = c.label),
+rk AS (SELECT lang, label, rank() OVER (PARTITION BY lang, label ORDER BY v0) + (count(*) OVER (PARTITION BY lang, label, v0) - 1) / 2.0 AS x, rank() OVER (PARTITION BY lang, label ORDER BY v1) + (count(*) OVER (PARTITION BY lang, label, v1) - 1) / 2.0 AS z FROM b WHERE v0 IS NOT NULL AND v1 IS NOT NULL),
+rho AS (SELECT lang, label, CASE WHEN count(*) > 20 AND stddev_pop(x) * stddev_pop(z) > 1e-12 THEN covar_pop(x, z) / (stddev_pop(x) * stddev_pop(z)) END AS rho FROM rk GROUP BY lang, label),
+bf AS (SELECT t.*, d.blend AS dv, d.w AS dw, CASE WHEN t.unk AND d.blend IS NOT NULL THEN d.blend ELSE t.blend END AS new FROM b t LEFT JOIN b d ON d.uid = t.uid AND d.label = 'quality' WHERE t.label = 'toxic'),
+kn AS (SELECT uid, label, (y > 0.5)::INT AS y, blend AS old, new FROM bf WHERE is_gold),
+un AS (SELECT 'old' AS which, y, old AS p FROM kn UNION ALL SELECT 'new', y, new FROM kn), {auc_sql('sc', 'un', 'which', 'y', 'p')},
+{_DRAWS.format(t='kn', n=n, p=_POISSON)}, dold AS (SELECT * FROM d WHERE old IS NOT NULL), dnew AS (SELECT * FROM d WHERE new IS NOT NULL), {wauc_sql('ao', 'dold', 'replicate, label', 'old')}, {wauc_sql('an', 'dnew', 'replicate, label', 'new')},
+gn AS (SELECT an.auc - ao.auc AS g FROM an JOIN ao ON an.replicate = ao.replicate),
+co AS (SELECT uid, label, CASE WHEN is_gold THEN (y > 0.5)::INT::DOUBLE END AS g, (blend >= 0.5)::INT::DOUBLE AS w FROM b),
+long AS ({' UNION ALL '.join(parts)})
+SELECT section, lang, label, a, b, measure, round(value, 9) AS value FROM long"""
+
+
+@query(_audit_sql(30))
+def label_audit(spark, d):
+    """Six sections in one table"""
+    t = audit.label_audit(sources(spark, d), gold(spark, d), ["s1", "s2", "s3"], "s1", ("toxic", "quality"), replicates=30)
+    return t.select("section", "lang", "label", "a", "b", "measure", R("value").alias("value"))

@@ -258,6 +258,27 @@ def label_cooccurrence(spark, d):
     return t.select("a", "b", R("r").alias("r"), "both")
 
 
+_TRI = "SELECT x.label AS a, z.label AS b, {v} AS v, CASE WHEN stddev_pop(x.{v}) * stddev_pop(z.{v}) > 1e-12 THEN covar_pop(x.{v}, z.{v}) / (stddev_pop(x.{v}) * stddev_pop(z.{v})) END AS r, count(*) AS n FROM {t} x JOIN {t} z ON x.uid = z.uid AND x.label < z.label WHERE x.{v} IS NOT NULL AND z.{v} IS NOT NULL GROUP BY ALL"
+_BOTH = f"WITH {MEMBERS_SQL}, c AS (SELECT uid, label, y::DOUBLE AS g, p AS w FROM members WHERE member = 'm0' AND uid % 10 <> 7), tri AS (SELECT a AS row, b AS col, 'gold' AS triangle, r, n FROM ({_TRI.format(v='g', t='c').replace('g AS v', '0 AS v')}) UNION ALL SELECT b, a, 'weak', r, n FROM ({_TRI.format(v='w', t='c').replace('w AS v', '0 AS v')}))"
+
+
+def _triangles(spark, d):
+    m = members(spark, d).where("member = 'm0' and uid % 10 <> 7")
+    return audit.two_triangles(m.select("uid", "label", F.col("y").cast("double").alias("g"), F.col("p").alias("w")), "uid", "label", "g", "w")
+
+
+@query(f"{_BOTH} SELECT row, col, triangle, round(r, 9) AS r, n FROM tri")
+def label_matrix(spark, d):
+    """Gold above the diagonal, weak below"""
+    return _triangles(spark, d).select("row", "col", "triangle", R("r").alias("r"), "n")
+
+
+@query(f"{_BOTH} SELECT row, col, round(r, 9) AS r FROM tri WHERE triangle = 'weak' AND r IS NOT NULL ORDER BY round(abs(r), 12) DESC, row, col LIMIT 5")
+def top_label_pairs(spark, d):
+    """The five pairs that go together most"""
+    return audit.top_pairs(_triangles(spark, d)).select("row", "col", R("r").alias("r"))
+
+
 @query(f"WITH {SERIES_SQL} SELECT uid, count(*) AS n_series, count(*) FILTER (plane = 'Sagittal') AS \"n_Sagittal\", count(*) FILTER (plane = 'Coronal') AS \"n_Coronal\", count(*) FILTER (fluid) AS n_fluid, count(*) FILTER (fat_sat) AS n_fat_sat, count(*) FILTER (plane = 'Sagittal' AND fluid) AS \"n_Sagittal_fluid\", count(*) FILTER (plane = 'Sagittal' AND fat_sat) AS \"n_Sagittal_fat_sat\", count(*) FILTER (plane = 'Coronal' AND fluid) AS \"n_Coronal_fluid\", count(*) FILTER (plane = 'Coronal' AND fat_sat) AS \"n_Coronal_fat_sat\" FROM series GROUP BY uid")
 def protocol_features(spark, d):
     """D11"""
