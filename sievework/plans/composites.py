@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import ranks
-from sievework.functions.metrics import auc, macro, spearman
+from sievework.functions.metrics import auc, macro, pearson, spearman
 from sievework.functions.ranks import with_rank
 from sievework.operators import blend, labels, quality, resample, splits
+from sievework.sources.shared import once
 
 
 def score_sources(sources: DataFrame, gold: DataFrame) -> DataFrame:
@@ -76,6 +80,78 @@ def pair_study(members: DataFrame, kind=None) -> DataFrame:
     return out.select("a", "b", named.alias("kind"), "rho", "both", (F.col("both") - F.greatest("auc_a", "auc_b")).alias("gain"))
 
 
+def _digits(text: str, n: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:n], 16)
+
+
+def unranked(rank: int, k: int) -> int:
+    """The rank-th set of k bits in ascending order of its number, by the combinatorial number system."""
+    mask = 0
+    for left in range(k, 0, -1):
+        bit = left - 1
+        while comb(bit + 1, left) <= rank:
+            bit += 1
+        mask |= 1 << bit
+        rank -= comb(bit, left)
+    return mask
+
+
+def random_subsets(n: int, count: int, least: int = 2, most: int = 7) -> dict[int, int]:
+    """`count` draws of subsets of n members, as bits, and how often each was drawn: a size of `least` to `most` and a rank among
+    the subsets of that size, both from md5 of the draw's number."""
+    out: dict[int, int] = {}
+    for t in range(count):
+        k = least + _digits(f"size:{t}", 8) % (min(most, n) - least + 1)
+        mask = unranked(_digits(f"rank:{t}", 12) % comb(n, k), k)
+        out[mask] = out.get(mask, 0) + 1
+    return out
+
+
+def subset_study(members: DataFrame, count: int = 1500, least: int = 2, most: int = 7) -> DataFrame:
+    """Random subsets of the members (member, uid, label, y, p): (mask, members, size, draws, rho, macro_auc, solo, gain).
+
+    rho: the mean over the subset's pairs and the labels of their ranks' correlation; solo: the members' mean macro AUC; gain: that
+    of the subset's rank mean above it. Bit i of the mask is the i-th member by name; 62 at most. A uid's ranks are one array, so
+    each subset's mean is read off it and all correlations are sums of one pass; nothing is joined by uid.
+    """
+    names = [r.member for r in members.select("member").distinct().orderBy("member").collect()]
+    drawn = random_subsets(len(names), count, least, most)
+    ranked = with_rank(members, ["member", "label"], "p", "r")
+    wide = once(ranked.groupBy("uid", "label").agg(F.max("y").alias("y"), F.array(*(F.max(F.when(F.col("member") == m, F.col("r"))) for m in names)).alias("r")))
+    own = F.expr("filter(transform(r, (x, i) -> if(getbit(mask, i) = 1, x, null)), x -> x is not null)")
+    mean = F.round(F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(own), F.lit(0)), 9)
+    scored = wide.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in drawn)))).withColumn("m", mean)
+    both = once(macro(auc(scored, ["mask", "label"], "y", "m"), ["mask"]).select("mask", "macro_auc"))
+
+    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
+    per = wide.groupBy("label").agg(*(pearson(F.col("r")[i], F.col("r")[j]).alias(f"{i}_{j}") for i, j in pairs)).agg(*(F.avg(f"{i}_{j}").alias(f"{i}_{j}") for i, j in pairs)).first()
+    solo = {r.member: r.macro_auc for r in macro(auc(members, ["member", "label"], "y", "p"), ["member"]).collect()}  # a row per member
+    rows = []
+    for mask, draws in drawn.items():
+        inside = [i for i in range(len(names)) if mask >> i & 1]
+        rho = [per[f"{i}_{j}"] for j in inside for i in inside if i < j and per[f"{i}_{j}"] is not None]
+        alone = [solo[names[i]] for i in inside if solo[names[i]] is not None]
+        rows.append((mask, ",".join(names[i] for i in inside), len(inside), draws, sum(rho) / len(rho) if rho else None, sum(alone) / len(alone) if alone else None))
+    table = members.sparkSession.createDataFrame(rows, "mask long, members string, size int, draws int, rho double, solo double")
+    return table.join(both, "mask").select("mask", "members", "size", "draws", "rho", "macro_auc", "solo", (F.col("macro_auc") - F.col("solo")).alias("gain"))
+
+
+def subset_margins(study: DataFrame) -> DataFrame:
+    """Per member: the mean macro AUC of the drawn subsets with it and without it, and the difference."""
+    names = study.select(F.explode(F.split("members", ",")).alias("member")).distinct()
+    met = study.withColumn("all", F.array_sort(F.lit(names.agg(F.collect_set("member")).first()[0])))
+    each = met.select("macro_auc", "draws", F.split("members", ",").alias("own"), F.explode("all").alias("member")).withColumn("within", F.array_contains("own", F.col("member")))
+    mean = lambda c: F.sum(F.when(c, F.col("macro_auc") * F.col("draws"))) / F.nullif(F.sum(F.when(c, F.col("draws"))), F.lit(0))
+    out = each.groupBy("member").agg(mean(F.col("within")).alias("with"), mean(~F.col("within")).alias("without"))
+    return out.withColumn("value", F.col("with") - F.col("without"))
+
+
+def subset_model(study: DataFrame) -> DataFrame:
+    """gain ~ 1, 1 - rho, ln(size) over the draws: coefficients and R squared."""
+    rows = study.select("gain", (1 - F.col("rho")).alias("apart"), F.log("size").alias("ln_size"), F.explode(F.array_repeat(F.lit(0), F.col("draws"))))
+    return resample.ols(rows, "gain", ["apart", "ln_size"])
+
+
 def submission(template: DataFrame, pred: DataFrame, least: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(uid, label) of the template with predictions or 0.5, and violations: low coverage, values out of range, constant labels."""
     filled = template.join(pred, ["uid", "label"], "left").withColumn("filled", F.col("p").isNull()).withColumn("p", F.coalesce("p", F.lit(0.5)))
@@ -100,4 +176,4 @@ def board(private: DataFrame, public: DataFrame) -> DataFrame:
     return placed(private, "private", True).join(placed(public, "public", False), "team", "left").withColumn("gap", F.col("private") - F.col("public"))
 
 
-__all__ = ["blend_check", "board", "build_targets", "marginal_value", "pair_study", "resample", "score_sources", "submission"]
+__all__ = ["blend_check", "board", "build_targets", "marginal_value", "pair_study", "random_subsets", "resample", "score_sources", "submission", "subset_margins", "subset_model", "subset_study"]

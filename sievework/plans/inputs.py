@@ -22,19 +22,23 @@ def digest_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions (member, uid, label, p, y, fold): each member is one dimension of the embeddings per label."""
+def members(spark: SparkSession, sf_dir: str, n: int = MEMBERS) -> DataFrame:
+    """Predictions (member, uid, label, p, y, fold) of n members: each is one dimension of the embeddings per label."""
     e = table(spark, sf_dir, "embeddings")
     p = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.floor(F.col("embedding")[i].cast("double") * 1000) + 500) / 1000))
-    cells = F.array(*(F.struct(F.lit(f"m{m}").alias("member"), F.lit(f"c{k}").alias("label"), p(k * MEMBERS + m).alias("p"), (F.col("label") % CLASSES == k).cast("int").alias("y")) for k in range(CLASSES) for m in range(MEMBERS)))
+    cells = F.array(*(F.struct(F.lit(f"m{m}").alias("member"), F.lit(f"c{k}").alias("label"), p(k * n + m).alias("p"), (F.col("label") % CLASSES == k).cast("int").alias("y")) for k in range(CLASSES) for m in range(n)))
     return e.select(F.col("vec_id").alias("uid"), (F.col("vec_id") % FOLDS).cast("int").alias("fold"), F.explode(cells).alias("c")).select("uid", "fold", "c.*")
 
 
-MEMBERS_SQL = f"""members AS (
+def members_sql(n: int) -> str:
+    return f"""members AS (
   SELECT e.vec_id AS uid, CAST(e.vec_id % {FOLDS} AS INT) AS fold, 'm' || m AS member, 'c' || k AS label,
-         greatest(0.0::DOUBLE, least(1.0::DOUBLE, (floor(e.embedding[k * {MEMBERS} + m + 1]::DOUBLE * 1000) + 500) / 1000)) AS p,
+         greatest(0.0::DOUBLE, least(1.0::DOUBLE, (floor(e.embedding[k * {n} + m + 1]::DOUBLE * 1000) + 500) / 1000)) AS p,
          CAST(e.label % {CLASSES} = k AS INT) AS y
-  FROM embeddings e, range({CLASSES}) a(k), range({MEMBERS}) b(m))"""
+  FROM embeddings e, range({CLASSES}) a(k), range({n}) b(m))"""
+
+
+MEMBERS_SQL = members_sql(MEMBERS)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import metrics, ranks
 from sievework.operators import audit, blend, labels, quality, resample
 from sievework.plans import composites
-from sievework.plans.inputs import GOLD_SQL, MEMBERS_SQL, SOURCES_SQL, auc_sql, gold, members, pct_sql, sources
+from sievework.plans.inputs import GOLD_SQL, MEMBERS_SQL, SOURCES_SQL, auc_sql, gold, members, members_sql, pct_sql, sources
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -464,6 +464,39 @@ def marginal_value(spark, d):
     return t.select("member", R("all").alias("all"), R("rest").alias("rest"), R("value").alias("value"))
 
 
+_SUBSETS = f"""{members_sql(8)}, {pct_sql('rk', 'members', 'member, label', 'p', 'r')}, al AS (SELECT m AS mask, bit_count(m) AS k, row_number() OVER (PARTITION BY bit_count(m) ORDER BY m) - 1 AS at, count(*) OVER (PARTITION BY bit_count(m)) AS of FROM range(1, 256) x(m)),
+dw AS (SELECT t, 2 + ('0x' || substr(md5('size:' || t), 1, 8))::BIGINT % 6 AS k FROM range(60) y(t)),
+sub AS (SELECT mask, any_value(al.k)::INT AS size, count(*)::INT AS draws FROM dw JOIN al ON al.k = dw.k AND al.at = ('0x' || substr(md5('rank:' || t), 1, 12))::BIGINT % al.of GROUP BY mask),
+bits AS (SELECT mask, 'm' || i AS member FROM sub, range(8) z(i) WHERE (mask >> i) & 1 = 1),
+sm AS (SELECT mask, uid, label, max(y) AS y, round(avg(r), 9) AS p FROM rk JOIN bits USING (member) GROUP BY ALL), {auc_sql('t', 'sm', 'mask, label', 'y', 'p')}, {auc_sql('s1', 'members', 'member, label', 'y', 'p')},
+sg AS (SELECT member, avg(auc) AS a FROM s1 GROUP BY member),
+rh AS (SELECT a, b, avg(rho) AS rho FROM (SELECT x.member AS a, z.member AS b, x.label, covar_pop(x.r, z.r) / (stddev_pop(x.r) * stddev_pop(z.r)) AS rho FROM rk x JOIN rk z ON x.uid = z.uid AND x.label = z.label AND x.member < z.member GROUP BY ALL) GROUP BY a, b),
+st AS (SELECT sub.mask, size, draws, (SELECT string_agg(member, ',' ORDER BY member) FROM bits WHERE bits.mask = sub.mask) AS members, (SELECT avg(rho) FROM rh JOIN bits p ON p.member = rh.a JOIN bits q ON q.member = rh.b AND q.mask = p.mask WHERE p.mask = sub.mask) AS rho,
+  (SELECT avg(auc) FROM t WHERE t.mask = sub.mask) AS macro_auc, (SELECT avg(a) FROM sg JOIN bits USING (member) WHERE bits.mask = sub.mask) AS solo FROM sub)"""
+
+
+@query(f"WITH {_SUBSETS} SELECT mask, members, size, draws, round(rho, 9) AS rho, round(macro_auc, 9) AS macro_auc, round(solo, 9) AS solo, round(macro_auc - solo, 9) AS gain FROM st")
+def subset_study(spark, d):
+    """Random subsets of eight members"""
+    t = composites.subset_study(members(spark, d, 8), 60)
+    return t.select("mask", "members", "size", "draws", *(R(c).alias(c) for c in ("rho", "macro_auc", "solo", "gain")))
+
+
+@query(f"WITH {_SUBSETS}, w AS (SELECT m.member, sum(macro_auc * draws) FILTER (list_contains(string_split(members, ','), m.member)) / sum(draws) FILTER (list_contains(string_split(members, ','), m.member)) AS a, sum(macro_auc * draws) FILTER (NOT list_contains(string_split(members, ','), m.member)) / sum(draws) FILTER (NOT list_contains(string_split(members, ','), m.member)) AS b FROM st, (SELECT DISTINCT member FROM bits) m GROUP BY m.member) SELECT member, round(a, 9) AS \"with\", round(b, 9) AS without, round(a - b, 9) AS value FROM w")
+def subset_margins(spark, d):
+    """What a member adds over random subsets"""
+    t = composites.subset_margins(composites.subset_study(members(spark, d, 8), 60))
+    return t.select("member", *(R(c).alias(c) for c in ("with", "without", "value")))
+
+
+@query(f"WITH {_SUBSETS}, o AS (SELECT macro_auc - solo AS g, 1 - rho AS x, ln(size) AS z FROM st, range(draws)), c AS (SELECT var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, g) AS xg, covar_pop(z, g) AS zg, avg(x) AS mx, avg(z) AS mz, avg(g) AS mg, var_pop(g) AS gg FROM o), b AS (SELECT *, (xg * zz - zg * xz) / (xx * zz - xz * xz) AS bx, (zg * xx - xg * xz) / (xx * zz - xz * xz) AS bz FROM c) SELECT round(mg - bx * mx - bz * mz, 6) AS intercept, round(bx, 6) AS apart, round(bz, 6) AS ln_size, round((bx * xg + bz * zg) / gg, 6) AS r2 FROM b")
+def subset_model(spark, d):
+    """The gain of a subset by how far apart its members are and how many"""
+    t = composites.subset_model(composites.subset_study(members(spark, d, 8), 60))
+    of = lambda term: R(F.max(F.when(F.col("term") == term, F.col("coef"))), 6)
+    return t.agg(of("1").alias("intercept"), of("apart").alias("apart"), of("ln_size").alias("ln_size"), R(F.max("r2"), 6).alias("r2"))
+
+
 @query(f"WITH {MEMBERS_SQL}, {ONE} SELECT round(regr_intercept(b, a), 7) AS intercept, round(regr_slope(b, a), 7) AS slope, round(regr_r2(b, a), 7) AS r2 FROM o")
 def ols_fit(spark, d):
     """D35"""
