@@ -7,8 +7,9 @@ place, wherever they stand. Consecutive windows with one anchor form a segment o
 anchor form a reference block. Each window lies in one segment of its document, and all its other occurrences lie in segments
 of the same block.
 
-1. Anchors are counted over all documents; those of one occurrence can't be repeats. A bit map of the others, sized by their
-   number up to a bound, keeps nearly all unrepeated segments from being written; what it lets through only costs time.
+1. Texts that equal a whole earlier one are repeats as they are. Of all others the anchors are counted; those of one
+   occurrence can't be repeats. A bit map of the others, sized by their number up to a bound, keeps nearly all unrepeated
+   segments from being written; what it lets through only costs time.
 2. Equal segments are one, with their smallest and largest doc_id, summed up before they are dealt.
 3. A task reads a block in ascending order of doc_id. The segments read so far are indexed in a suffix automaton over words;
    the next one is factored greedily: the automaton follows it as long as the reference goes on with the same words. A factor
@@ -17,9 +18,9 @@ of the same block.
 4. The decisions go back to the segments' documents: a segment whose words stand in an earlier document is repeated as a whole,
    else the windows that its factors cover are.
 
-Blocks of more than `most` different segments (a very frequent k-gram) are cut again: each of their windows becomes a segment
-with a block of its own, whose members are all equal and hence one row. So no task holds more than `most` segments of a block,
-and a block costs what its different segments cost, not their pairs.
+Blocks of more than `most` different segments (a very frequent k-gram) are cut again: each window of their different segments
+is a block of its own, whose members are all equal, so that its factor is the window and its smallest doc_id decides. So no
+task holds more than `most` segments of a block, and a block costs what its different segments cost, not their pairs.
 
 Cases: null and empty texts have no words, texts of fewer than 13 words no window; a repeat within one document isn't one, nor
 are repeats among rows of one doc_id; a null doc_id comes after all others, and rows without an id don't repeat each other;
@@ -150,8 +151,12 @@ def repeated(segments: list[tuple[int, list]]) -> list[int]:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, number, text_key, text, and whether the whole text is that of an earlier document."""
     rows = columns_only(docs, "doc_id", "text")
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("number"), text_key(F.col("text")).alias("text_key"), "text")
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("number"), text_key(F.col("text")).alias("text_key"), F.md5(F.col("text").cast("binary")).alias("_md5"), "text")
+    several = rows.where("text is not null").groupBy("_md5").agg(F.min("number").alias("_low"), F.max("number").alias("_high")).where("_low < _high")
+    marked = lookup(rows, checkpointed(several.select("_md5", "_low")), ["_md5"])
+    return marked.select("doc_id", "number", "text_key", "text", F.coalesce(F.col("number") > F.col("_low"), F.lit(False)).alias("copy"))
 
 
 def _frequent_anchors(rows: DataFrame) -> DataFrame:
@@ -198,37 +203,40 @@ def _segments(rows: DataFrame, frequent: DataFrame, most_bits: int) -> DataFrame
     return map_rows(rows.select("number", "text_key", "text"), run, _SEGMENT_DDL, _SEGMENT)
 
 
-def _cut_blocks(segments: DataFrame, most: int) -> DataFrame:
-    """The segments; in blocks of more than `most` different ones each window is a segment with a block of its own."""
-    sizes = segments.groupBy("anchor", "seg").agg(F.lit(1).alias("one")).groupBy("anchor").agg(F.count("*").alias("n"))
-    large = checkpointed(sizes.where(F.col("n") > most).select("anchor", F.lit(True).alias("large")))
-    if large.isEmpty():
-        return segments
-    marked = lookup(segments, large, ["anchor"])
-    each = marked.where("large").withColumn("at", F.explode(F.expr("sequence(0, windows - 1)"))).withColumn("words", F.array_join(F.slice(F.split("words", " "), F.col("at") + 1, WINDOW), " "))
-    cut = each.select(
-        "number", "text_key", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("windows"), F.xxhash64("words").alias("anchor"), F.unhex(F.md5(F.col("words").cast("binary"))).alias("seg"), "words"
-    )
-    return marked.where("large is null").drop("large").select(cut.columns).unionByName(cut)
+_DECISION = pa.schema([("seg", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("bits", pa.int32())])
 
 
-_DECISION = pa.schema([("seg", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("bits", pa.int32())])
+def _cut(large: DataFrame) -> DataFrame:
+    """Segments of blocks that are too large (seg, words, low, high) to (seg, low, high, bits): each of their windows is a block of
+    its own, of which only the smallest doc_id counts."""
+    at = F.explode(F.expr(f"sequence(0, size(split(words, ' ')) - {WINDOW})"))
+    pieces = large.select("seg", "low", "high", F.split("words", " ").alias("w"), at.alias("at"))
+    pieces = pieces.select("seg", "low", "high", "at", F.unhex(F.md5(F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").cast("binary"))).alias("piece"))
+    first = pieces.groupBy("piece").agg(F.min("low").alias("first"))
+    repeated_at = F.when(F.col("first") < F.col("low"), F.expr("shiftleft(1, at)")).otherwise(0)
+    return pieces.join(first, "piece").groupBy("seg", "low", "high").agg(F.bit_or(repeated_at).alias("bits"))
 
 
-def _decided(segments: DataFrame) -> DataFrame:
+def _decided(segments: DataFrame, most: int) -> DataFrame:
     """(seg, low, bits) of the segments with a repeated window: low is the smallest doc_id that has the segment; of this document
     the windows `bits` are repeats, of all others the whole segment is."""
-    different = segments.groupBy("anchor", "seg", "words").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    blocks = different.repartition("anchor").sortWithinPartitions("anchor", "low", "seg").select("anchor", "low", "high", "seg", "words")
+    different = written(segments.groupBy("anchor", "seg", "words").agg(F.min("number").alias("low"), F.max("number").alias("high")), "blocks")
+    sizes = different.groupBy("anchor").agg(F.count("*").alias("n"))
+    several = checkpointed(sizes.where("n > 1").select("anchor", (F.col("n") > most).alias("large")))
+    met = lookup(different, several, ["anchor"])
+    blocks = met.where("not large").repartition("anchor").sortWithinPartitions("anchor", "low", "seg").select("anchor", "low", "high", "seg", "words")
 
     def run(it):
         for _, block in groupby(it, key=lambda r: r[0]):
             block = list(block)
-            bits = repeated([(low, words.split(" ")) for _, low, _, _, words in block]) if len(block) > 1 else [0]
-            yield from ((seg, low, high, b) for (_, low, high, seg, _), b in zip(block, bits) if b or low < high)
+            bits = repeated([(low, words.split(" ")) for _, low, _, _, words in block])
+            yield from ((seg, low, high, b) for (_, low, high, seg, _), b in zip(block, bits))
 
-    found = map_rows(blocks, run, "seg binary, low long, high long, bits int", _DECISION)
-    return written(found.select("seg", "low", "bits"), "factors")
+    columns = ["seg", "low", "high", "bits"]
+    found = met.where("large is null").select("seg", "low", "high", F.lit(0).alias("bits")).unionByName(map_rows(blocks, run, "seg binary, low long, high long, bits int", _DECISION))
+    if not several.where("large").isEmpty():
+        found = found.unionByName(_cut(met.where("large")).select(columns))
+    return written(found.where("bits <> 0 or low < high").select("seg", "low", "bits"), "factors")
 
 
 _OUT_DDL = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string"
@@ -251,19 +259,23 @@ def _stretches(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, most: int = MOST, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, spans (of removed words), kept (the other words, one space apart)."""
     rows = _numbered(docs)
-    frequent = written(_frequent_anchors(rows), "anchors")
-    segments = _cut_blocks(written(_segments(rows, frequent, most_bits), "segments"), most)
-    decided = _decided(segments)
+    first = rows.where("not copy")
+    frequent = written(_frequent_anchors(first), "anchors")
+    segments = written(_segments(first, frequent, most_bits), "segments")
+    decided = _decided(segments, most)
     found = lookup(segments.select("number", "text_key", "first", "windows", "seg"), decided, ["seg"], "inner", 300_000)
     whole = F.expr("shiftleft(1, windows) - 1")
     hits = found.select("number", "text_key", "first", F.when(F.col("number") > F.col("low"), whole).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
     per = hits.groupBy("number", "text_key").agg(F.collect_set(F.struct("first", "bits")).alias("windows"))
-    joined = rows.join(per, ["number", "text_key"], "left").select("doc_id", "text", "windows")
+    joined = rows.join(per, ["number", "text_key"], "left").select("doc_id", "text", "copy", "windows")
 
     def run(it):
-        for doc_id, text, windows in it:
+        for doc_id, text, copy, windows in it:
             words = words_of(text)
-            spans = _stretches([(w["first"], w["bits"]) for w in windows or ()])
+            if copy:
+                spans = [(0, len(words))] if len(words) >= WINDOW else []
+            else:
+                spans = _stretches([(w["first"], w["bits"]) for w in windows or ()])
             kept, at = [], 0
             for start, stop in spans:
                 kept += words[at:start]
