@@ -212,9 +212,9 @@ def _cut(large: DataFrame) -> DataFrame:
     at = F.explode(F.expr(f"sequence(0, size(split(words, ' ')) - {WINDOW})"))
     pieces = large.select("seg", "low", "high", F.split("words", " ").alias("w"), at.alias("at"))
     pieces = pieces.select("seg", "low", "high", "at", F.unhex(F.md5(F.array_join(F.slice("w", F.col("at") + 1, WINDOW), " ").cast("binary"))).alias("piece"))
-    first = pieces.groupBy("piece").agg(F.min("low").alias("first"))
+    first = checkpointed(pieces.groupBy("piece").agg(F.min("low").alias("first")))
     repeated_at = F.when(F.col("first") < F.col("low"), F.expr("shiftleft(1, at)")).otherwise(0)
-    return pieces.join(first, "piece").groupBy("seg", "low", "high").agg(F.bit_or(repeated_at).alias("bits"))
+    return lookup(pieces, first, ["piece"], "inner").groupBy("seg", "low", "high").agg(F.bit_or(repeated_at).alias("bits"))
 
 
 def _decided(segments: DataFrame, most: int) -> DataFrame:
