@@ -145,7 +145,7 @@ class Words(dict):
     """Stretches of text between white space to their ids, filled on look-up.
 
     The library's model takes words as its own normaliser and splitter would hand them over: lower-case letters in composed
-    form are one word as they stand, and a mark behind a letter is a word of its own. All else goes through the whole
+    form are one word as they stand, and a mark behind what normalises to a letter is a word of its own. All else goes through the whole
     tokenizer. When the table is full, it becomes the older one of two.
     """
 
@@ -165,7 +165,7 @@ class Words(dict):
             if s.isalpha() and s.islower():
                 return word(s.decode())
             if len(s) > 1 and s[-1] in _MARKS:
-                if s[-2] in _LETTERS or s[-2] > 127 and s[:-1].decode("utf-8", "replace")[-1:].isalpha():
+                if s[-2] in _LETTERS or s[-2] > 127 and self.encoder.ends_in_letter(s[:-1].decode("utf-8", "replace")):
                     return self[s[:-1]] + self[s[-1:]]
             text = s.decode("utf-8", "replace")
             if text.isalpha() and text.islower() and is_normalized("NFC", text):
@@ -205,6 +205,12 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         return self._packed([t.id for t in self.model.tokenize(word)])
 
+    def ends_in_letter(self, text: str) -> bool:
+        """Whether the text does once it is normalised: a capital I with a dot becomes a letter and a combining mark, which the
+        splitter joins with the punctuation behind it."""
+        normal = self.tokenizer.normalizer
+        return (text if normal is None else normal.normalize_str(text))[-1:].isalpha()
+
     def whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
