@@ -208,6 +208,9 @@ class Encoder:
     def ends_in_letter(self, text: str) -> bool:
         """Whether the text does once it is normalised: a capital I with a dot becomes a letter and a combining mark, which the
         splitter joins with the punctuation behind it."""
+        last = text[-1:]
+        if last.isalpha() and len(last.lower()) == 1 and is_normalized("NFC", last):
+            return True  # stays a letter, whatever stands before it
         normal = self.tokenizer.normalizer
         return (text if normal is None else normal.normalize_str(text))[-1:].isalpha()
 

@@ -36,6 +36,8 @@ RADIUS = 3
 MOST = 2048
 #: Fingerprints, texts and shingles of a block in `keep_one`; a task compares two blocks at most.
 BLOCK_PRINTS, BLOCK_TEXTS, BLOCK_SHINGLES = 1 << 14, 1024, 1_000_000
+#: Values of a part whose pairs are verified one by one.
+SMALL_PART = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ALL = (1 << 64) - 1
 
@@ -51,7 +53,7 @@ def masks(radius: int, seed: int = 1) -> tuple[int, ...]:
     return tuple(sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 1 << (radius + 1)))
 
 
-def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False, seed: int = 42) -> int:
     """The 64-bit SimHash of the XXH64 values of all shingles, repeats included, or of the distinct ones."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
@@ -62,7 +64,7 @@ def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> i
         pieces = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if shingle > 1 else words
     if distinct:
         pieces = set(pieces)
-    h = np.array([xxhash.xxh64_intdigest(p, 42) for p in pieces], dtype="<u8")
+    h = np.array([xxhash.xxh64_intdigest(p, seed) for p in pieces], dtype="<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -165,16 +167,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return components(prints, radius).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, text) to (node, shingles): the distinct XXH64 values of a text's shingles."""
+def _shingle_sets(texts: DataFrame, shingle: int, print_shingle: int) -> DataFrame:
+    """(node, text) to (node, shingles, n, other): the distinct XXH64 values of a text's shingles, their number, and a second
+    fingerprint, whose hashes have nothing to do with those of the first."""
 
     def rows(it):
         for node, text in it:
             words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
             parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-            yield node, sorted({signed(xxhash.xxh64_intdigest(p, 42)) for p in parts})
+            found = sorted({signed(xxhash.xxh64_intdigest(p, 42)) for p in parts})
+            yield node, found, len(found), signed(fingerprint(text, print_shingle, True, 7))
 
-    return map_rows(texts, rows, "node long, shingles array<long>", pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))]))
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64())), ("n", pa.int64()), ("other", pa.int64())])
+    return map_rows(texts, rows, "node long, shingles array<long>, n long, other long", schema)
 
 
 def _meeting(rows: DataFrame, key: list[str], by: str) -> DataFrame:
@@ -186,31 +191,60 @@ def _meeting(rows: DataFrame, key: list[str], by: str) -> DataFrame:
     return met.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
 
 
-def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS) -> DataFrame:
-    """As `links`, but buckets of more than `block` members are dealt to blocks: rows grow with members / `block`, where a split
-    by `radius` + 1 blocks of bits would multiply those of close fingerprints at each level."""
-    rows = distinct.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp").withColumn("key", F.expr("mask & fp"))
+def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS, small: int = SMALL_PART) -> DataFrame:
+    """(fp, many) to links (a, b, large). A bucket's values that chains of at most `radius` bits connect are a part. Parts of up to
+    `small` values, none of them `many`, give all their pairs, to be verified one by one; others a tree of links. Each two blocks
+    of a bucket of more than `block` members meet: rows grow with members / `block`, where a split by `radius` + 1 blocks of bits
+    would multiply those of close fingerprints at each level."""
+    rows = distinct.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp", "many").withColumn("key", F.expr("mask & fp"))
     sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1").select("mask", "key", F.ceil(F.col("n") / block).alias("parts")))
     met = _meeting(lookup(rows, sizes, ["mask", "key"], "inner", 300_000), ["mask", "key"], "fp")
 
     def run(it):
         for _, whole in groupby(it, key=lambda r: r[:4]):
+            whole = list(whole)
+            many = {r[4] for r in whole if r[5]}
             for part in parts_within(np.unique(np.array([r[4] for r in whole], np.int64).view(np.uint64)), radius):
                 part = part.view(np.int64).tolist()
-                yield from ((part[(i - 1) // 2], part[i]) for i in range(1, len(part)))
+                if len(part) <= small and many.isdisjoint(part):
+                    yield from ((min(a, b), max(a, b), False) for i, a in enumerate(part) for b in part[:i])
+                else:
+                    yield from ((part[(i - 1) // 2], part[i], True) for i in range(1, len(part)))
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
+    return checkpointed(map_rows(met.select("mask", "key", "i", "j", "fp", "many"), run, "a long, b long, large boolean", schema).distinct())
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    return checkpointed(map_rows(met.select("mask", "key", "i", "j", "fp"), run, "a long, b long", schema).distinct())
 
+def _candidates(texts: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, text_key, fp), one row per text, to pairs of nodes (a, b) and groups (node, grp).
 
-def _candidates(texts: DataFrame, radius: int, block: int) -> DataFrame:
-    """(node, text_key, fp), one row per text, to (node, text_key, grp) of the texts that are not alone in their group: groups
-    are connected by chains of fingerprints at most `radius` bits apart, so every pair within `radius` bits shares one."""
-    distinct = checkpointed(texts.select("fp").distinct())
-    joined = checkpointed(connected_components(close_links(distinct, radius, block)).withColumnsRenamed({"node": "fp", "component": "grp"}))
-    grouped = lookup(texts, joined, ["fp"]).select("node", "text_key", F.coalesce("grp", "fp").alias("grp"))
-    several = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp"))
-    return checkpointed(lookup(grouped, several, ["grp"], "inner").select("node", "text_key", "grp"))
+    Nearly all candidates are pairs. Only what a single bucket shows to be a family of many texts, or one fingerprint of several
+    texts, makes a group: chains that unrelated texts form from bucket to bucket don't.
+    """
+    distinct = checkpointed(texts.groupBy("fp").agg((F.count("*") > 1).alias("many")))
+    found = close_links(distinct, radius, block)
+    chains = checkpointed(connected_components(found.where("large").select("a", "b")).withColumnsRenamed({"node": "fp", "component": "chain"}))
+    alike = checkpointed(distinct.where("many").select("fp", F.col("fp").alias("own")))
+    grouped = lookup(lookup(texts, chains, ["fp"]), alike, ["fp"])
+    groups = checkpointed(grouped.select("node", F.coalesce("chain", "own").alias("grp")).where("grp is not null"))
+    pairs = found.where("not large").select("a", "b")
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("fp").alias(side), F.col("node").alias(f"_{side}")), side)
+    return checkpointed(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"))), groups
+
+
+def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, other: int) -> DataFrame:
+    """The pairs of nodes (a, b) of `similarity` and more. Their sizes and second fingerprints (at most `other` bits apart) are
+    compared first, so sets are joined only for pairs that are likely to be alike."""
+    near = pairs
+    for side in ("a", "b"):
+        near = near.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("other").alias(f"o_{side}")), side)
+    near = near.where((F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a")) & (F.bit_count(F.col("o_a").bitwiseXOR(F.col("o_b"))) <= other))
+    near = checkpointed(near.select("a", "b"))
+    for side in ("a", "b"):
+        near = near.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return near.where(shared >= similarity * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
 
 
 def alike_within(blocks: list[int], sets: list[np.ndarray], similarity: float):
@@ -270,24 +304,27 @@ def verified_links(sets: DataFrame, similarity: float, block_texts: int = BLOCK_
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, print_shingle: int = 1, block: int = BLOCK_PRINTS) -> DataFrame:
     """One document of each group of copies, with all its columns.
 
-    Of equal texts the smallest doc_id stays. Chains of fingerprints at most `radius` bits apart make candidate groups; in
-    each, all pairs that share at least `similarity` of their word shingles (Jaccard, exact) are linked, and of each connected
-    component of these links the smallest doc_id stays. Fingerprints are of the distinct words, not of the similarity's shingles:
-    an edited word changes one of them and five of those, so near copies differ in fewer bits, and common words don't make
-    unrelated texts alike. A null doc_id comes last.
+    Of equal texts the smallest doc_id stays. Pairs of fingerprints at most `radius` bits apart, and the other pairs of a small part
+    of their bucket, are verified one by one: those that share at least `similarity` of their word shingles (Jaccard, exact) are
+    links. Where a bucket holds a family of many texts, or one fingerprint is that of several, all pairs of this group are compared
+    in blocks. Of each connected component of verified links the smallest doc_id stays. Fingerprints are of the distinct words, not
+    of the similarity's shingles: an edited word changes one of them and five of those, so near copies differ in fewer bits, and
+    common words don't make unrelated texts alike. A null doc_id comes last.
     """
     number = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     prints = written(fingerprints(docs, print_shingle, distinct=True).withColumn("node", number), "simhash")
     # One node per text, named by its smallest doc_id; texts of one id are told apart by their key.
     first = checkpointed(prints.groupBy("text_key").agg(F.min(F.struct("node", "fp")).alias("m")).select("text_key", F.col("m.node").alias("node"), F.col("m.fp").alias("fp")))
     texts = checkpointed(first.groupBy("node").agg(F.min(F.struct("text_key", "fp")).alias("m")).select("node", "m.text_key", "m.fp"))
-    groups = _candidates(texts, radius, block)
-    wanted = groups.select("node", F.col("text_key").alias("_key"))
+    pairs, groups = _candidates(texts, radius, block)
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(groups.select("node")).distinct()
+    wanted = checkpointed(both.join(texts, "node").select("node", F.col("text_key").alias("_key")))
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = docs.select(number.alias("node"), text_key(F.col("text")).alias("_key"), "text")
     bodies = keyed.join(F.broadcast(wanted) if few else wanted, ["node", "_key"], "left_semi")
-    sets = written(lookup(_shingle_sets(bodies.select("node", "text"), shingle).dropDuplicates(["node"]), groups.select("node", "grp"), ["node"], "inner"), "shingles")
-    linked = connected_components(checkpointed(verified_links(sets, similarity)))
+    sets = written(_shingle_sets(bodies.select("node", "text"), shingle, print_shingle).dropDuplicates(["node"]), "shingles")
+    of_groups = verified_links(lookup(sets.select("node", "shingles"), groups, ["node"], "inner").select("node", "grp", "shingles"), similarity)
+    linked = connected_components(checkpointed(verified_pairs(pairs, sets, similarity, 2 * radius).unionByName(of_groups)))
     gone = checkpointed(linked.where("node <> component").join(texts, "node").select("text_key"))
     # Rows are looked up by id and text, so one text's copies don't meet in one task.
     keepers = first.join(gone, "text_key", "left_anti").select("node", "text_key")
