@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -38,14 +40,28 @@ def occurrences(text: Column, word: str) -> Column:
 
 
 def language_vote(text: Column, words: dict[str, tuple[str, ...]] = STOPWORDS) -> Column:
-    """The language with most stop words; the first listed of equals; 'unk' if none occurs."""
+    """The language with most stop words; the first listed of equals; 'unk' if none occurs.
+
+    A word counts with a blank on both sides, and occurrences of one word don't overlap, so of a word that follows itself every
+    second one counts. One expression finds all words in one pass over the text; only what it finds is counted by language.
+    """
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    votes = [(lang, sum((occurrences(padded, f" {w} ") for w in ws), F.lit(0))) for lang, ws in words.items()]
-    most = F.greatest(*(v for _, v in votes))
-    out = F.when(most == 0, "unk")
-    for lang, v in votes:
-        out = out.when(v == most, lang)
-    return out
+    every = sorted({w for ws in words.values() for w in ws}, key=lambda w: (-len(w), w))
+    found = F.regexp_extract_all(padded, F.lit(rf" ({'|'.join(map(re.escape, every))})(?: \1)?(?= )"), F.lit(1))
+
+    def votes(hits: Column) -> Column:
+        count = lambda ws: F.size(F.filter(hits, lambda x: x.isin(*ws)))
+        return F.struct(*(count(ws).alias(f"v{k}") for k, ws in enumerate(words.values())))
+
+    def winner(v: Column) -> Column:
+        most = F.greatest(*(v[f"v{k}"] for k in range(len(words))))
+        out = F.when(most == 0, "unk")
+        for k, lang in enumerate(words):
+            out = out.when(v[f"v{k}"] == most, lang)
+        return out
+
+    # Within a lambda a value is computed once, however often it is named.
+    return F.transform(F.transform(F.array(found), votes), winner)[0]
 
 
 def has_token(text: Column, tokens: list[str]) -> Column:
@@ -75,20 +91,29 @@ def md5_shard(uid: Column, n: int) -> Column:
     return out.cast("int")
 
 
-#: References that stand for more than can be resolved by one pass over the text come last: an ampersand starts others.
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The references that most texts have.
+_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
 
 
 def resolved(value: Column) -> Column:
     """Character references as their characters: all names of HTML 5 and all numbers; what isn't one stays as it is."""
-    names = F.create_map(*(F.lit(x) for n, c in sorted(html5.items()) if n.endswith(";") for x in (f"&{n}", c)))
+    # One literal: a map of 2,000 names as expressions would be planned name by name.
+    names = F.from_json(F.lit(json.dumps({f"&{n}": c for n, c in sorted(html5.items()) if n.endswith(";")})), "map<string,string>")
     code = lambda ref: F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "^&#[xX](.*);$", 1), 16, 10)).when(ref.startswith("&#"), F.regexp_extract(ref, "^&#(.*);$", 1)).try_cast("long")
     valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    # Few texts have many different references: each is resolved once, and its occurrences are put together in order.
-    pieces = F.split(value, rf"(?={_REFERENCE})|(?<=&[A-Za-z0-9#]{{2,33}};)")
-    one = lambda p: F.when(p.rlike(f"^{_REFERENCE}$"), F.coalesce(F.when(valid(code(p)), char(code(p))), F.try_element_at(names, p), p)).otherwise(p)
-    return F.when(value.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(value)
+
+    def one(ref: Column) -> Column:
+        out = F.when(ref.isNull(), "")
+        for name, c in _COMMON.items():
+            out = out.when(ref == name, c)
+        return out.when(ref.startswith("&#"), F.coalesce(F.when(valid(code(ref)), char(code(ref))), ref)).otherwise(F.coalesce(F.try_element_at(names, ref), ref))
+
+    # The text between references and these themselves, put together in order.
+    between, refs = F.split(value, _REFERENCE), F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0))
+    whole = F.array_join(F.zip_with(between, refs, lambda t, r: F.concat(t, one(r))), "")
+    return F.when(value.rlike(_REFERENCE), whole).otherwise(value)
 
 
 def html_text(html: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,36 +47,39 @@ def drop_blank(windows: DataFrame, keys: list[str], centre: str, brightness: str
     return rows.where(F.col("_ok") | ((F.col("_left") < least) & (F.col("_r") <= least))).drop("_m", "_ok", "_left", "_r")
 
 
-def quotas(capacities: list[int], shares: list[float], target: int) -> list[int]:
-    """Largest remainders of target x share, cut to the capacities; what is cut goes round robin by share to those with room."""
-    total = sum(shares)
-    ideal = [target * s / total for s in shares]
-    out = [int(x) for x in ideal]
-    for i in sorted(range(len(out)), key=lambda i: -(ideal[i] - out[i]))[: target - sum(out)]:
-        out[i] += 1
-    out = [min(q, c) for q, c in zip(out, capacities)]
-    owed = [0.0] * len(out)
-    for _ in range(min(target, sum(capacities)) - sum(out)):
-        room = [i for i in range(len(out)) if out[i] < capacities[i]]
-        weight = sum(shares[i] for i in room)
-        for i in room:
-            owed[i] += shares[i] / weight
-        best = max(room, key=lambda i: (owed[i], -i))
-        out[best] += 1
-        owed[best] -= 1
-    return out
-
-
 def allocate(slots: DataFrame, uid: str, slot: str, capacity: str, share: str, target: int) -> DataFrame:
-    """(uid, slot, quota) by `quotas`; a uid has a handful of slots."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(slot)
-        q = quotas(part[capacity].astype(int).tolist(), part[share].astype(float).tolist(), target)
-        return pd.DataFrame({uid: part[uid], slot: part[slot], "quota": q})
-
-    types = dict(slots.dtypes)
-    return slots.groupBy(uid).applyInPandas(one, f"{uid} {types[uid]}, {slot} {types[slot]}, quota int")
+    """(uid, slot, quota): largest remainders of target x share, cut to the capacities; what is cut goes round robin by share to
+    those with room, each turn to the slot that is owed most (the first in order of equals).
+
+    A uid's few slots are one array, over which the turns are folded. Null capacities and shares are 0; where all shares are 0
+    they are equal.
+    """
+    own = F.array_sort(F.collect_list(F.struct(F.col(slot).alias("slot"), F.coalesce(F.col(capacity).cast("int"), F.lit(0)).alias("cap"), F.coalesce(F.col(share).cast("double"), F.lit(0.0)).alias("share"))))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    count = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    t = slots.groupBy(uid).agg(own.alias("v")).withColumn("s", F.transform("v", lambda x: x["share"]))
+    t = t.withColumn("s", F.when(total(F.col("s")) > 0, F.col("s")).otherwise(F.transform("s", lambda x: F.lit(1.0)))).withColumn("_sum", total(F.col("s")))
+    t = t.withColumn("ideal", F.transform("s", lambda x: target * x / F.col("_sum"))).withColumn("base", F.transform("ideal", lambda x: F.floor(x).cast("int")))
+    t = t.withColumn("rest", F.zip_with("ideal", "base", lambda x, y: x - y))
+    # A remainder's place among all: the larger ones, and the equal ones before it.
+    ahead = lambda x, i: F.size(F.filter(F.transform("rest", lambda y, j: (y > x) | ((y == x) & (j < i))), lambda z: z))
+    t = t.withColumn("more", F.transform("rest", lambda x, i: (ahead(x, i) < target - count(F.col("base"))).cast("int")))
+    t = t.withColumn("caps", F.transform("v", lambda x: x["cap"]))
+    first = F.zip_with(F.zip_with("base", "more", lambda x, y: x + y), "caps", lambda q, c: F.least(q, c))
+    t = t.withColumn("out", first).withColumn("left", F.least(F.lit(target), count(F.col("caps"))) - count(F.col("out")))
+
+    def turn(acc: Column, _: Column) -> Column:
+        room = F.zip_with(acc["out"], F.col("caps"), lambda q, c: q < c)
+        weight = total(F.zip_with(room, F.col("s"), lambda r, x: F.when(r, x).otherwise(0.0)))
+        due = F.zip_with(acc["owed"], F.zip_with(room, F.col("s"), lambda r, x: F.when(r, F.coalesce(x / F.nullif(weight, F.lit(0.0)), F.lit(0.0))).otherwise(0.0)), lambda o, x: o + x)
+        # The open slot that is owed most.
+        best = F.array_max(F.filter(F.transform(due, lambda o, i: F.struct(o.alias("o"), (-i).alias("i"), room[i].alias("r"))), lambda x: x["r"]))["i"]
+        return F.struct(F.transform(acc["out"], lambda q, i: q + F.when(i == -best, 1).otherwise(0)).alias("out"), F.transform(due, lambda o, i: o - F.when(i == -best, 1.0).otherwise(0.0)).alias("owed"))
+
+    start = F.struct(F.col("out"), F.transform("out", lambda q: F.lit(0.0)).alias("owed"))
+    turns = F.when(F.col("left") > 0, F.sequence(F.lit(1), F.greatest(F.col("left"), F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
+    done = t.withColumn("out", F.aggregate(turns, start, turn)["out"])
+    return done.select(uid, F.explode(F.arrays_zip("v", "out")).alias("z")).select(uid, F.col("z.v.slot").alias(slot), F.col("z.out").alias("quota"))
 
 
 def pool_views(views: DataFrame, keys: list[str], p: str, beta: float = 8.0) -> DataFrame:

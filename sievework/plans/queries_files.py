@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.operators import joins, quality, splits
-from sievework.plans.inputs import MEMBERS_SQL, POLLS_SQL, SERIES_SQL, SOURCES_SQL, STUDIES_SQL, events, members, series, sources, status_polls, studies, table
-from sievework.sources import readers, sinks
+from sievework.plans.inputs import MEMBERS_SQL, POLLS_SQL, SERIES_SQL, SOURCES_SQL, STUDIES_SQL, events, members, pct_sql, series, sources, status_polls, studies, table
+from sievework.sources import guarded, readers, sinks
 from sievework.sources.shared import fresh_dir
 from sievework.streaming import monitor
 
@@ -204,6 +204,34 @@ def column_order(spark, d):
     return out
 
 
+@query("""SELECT doc_id AS uid, (doc_id % 5)::INT AS fold, TRUE AS is_gold, quality::DOUBLE AS w FROM labels WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, -1, FALSE, 1.0::DOUBLE FROM labels WHERE doc_id % 2 = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 40 <> 7)""")
+def guarded_cohort(spark, d):
+    """Appended in one checked write: equal columns, 95 % of the cohort imaged, no uid twice, a weight in each of its rows"""
+    path, rows = fresh_dir(spark, "cohort"), table(spark, d, "labels").withColumnRenamed("doc_id", "uid")
+    base = rows.where("uid % 2 = 0").select("uid", (F.col("uid") % 5).cast("int").alias("fold"), F.lit(True).alias("is_gold"), F.col("quality").cast("double").alias("w"))
+    extra = rows.where("uid % 2 = 1").select("uid", F.lit(1.0).alias("w"))
+    guarded.append_cohort(base, extra, table(spark, d, "documents").where("doc_id % 40 <> 7").select(F.col("doc_id").alias("uid")), path, weights=["w"])
+    return spark.read.parquet(path).select("uid", "fold", "is_gold", "w")
+
+
+@query("SELECT c_custkey AS uid, c_acctbal AS value, CASE WHEN c_custkey % 3 = 0 THEN 'prior' ELSE 'new' END AS run FROM customer WHERE c_acctbal > 0")
+def guarded_merge(spark, d):
+    """Complete rows of two runs in one checked write; a uid of both would be an error"""
+    path, rows = fresh_dir(spark, "runs"), table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_acctbal").alias("value"))
+    run = lambda name, where: rows.where(where).withColumn("run", F.lit(name))
+    guarded.merge_runs(run("prior", "uid % 3 = 0"), run("new", "uid % 3 <> 0"), path, F.col("value") > 0)
+    return spark.read.parquet(path).select("uid", "value", "run")
+
+
+@query(f"WITH {MEMBERS_SQL}, {pct_sql('f', 'members', 'member, fold, label', 'p', 'q')}, {pct_sql('r', 'f', 'member, label', 'q', 'z')} SELECT uid, label, round(avg(z), 9) AS p FROM r WHERE member IN ('m0', 'm1', 'm2') GROUP BY uid, label")
+def guarded_distillation(spark, d):
+    """Ranked within folds, then over the set; written only if no uid is in two folds, all sets cover the same and no fold is missing"""
+    path, m = fresh_dir(spark, "distilled"), members(spark, d)
+    guarded.distillation({k: m.where(F.col("member") == k) for k in ("m0", "m1", "m2")}, path, folds=5, per_fold_rank=True)
+    return spark.read.parquet(path).select("uid", "label", R("p").alias("p"))
+
+
 def _streamed(spark, rows, name, files=1000):
     """The rows as a stream of files, `files` of them a batch, and a fresh folder."""
     path = fresh_dir(spark, name)

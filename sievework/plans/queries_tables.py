@@ -420,11 +420,25 @@ def stratified_sample(spark, d):
     return sampling.stratified(series(spark, d), ["uid"], "plane", "ord", 4, 1).select("uid", "ord")
 
 
-@query()
+_QUOTAS = """t AS (SELECT uid, plane, sum(n_slices)::INT AS room, avg(n_slices) AS share FROM series GROUP BY uid, plane),
+v AS (SELECT uid, list(plane ORDER BY plane) AS slots, list(room ORDER BY plane) AS caps, list(share ORDER BY plane) AS s FROM t GROUP BY uid),
+i AS (SELECT *, list_transform(s, lambda x: 60 * x / list_reduce(s, lambda a, b: a + b)) AS ideal FROM v),
+f AS (SELECT *, list_transform(ideal, lambda x: floor(x)::INT) AS base, list_transform(ideal, lambda x: x - floor(x)) AS rest FROM i),
+q AS (SELECT *, list_transform(range(1, len(s) + 1), lambda k: least(caps[k], base[k] + (len(list_filter(range(1, len(s) + 1), lambda j: rest[j] > rest[k] OR (rest[j] = rest[k] AND j < k))) < 60 - list_sum(base))::INT)) AS q0 FROM f),
+r(uid, slots, caps, s, q, owed, n) AS (
+  SELECT uid, slots, caps, s, q0, list_transform(q0, lambda x: 0.0::DOUBLE), (least(60, list_sum(caps)) - list_sum(q0))::BIGINT FROM q
+  UNION ALL
+  SELECT uid, slots, caps, s, list_transform(range(1, len(q) + 1), lambda k: q[k] + (k = best)::INT), list_transform(range(1, len(q) + 1), lambda k: due[k] - (k = best)::INT::DOUBLE), n - 1
+  FROM (SELECT *, list_reduce(list_filter(range(1, len(q) + 1), lambda k: q[k] < caps[k]), lambda a, b: CASE WHEN due[b] > due[a] THEN b ELSE a END) AS best
+    FROM (SELECT *, list_transform(range(1, len(q) + 1), lambda k: owed[k] + CASE WHEN q[k] < caps[k] THEN s[k] / w ELSE 0 END) AS due
+      FROM (SELECT *, list_reduce(list_transform(range(1, len(q) + 1), lambda k: CASE WHEN q[k] < caps[k] THEN s[k] ELSE 0.0::DOUBLE END), lambda a, b: a + b) AS w FROM r WHERE n > 0))))"""
+
+
+@query(f"WITH RECURSIVE {SERIES_SQL}, {_QUOTAS} SELECT uid, unnest(slots) AS plane, unnest(q) AS quota FROM r WHERE n = 0")
 def capacity_quotas(spark, d):
-    """F10 (sequential per group: tested against a direct version)"""
+    """of 60 slices a study, by mean length of its planes and as far as these have slices"""
     s = series(spark, d).groupBy("uid", "plane").agg(F.sum("n_slices").cast("int").alias("room"), F.avg("n_slices").alias("share"))
-    return sampling.allocate(s, "uid", "plane", "room", "share", 24)
+    return sampling.allocate(s, "uid", "plane", "room", "share", 60)
 
 
 _VIEWS = f"{MEMBERS_SQL}, v AS (SELECT uid, label, list_sort(list(p), 'DESC') AS l, avg(p) AS mean, max(p) AS max, avg(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p))))) AS lg, sum(exp(8 * p) * p) / sum(exp(8 * p)) AS softmax FROM members GROUP BY uid, label)"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,47 +22,94 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: null_if_nan(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
-def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """Column names of a delimited file."""
-    first = spark.read.text(path).limit(1).collect()
-    return first[0].value.split(sep) if first else []
+def first_lines(spark: SparkSession, path: str | list[str], n: int = 1) -> dict[str, list[str]]:
+    """The first n lines of each file of a path, glob or list: the files are opened, not read, several at a time."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
 
+    def lines(uri: str) -> tuple[str, list[str]]:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            codec = codecs.getCodec(at)
+            read = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
+            found = [read.readLine() for _ in range(n)]
+        finally:
+            stream.close()
+        return at.toString(), [x for x in found if x is not None]
 
-def headers(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str]]]:
-    """The header line of each file of a path, glob or list, with the files that have it."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"))
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))  # a file's first block is read in order by one task
-    return [(r.head, sorted(r.files)) for r in first.groupBy("head").agg(F.collect_list("file").alias("files")).orderBy("head").collect()]
+    with ThreadPoolExecutor(16) as pool:
+        return dict(pool.map(lines, sorted(spark.read.text(path).inputFiles())))
 
 
-def read_table(spark: SparkSession, path: str | list[str], ids: list[str], labels: list[str]) -> DataFrame:
-    """CSV with string keys and double labels; columns by name, others are pruned. Files of one path may have their columns
-    in different orders: those of one header are read together; a column that only some have is null in the others."""
+def columns_of(line: str, sep: str = ",") -> list[str]:
+    """The cells of a header line, without quotes, blanks around them or a byte order mark."""
+    return [c.strip() for c in next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep, skipinitialspace=True))]
+
+
+def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Column names of a delimited file, or of the first file of a folder."""
+    for lines in first_lines(spark, path).values():
+        return columns_of(lines[0], sep) if lines else []
+    return []
+
+
+def _by_header(spark: SparkSession, path: str | list[str], sep: str, n: int = 1) -> list[tuple[list[str], list[list[str]], list[str]]]:
+    """(columns, further lines, files) for each group of files that start alike; files without a line are left out."""
+    alike: dict[tuple, list[str]] = {}
+    for file, lines in first_lines(spark, path, n).items():
+        if lines:
+            alike.setdefault(tuple(lines), []).append(file)
+    return [(columns_of(head, sep), [columns_of(x, sep) for x in more], files) for (head, *more), files in sorted(alike.items())]
+
+
+def _typed(spark: SparkSession, names: list[str], files: list[str], sep: str, kinds: dict[str, T.DataType], wanted: list[str]) -> DataFrame:
+    """The wanted columns, by name, of files with one header; an unnamed or repeated column can't be asked for."""
+    at = {n: i for i, n in reversed(list(enumerate(names)))}
+    schema = T.StructType([T.StructField(f"c{i}", kinds.get(n, T.StringType())) for i, n in enumerate(names)])
+    part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("nanValue", "nan").csv(files, sep=sep)
+    return part.select(*(F.col(f"c{at[c]}").alias(c) for c in wanted if c in at))
+
+
+def _together(spark: SparkSession, path: str | list[str], sep: str, kinds: dict[str, T.DataType], wanted: list[str], parts=None) -> DataFrame:
+    """Files of any column order as one table; a wanted column that no file has is an error, one that some lack is null there."""
+    groups = parts if parts is not None else [(names, files) for names, _, files in _by_header(spark, path, sep)]
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in wanted])
+    if not groups:
+        return spark.createDataFrame([], schema)
+    lacking = [c for c in wanted if not any(c in names for names, _ in groups)]
+    if lacking:
+        raise quality.DataError(f"{path}: no file has the columns {lacking}")
     out = None
-    for head, files in headers(spark, path):
-        names = head.split(",")
-        schema = T.StructType([T.StructField(n, T.DoubleType() if n in labels else T.StringType()) for n in names])
-        part = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(files)
-        part = part.select(*(F.col(f"`{c}`") for c in [*ids, *labels] if c in names))
+    for names, files in groups:
+        part = _typed(spark, names, files, sep, kinds, wanted)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        return spark.createDataFrame([], wide_schema(ids, labels))
-    return nan_to_null(out.select(*(F.col(f"`{c}`") for c in [*ids, *labels] if c in out.columns)))
+    return out.select(*(F.col(f"`{c}`") for c in wanted))
+
+
+def read_table(spark: SparkSession, path: str | list[str], ids: list[str], labels: list[str]) -> DataFrame:
+    """CSV with string keys and double labels; columns by name, quoted or not, others are pruned. Files of one path may have
+    their columns in different orders: those of one header are read together; a column that only some have is null in the
+    others, and one that none has is an error."""
+    return nan_to_null(_together(spark, path, ",", {c: T.DoubleType() for c in labels}, [*ids, *labels]))
 
 
-def read_coded(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Pipe-separated cells, all strings."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header(spark, path, "|")])
-    return spark.read.schema(schema).option("header", True).csv(path, sep="|").select(*columns)
+def read_coded(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    """Pipe-separated cells, all strings, by name in each file."""
+    return _together(spark, path, "|", {}, columns)
 
 
-def read_described(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
+def read_described(spark: SparkSession, path: str | list[str], columns: list[str], key: str) -> DataFrame:
     """TSV whose second line describes the columns: that row goes, by its key cell, wherever splits fall."""
-    names = [n.strip('"') for n in header(spark, path, "\t")]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.schema(schema).option("header", True).csv(path, sep="\t")
-    described = [r.value for r in spark.read.text(path).limit(2).collect()][1].split("\t")[names.index(key)].strip('"')
-    return df.where(F.col(key).isNull() | (F.col(key) != described)).select(*columns)
+    out = None
+    for names, more, files in _by_header(spark, path, "\t", 2):
+        rows = _together(spark, path, "\t", {}, list(dict.fromkeys([*columns, key])), [(names, files)])
+        if more:
+            rows = rows.where(F.col(f"`{key}`").isNull() | (F.col(f"`{key}`") != more[0][names.index(key)]))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return _together(spark, path, "\t", {}, columns, [])
+    return out.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def load_sources(spark: SparkSession, root: str, files: dict[str, str], names: list[str], index: DataFrame, labels: list[str], uid: str = "uid") -> tuple[DataFrame, list[str]]:
@@ -161,8 +211,9 @@ MANIFEST = "uid string, slots string, n_slots int, side string, shard int, blob
 
 
 def read_manifests(spark: SparkSession, paths: str | list[str], mask_width: int = 6) -> DataFrame:
-    """Union of manifest shards: cached rows with a version only; the mask keeps its leading zeros."""
-    df = spark.read.schema(MANIFEST).option("header", True).option("enforceSchema", True).csv(paths)
+    """Union of manifest shards, columns by name in each: cached rows with a version only; the mask keeps its leading zeros."""
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(MANIFEST)}
+    df = _together(spark, paths, ",", kinds, list(kinds))
     return df.where((F.col("cached") == 1) & F.col("cache_version").isNotNull()).withColumn("mask", F.lpad("mask", mask_width, "0"))
 
 

@@ -216,15 +216,43 @@ def test_failures(spark, fail_a, fail_b):
         assert abs(got[u] - want) < 1e-9
 
 
-def test_quotas_fill(spark):
-    rng = random.Random(7)
-    for _ in range(200):
+def quotas(capacities, shares, target):
+    """Largest remainders, cut to the capacities, then turn by turn to the open slot that is owed most."""
+    total = sum(shares)
+    ideal = [target * s / total for s in shares]
+    out = [int(x) for x in ideal]
+    for i in sorted(range(len(out)), key=lambda i: -(ideal[i] - out[i]))[: target - sum(out)]:
+        out[i] += 1
+    out = [min(q, c) for q, c in zip(out, capacities)]
+    owed = [0.0] * len(out)
+    for _ in range(min(target, sum(capacities)) - sum(out)):
+        room = [i for i in range(len(out)) if out[i] < capacities[i]]
+        weight = sum(shares[i] for i in room)
+        for i in room:
+            owed[i] += shares[i] / weight
+        best = max(room, key=lambda i: (owed[i], -i))
+        out[best] += 1
+        owed[best] -= 1
+    return out
+
+
+@pytest.mark.parametrize("target", [1, 13, 59])
+def test_quotas_fill(spark, target):
+    rng, made, want = random.Random(target), [], []
+    for u in range(80):
         n = rng.randrange(1, 7)
-        room, share, target = [rng.randrange(0, 30) for _ in range(n)], [rng.random() + 0.1 for _ in range(n)], rng.randrange(1, 60)
-        q = sampling.quotas(room, share, target)
+        room, share = [rng.randrange(0, 30) for _ in range(n)], [rng.choice([1.0, 2.0, rng.random() + 0.1]) for _ in range(n)]
+        q = quotas(room, share, target)
         assert sum(q) == min(target, sum(room)) and all(0 <= a <= b for a, b in zip(q, room))
-    df = spark.createDataFrame([("u", "a", 5, 1.0), ("u", "b", 50, 1.0)], "uid string, slot string, room int, share double")
-    assert rows(sampling.allocate(df, "uid", "slot", "room", "share", 20), "slot", "quota") == [("a", 5), ("b", 15)]
+        made += [(u, k, c, s) for k, (c, s) in enumerate(zip(room, share))]
+        want += [(u, k, x) for k, x in enumerate(q)]
+    df = spark.createDataFrame(made, "uid int, slot int, room int, share double")
+    assert rows(sampling.allocate(df, "uid", "slot", "room", "share", target), "uid", "slot", "quota") == want
+
+
+def test_quotas_of_nulls_and_zeros(spark):
+    df = spark.createDataFrame([("u", "a", 5, 1.0), ("u", "b", 50, 1.0), ("v", "a", 4, 0.0), ("v", "b", 9, None), ("w", "a", None, 1.0)], "uid string, slot string, room int, share double")
+    assert rows(sampling.allocate(df, "uid", "slot", "room", "share", 20), "uid", "slot", "quota") == [("u", "a", 5), ("u", "b", 15), ("v", "a", 4), ("v", "b", 9), ("w", "a", 0)]
 
 
 def test_windows(spark):
