@@ -99,14 +99,24 @@ WITH RECURSIVE p AS (
 ), urls AS (
   SELECT DISTINCT host, path, host || rest AS key FROM p WHERE host <> ''
 ), links AS (
-  SELECT host || rest AS a, html, host,
+  SELECT host || rest AS a, html, host, path,
          unnest([regexp_extract(html, '<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is'),
                  regexp_extract(html, '<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1, 'is'),
                  regexp_extract(html, '<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?([^"''\s>]+)', 1, 'is')]) AS link
   FROM p WHERE host <> ''
+), cut AS (
+  SELECT *, regexp_extract(l, '^[^?#]*', 0, 's') AS name, regexp_extract(l, '^[^?#]*(.*)$', 1, 's') AS more, regexp_extract(path, '^.*/', 0, 's') AS place
+  FROM (SELECT a, host, path, replace(link, '&amp;', '&') AS l FROM links WHERE link <> '')
+), full_path AS (
+  SELECT *, CASE WHEN starts_with(l, '/') THEN name ELSE CASE WHEN place = '' THEN '/' ELSE place END || name END AS f FROM cut
+), folded AS (
+  SELECT *, '/' || array_to_string(list_reduce([[]::VARCHAR[]] || list_transform(string_split(regexp_replace(substr(f, 2), '(^|/)(\.\.?)$', '\1\2/'), '/'), lambda x: [x]),
+    lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1 : greatest(len(acc) - 1, 0)] ELSE acc || x END), '/') AS g FROM full_path
 ), whole AS (
-  SELECT a, CASE WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l WHEN starts_with(l, '/') THEN 'http://' || host || l END AS u
-  FROM (SELECT a, host, replace(link, '&amp;', '&') AS l FROM links WHERE link <> '')
+  SELECT a, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l
+      WHEN starts_with(l, '/') THEN 'http://' || host || CASE WHEN regexp_matches(name, '/\.\.?(/|$)') THEN g ELSE name END || more
+      WHEN starts_with(l, '?') THEN 'http://' || host || path || l
+      WHEN NOT regexp_matches(l, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN 'http://' || host || g || more END AS u FROM folded
 ), ends AS (
   SELECT a, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS bh,
          regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS bp, regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1, 's') AS br
