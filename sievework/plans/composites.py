@@ -148,7 +148,7 @@ def subset_margins(study: DataFrame) -> DataFrame:
 
 def subset_model(study: DataFrame) -> DataFrame:
     """gain ~ 1, 1 - rho, ln(size) over the draws: coefficients and R squared."""
-    rows = study.select("gain", (1 - F.col("rho")).alias("apart"), F.log("size").alias("ln_size"), F.explode(F.array_repeat(F.lit(0), F.col("draws"))))
+    rows = study.select("gain", (1 - F.col("rho")).alias("apart"), F.log("size").alias("ln_size"), F.explode(F.array_repeat(F.lit(0), F.col("draws").cast("int"))))
     return resample.ols(rows, "gain", ["apart", "ln_size"])
 
 

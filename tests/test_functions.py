@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 
@@ -217,8 +218,10 @@ def test_failures(spark, fail_a, fail_b):
 
 
 def quotas(capacities, shares, target):
-    """Largest remainders, cut to the capacities, then turn by turn to the open slot that is owed most."""
-    total = sum(shares)
+    """Largest remainders, cut to the capacities, then turn by turn to the open slot that is owed most. Sums are plain additions in
+    order, which decide ties between slots that are owed the same."""
+    added = lambda xs: functools.reduce(lambda a, b: a + b, xs, 0.0)
+    total = added(shares)
     ideal = [target * s / total for s in shares]
     out = [int(x) for x in ideal]
     for i in sorted(range(len(out)), key=lambda i: -(ideal[i] - out[i]))[: target - sum(out)]:
@@ -227,7 +230,7 @@ def quotas(capacities, shares, target):
     owed = [0.0] * len(out)
     for _ in range(min(target, sum(capacities)) - sum(out)):
         room = [i for i in range(len(out)) if out[i] < capacities[i]]
-        weight = sum(shares[i] for i in room)
+        weight = added(shares[i] if i in room else 0.0 for i in range(len(out)))
         for i in room:
             owed[i] += shares[i] / weight
         best = max(room, key=lambda i: (owed[i], -i))
