@@ -193,12 +193,22 @@ def _meeting(rows: DataFrame, key: list[str], by: str) -> DataFrame:
 
 def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS, small: int = SMALL_PART) -> DataFrame:
     """(fp, many) to links (a, b, large). A bucket's values that chains of at most `radius` bits connect are a part. Parts of up to
-    `small` values, none of them `many`, give all their pairs, to be verified one by one; others a tree of links. Each two blocks
-    of a bucket of more than `block` members meet: rows grow with members / `block`, where a split by `radius` + 1 blocks of bits
-    would multiply those of close fingerprints at each level."""
-    rows = distinct.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp", "many").withColumn("key", F.expr("mask & fp"))
-    sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1").select("mask", "key", F.ceil(F.col("n") / block).alias("parts")))
-    met = _meeting(lookup(rows, sizes, ["mask", "key"], "inner", 300_000), ["mask", "key"], "fp")
+    `small` values, none of them `many`, give all their pairs, to be verified one by one; others a tree of links.
+
+    Nearly all buckets have one member or two; a bucket's smallest and largest member tell both, so these need no second look.
+    Each two blocks of a bucket of more than `block` members meet: rows grow with members / `block`, where a split by `radius` + 1
+    blocks of bits would multiply those of close fingerprints at each level."""
+    # Each value becomes a row per mask: enough tasks that none holds too many.
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = dealt.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp", "many").withColumn("key", F.expr("mask & fp"))
+    sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    two = sizes.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
+    marked = checkpointed(distinct.where("many").select("fp"))
+    twice = [marked.select(F.col("fp").alias(side), F.lit(True).alias(f"many_{side}")) for side in ("a", "b")]
+    large = F.coalesce("many_a", F.lit(False)) | F.coalesce("many_b", F.lit(False))
+    two = lookup(lookup(two, twice[0], ["a"]), twice[1], ["b"]).select("a", "b", large.alias("large"))
+    parts = sizes.where("n > 2").select("mask", "key", F.ceil(F.col("n") / block).alias("parts"))
+    met = _meeting(lookup(rows, parts, ["mask", "key"], "inner", 300_000), ["mask", "key"], "fp")
 
     def run(it):
         for _, whole in groupby(it, key=lambda r: r[:4]):
@@ -212,7 +222,42 @@ def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS, sma
                     yield from ((part[(i - 1) // 2], part[i], True) for i in range(1, len(part)))
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
-    return checkpointed(map_rows(met.select("mask", "key", "i", "j", "fp", "many"), run, "a long, b long, large boolean", schema).distinct())
+    others = map_rows(met.select("mask", "key", "i", "j", "fp", "many"), run, "a long, b long, large boolean", schema)
+    return checkpointed(two.unionByName(others).distinct())
+
+
+#: Links that one look at a partition holds.
+FOREST = 500_000
+
+
+def forest(links: DataFrame, most: int = FOREST) -> DataFrame:
+    """Links (a, b) that connect the same nodes as the given ones: of each stretch of a partition a tree per connected part."""
+
+    def tree(stretch: list[tuple[int, int]]):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for a, b in stretch:
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                yield min(x, y), max(x, y)
+
+    def run(it):
+        stretch: list[tuple[int, int]] = []
+        for link in it:
+            stretch.append(link)
+            if len(stretch) == most:
+                yield from tree(stretch)
+                stretch = []
+        yield from tree(stretch)
+
+    return map_rows(links.repartition("a").select("a", "b"), run, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _candidates(texts: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +369,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     bodies = keyed.join(F.broadcast(wanted) if few else wanted, ["node", "_key"], "left_semi")
     sets = written(_shingle_sets(bodies.select("node", "text"), shingle, print_shingle).dropDuplicates(["node"]), "shingles")
     of_groups = verified_links(lookup(sets.select("node", "shingles"), groups, ["node"], "inner").select("node", "grp", "shingles"), similarity)
-    linked = connected_components(checkpointed(verified_pairs(pairs, sets, similarity, 2 * radius).unionByName(of_groups)))
+    verified = checkpointed(forest(verified_pairs(pairs, sets, similarity, 2 * radius).unionByName(of_groups)))
+    linked = connected_components(verified)
     gone = checkpointed(linked.where("node <> component").join(texts, "node").select("text_key"))
     # Rows are looked up by id and text, so one text's copies don't meet in one task.
     keepers = first.join(gone, "text_key", "left_anti").select("node", "text_key")

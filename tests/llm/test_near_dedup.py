@@ -92,3 +92,30 @@ def test_blocks_of_one_fingerprint_link_exactly(spark, block_texts):
     plain = [set(r[2]) for r in rows]
     assert all(alike(plain[a], plain[b]) for a, b in got)
     assert roots(len(rows), lambda i, j: (i, j) in got or (j, i) in got) == roots(len(rows), lambda i, j: alike(plain[i], plain[j]))
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_forest_connects_the_same(spark, most):
+    rng = random.Random(5)
+    links = [(rng.randrange(40), rng.randrange(40, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 110)] * 3
+    got = [(r.a, r.b) for r in simhash_covering.forest(spark.createDataFrame(links, "a long, b long"), most).collect()]
+    part = lambda pairs: roots(111, lambda i, j: (i, j) in pairs or (j, i) in pairs)
+    assert part(set(got)) == part(set(links)) and len(got) < len(links)
+    assert simhash_covering.forest(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_close_links_are_all_pairs_within_the_radius(spark):
+    """Small parts give every pair, in buckets of two and of more; values of several texts and large parts give trees."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    values = sorted({x ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 4))) for x in base for _ in range(3)})
+    df = spark.createDataFrame([(simhash_covering.signed(x), k % 20 == 0) for k, x in enumerate(values)], "fp long, many boolean")
+    found = simhash_covering.close_links(df, 7).collect()
+    many = {simhash_covering.signed(x) for k, x in enumerate(values) if k % 20 == 0}
+    want = {tuple(sorted((simhash_covering.signed(a), simhash_covering.signed(b)))) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 7}
+    pairs = {(r.a, r.b) for r in found if not r.large}
+    assert not any(many & set(p) for p in pairs) and {p for p in want if not many & set(p)} - pairs <= {p for p in want if any(p[0] in (r.a, r.b) or p[1] in (r.a, r.b) for r in found if r.large)}
+    n = sorted(df.select("fp").collect())
+    at = {r.fp: k for k, r in enumerate(n)}
+    every = {(at[r.a], at[r.b]) for r in found}
+    assert roots(len(n), lambda i, j: (i, j) in every or (j, i) in every) == roots(len(n), lambda i, j: (n[i].fp, n[j].fp) in want or (n[j].fp, n[i].fp) in want)
