@@ -3,7 +3,7 @@
 A window over a whole label would put the label into one task. So rows are first counted by distinct value (one hash
 aggregation), and running totals over the distinct values are taken in two levels: values are dealt to ordered buckets at
 approximate quantiles of their label, buckets are totalled, and windows run within a bucket. Where the quantiles fall has no
-effect on results. The counts are computed once (a checkpoint), so nested ranks read their input once each.
+effect on results: they are computed once. Labels of few distinct values need none of this. The counts are computed once (a checkpoint), so nested ranks read their input once each.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from sievework.sources.shared import once
 
 BUCKETS = 64
+#: Rows up to which a key is one window (most keys, such as series, have a few), and keys beyond that whose bounds are broadcast.
+LIGHT, BROADCAST_KEYS = 10_000, 1_000
 #: Reference rows per bucket in `quantile_match`, about, and buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 10_000, 4096
 
@@ -24,23 +26,33 @@ def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, values: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds <value>_before: the sum over rows of the same keys with a smaller `order`. One row per keys and order."""
+def running_total(df: DataFrame, keys: list[str], order: str, values: list[str], buckets: int = BUCKETS, light: int | None = None) -> DataFrame:
+    """Adds <value>_before: the sum over rows of the same keys with a smaller `order`. One row per keys and order. Keys of more
+    than `light` rows are dealt to buckets."""
     if buckets <= 1:  # for keys of few rows each: one window
         w = W.partitionBy(*keys)
         before = w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
         return df.withColumns({f"{v}_total": F.sum(v).over(w) for v in values} | {f"{v}_before": F.coalesce(F.sum(v).over(before), F.lit(0)) for v in values})
+    for k in keys:  # a row without a key is in no group
+        df = df.where(F.col(k).isNotNull())
     df = once(df)
+    heavy = once(df.groupBy(*keys).agg(F.count("*").alias("_rows"), *(F.sum(v).alias(f"_{v}_all") for v in values)).where(F.col("_rows") > (LIGHT if light is None else light)).drop("_rows"))
+    n_heavy = heavy.count()
+    if not n_heavy:
+        return running_total(df, keys, order, values, 1)
+    small = F.broadcast if n_heavy <= BROADCAST_KEYS else lambda t: t
     grid = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, grid, 1000).alias("_bounds"), *(F.sum(v).alias(f"{v}_total") for v in values))
-    dealt = df.join(bounds, keys).withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
-    sums = dealt.groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    # Sketches depend on the order in which they are merged: computed twice, a value could be in two buckets.
+    bounds = once(df.join(small(heavy.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(order, grid, 1000).alias("_bounds")).join(heavy, keys))
+    dealt = df.join(small(bounds), keys, "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0)))
+    sums = dealt.where(F.col("_bounds").isNotNull()).groupBy(*keys, "_bucket").agg(*(F.sum(v).alias(f"_{v}") for v in values))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     first = sums.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}_first") for v in values))
-    inside = W.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = dealt.join(first, [*keys, "_bucket"])
-    out = out.withColumns({f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_{v}_first") for v in values})
-    return out.drop("_bucket", *(f"_{v}_first" for v in values))
+    whole = W.partitionBy(*keys, "_bucket")
+    inside = whole.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.drop("_bounds").join(small(first), [*keys, "_bucket"], "left")
+    out = out.withColumns({f"{v}_total": F.coalesce(F.col(f"_{v}_all"), F.sum(v).over(whole)) for v in values} | {f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.coalesce(F.col(f"_{v}_first"), F.lit(0)) for v in values})
+    return out.drop("_bucket", *(f"_{v}_{x}" for v in values for x in ("all", "first")))
 
 
 def rank_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:

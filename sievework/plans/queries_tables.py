@@ -123,7 +123,7 @@ def sub_chunks(spark, d):
     return splits.chunks(table(spark, d, "documents").select(F.col("doc_id").alias("uid")), "uid", 300)
 
 
-SQL["sub_chunks"] = "WITH n AS (SELECT count(*) AS n, least(count(*), greatest(4, ceil(count(*) / 300.0)))::BIGINT AS k FROM documents), b AS (SELECT i, round_even(i * n / k::DOUBLE, 0) AS first, round_even((i + 1) * n / k::DOUBLE, 0) AS stop FROM n, range(4096) t(i) WHERE i < k), r AS (SELECT doc_id AS uid, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) SELECT uid, i::INT AS chunk FROM r JOIN b ON pos >= first AND pos < stop"
+SQL["sub_chunks"] = "WITH n AS (SELECT count(*) AS n, least(count(*), greatest(4, ceil(count(*) / 300.0)))::BIGINT AS k FROM documents), b AS (SELECT i, round_even(i * n / k::DOUBLE, 0) AS first, round_even((i + 1) * n / k::DOUBLE, 0) AS stop FROM (SELECT n, k, unnest(range(k)) AS i FROM n)), r AS (SELECT doc_id AS uid, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) SELECT uid, i::INT AS chunk FROM r JOIN b ON pos >= first AND pos < stop"
 
 
 @query("WITH p AS (SELECT doc_id AS uid, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS p FROM documents) SELECT uid, (p % 4)::INT AS worker, (row_number() OVER (PARTITION BY p % 4 ORDER BY (p // 4) % 2, p // 4) - 1)::INT AS turn FROM p")
