@@ -632,7 +632,7 @@ def crop_widths(spark, d):
     return series(spark, d).groupBy("plane").agg(R(F.min(px)).alias("least"), R(F.max(px)).alias("most"), R(F.max(px) / F.min(px)).alias("ratio"))
 
 
-@query("WITH r AS (SELECT round(c_acctbal / 10000, 2) AS v FROM customer WHERE c_acctbal BETWEEN 0 AND 5000) SELECT v AS value, count(*) AS n FROM r GROUP BY v")
+@query("WITH r AS (SELECT (round(c_acctbal * 100)::BIGINT + 5000) // 10000 / 100::DOUBLE AS v FROM customer WHERE c_acctbal BETWEEN 0 AND 5000) SELECT v AS value, count(*) AS n FROM r GROUP BY v")
 def score_histogram(spark, d):
     """D26"""
     return audit.value_counts(table(spark, d, "customer").where("c_acctbal between 0 and 5000"), F.round(F.col("c_acctbal") / 10000, 2))
