@@ -69,13 +69,14 @@ def average_rank() -> Column:
 def with_rank(df: DataFrame, keys: list[str], value: str, name: str, kind: str = "pct", on: Column | None = None) -> DataFrame:
     """Adds the rank of `value` within keys; null stays null.
 
-    kind: pct (average rank / n), end01 ((average rank - 1) / (n - 1), 0.5 for one row) or average.
+    kind: pct (average rank / n), end01 ((average rank - 1) / (n - 1), 0.5 for one row), average, or exact: a struct of the integers
+    `twice` (the average rank, doubled) and `n`.
     on: rank among the rows for which it holds only; the others get null.
     """
     source = df if on is None else df.withColumn(value + "_on", F.when(on, F.col(value)))
     column = value if on is None else value + "_on"
     table = rank_table(source, keys, column)
-    rank = {"average": average_rank(), "pct": average_rank() / F.col("n"), "end01": F.when(F.col("n") == 1, 0.5).otherwise((average_rank() - 1) / F.nullif(F.col("n") - 1, F.lit(0)))}[kind]
+    rank = {"exact": F.struct((2 * F.col("before") + F.col("ties") + 1).alias("twice"), F.col("n").alias("n")), "average": average_rank(), "pct": average_rank() / F.col("n"), "end01": F.when(F.col("n") == 1, 0.5).otherwise((average_rank() - 1) / F.nullif(F.col("n") - 1, F.lit(0)))}[kind]
     out = source.join(table.select(*keys, column, rank.alias(name)), [*keys, column], "left")
     return out if on is None else out.drop(column)
 

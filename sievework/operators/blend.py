@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,12 +45,19 @@ def by_folds(members: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def mix_ranked(a: DataFrame, b: DataFrame, betas: list[float]) -> DataFrame:
-    """(beta, uid, label, p): rank of (1 - beta) * rank(a) + beta * rank(b) for each beta."""
-    ra = with_rank(a, ["label"], "p", "ra").select("uid", "label", "ra")
-    rb = with_rank(b, ["label"], "p", "rb").select("uid", "label", "rb")
-    grid = F.explode(F.array(*(F.lit(float(x)) for x in betas))).alias("beta")
-    both = ra.join(rb, ["uid", "label"]).select("*", grid).withColumn("m", F.round((1 - F.col("beta")) * F.col("ra") + F.col("beta") * F.col("rb"), 12))
-    return with_rank(both, ["beta", "label"], "m", "p").select("beta", "uid", "label", "p")
+    """(beta, uid, label, p): rank of (1 - beta) * rank(a) + beta * rank(b) for each beta.
+
+    Mixes are compared as integers, the mix times both numbers of rows and the power of ten that makes beta whole: as fractions,
+    equal mixes may differ in their last bit, and rounded ones lie on either side of a half."""
+    ra = with_rank(a, ["label"], "p", "ra", "exact").select("uid", "label", "ra")
+    rb = with_rank(b, ["label"], "p", "rb", "exact").select("uid", "label", "rb")
+    share = [Decimal(repr(float(x))) for x in betas]
+    places = max((-x.as_tuple().exponent for x in share), default=0)
+    whole = lambda x: F.lit(int(x.scaleb(places))).cast("decimal(38,0)")
+    grid = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("beta"), whole(1 - x).alias("of_a"), whole(x).alias("of_b")) for x in share))).alias("g")
+    part = lambda x, n: F.col(f"{x}.twice") * F.col(f"{n}.n").cast("decimal(20,0)")
+    both = ra.join(rb, ["uid", "label"]).select("*", grid).withColumn("m", (F.col("g.of_a") * part("ra", "rb") + F.col("g.of_b") * part("rb", "ra")).cast("decimal(38,0)"))
+    return with_rank(both.select(F.col("g.beta").alias("beta"), "uid", "label", "m"), ["beta", "label"], "m", "p").select("beta", "uid", "label", "p")
 
 
 def two_with_failures(a: DataFrame, b: DataFrame, weight_a: float | Column = 0.5, weights: DataFrame | None = None) -> DataFrame:

@@ -200,7 +200,11 @@ def _mix_sql(ra: str, rb: str, more: str) -> str:
     return f"WITH {MEMBERS_SQL}, {ONE}, {pct_sql('x', 'o', 'label', 'a', 'ra', ra)}, {pct_sql('z', 'x', 'label', 'b', 'rb', rb)}, {more}"
 
 
-@query(_mix_sql("TRUE", "TRUE", f"g AS (SELECT z.*, beta, round((1 - beta) * ra + beta * rb, 12) AS m FROM z, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) v(beta)), {pct_sql('f', 'g', 'beta, label', 'm', 'p')} SELECT beta, uid, label, round(p, 9) AS p FROM f"))
+#: Doubled average ranks are integers; a and b have the same rows, so quarters of these order the mixes, equal mixes tie, and halves go up.
+_WHOLE = "k AS (SELECT o.*, 2 * rank() OVER (PARTITION BY label ORDER BY a) + count(*) OVER (PARTITION BY label, a) - 1 AS ka, 2 * rank() OVER (PARTITION BY label ORDER BY b) + count(*) OVER (PARTITION BY label, b) - 1 AS kb FROM o)"
+
+
+@query(f"WITH {MEMBERS_SQL}, {ONE}, {_WHOLE}, g AS (SELECT k.*, q / 4::DOUBLE AS beta, (4 - q) * ka + q * kb AS m FROM k, (VALUES (0), (1), (2), (4)) v(q)), f AS (SELECT beta, uid, label, 2 * rank() OVER (PARTITION BY beta, label ORDER BY m) + count(*) OVER (PARTITION BY beta, label, m) - 1 AS t, count(*) OVER (PARTITION BY beta, label) AS n FROM g) SELECT beta, uid, label, (t * 1000000000 + n) // (2 * n) / 1e9 AS p FROM f")
 def fork_blend(spark, d):
     """G8, C13"""
     o = pair(spark, d)
