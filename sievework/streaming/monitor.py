@@ -102,48 +102,71 @@ class OneShot(StatefulProcessor):
     The deadline is a timer in event time, so giving up needs no further poll of the ref, only that the watermark passes it; and
     which polls came in which batch has no effect. After its row a ref keeps a flag and nothing else; with `forget` (microseconds)
     the flag goes when the ref wasn't polled for that long, and a later poll would be a new lifetime.
+
+    A key is a bucket of refs with one list of their states and one timer, for what is due first: calls to the state store cost
+    more than all else, and so there are a few per bucket and batch instead of a few per ref.
     """
 
+    OUT = ["ref", "at", "event", "sent", "score"]
+
     def __init__(self, terminal: tuple[str, ...] = TERMINAL, forget: int | None = None):
         self.terminal, self.forget = terminal, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # fired; deadline, sent and the last poll in microseconds
-        self.known = handle.getValueState("known", "fired boolean, deadline long, sent long, last long")
+        self.known = handle.getListState("known", "ref string, fired boolean, deadline long, sent long, last long")
 
-    def _timer(self, fired: bool, deadline: int | None, last: int) -> None:
+    def _load(self) -> dict:
+        return {ref: tuple(state) for ref, *state in self.known.get()} if self.known.exists() else {}
+
+    def _due(self, fired: bool, deadline: int | None, last: int) -> int | None:
+        """In milliseconds, when the watermark ends something for the ref."""
+        at = deadline if not fired else None if self.forget is None else last + self.forget
+        return None if at is None else -(-at // 1000)
+
+    def _keep(self, known: dict) -> None:
+        if known:
+            self.known.put([(ref, *state) for ref, state in known.items()])
+        else:
+            self.known.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t if isinstance(t, int) else t[0])
-        at = deadline if not fired else None if self.forget is None else last + self.forget
-        if at is not None:
-            self.handle.registerTimer(-(-at // 1000))
+        due = [x for fired, deadline, _, last in known.values() if (x := self._due(fired, deadline, last)) is not None]
+        if due:
+            self.handle.registerTimer(min(due))
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.OUT).astype({"at": "Int64", "sent": "Int64", "score": "float64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         polls = pd.concat(list(rows)).sort_values(["poll_us", "status"], kind="stable")
-        fired, deadline, sent, last = self.known.get() if self.known.exists() else (False, None, None, 0)
-        out = []
-        for at, status, sent_us, deadline_us, score in polls[["poll_us", "status", "sent_us", "deadline_us", "score"]].itertuples(index=False):
-            at, last = int(at), max(last, int(at))
+        known, out = self._load(), []
+        for ref, at, status, sent_us, deadline_us, score in zip(*(polls[c].tolist() for c in ("ref", "poll_us", "status", "sent_us", "deadline_us", "score"))):
+            fired, deadline, sent, last = known.get(ref, (False, None, None, 0))
+            at = int(at)
             if deadline is None and not pd.isna(deadline_us):
                 sent, deadline = int(sent_us), int(deadline_us)
             if not fired and status in self.terminal and (deadline is None or at < deadline):
                 fired = True
-                out.append((key[0], at, status, sent if sent is not None or pd.isna(sent_us) else int(sent_us), None if pd.isna(score) else float(score)))
-        self.known.update((fired, deadline, sent, last))
-        self._timer(fired, deadline, last)
-        yield pd.DataFrame(out, columns=["ref", "at", "event", "sent", "score"]).astype({"at": "Int64", "sent": "Int64", "score": "float64"})
+                out.append((ref, at, status, sent if sent is not None or pd.isna(sent_us) else int(sent_us), None if pd.isna(score) else float(score)))
+            known[ref] = fired, deadline, sent, max(last, at)
+        self._keep(known)
+        yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fired, deadline, sent, last = self.known.get()
-        out = []
-        if fired:
-            self.known.clear()
-        else:
-            out.append((key[0], deadline, "GAVE_UP", sent, None))
-            self.known.update((True, deadline, sent, last))
-            self._timer(True, deadline, last)
-        yield pd.DataFrame(out, columns=["ref", "at", "event", "sent", "score"]).astype({"at": "Int64", "sent": "Int64", "score": "float64"})
+        known, out, passed = self._load(), [], max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        for ref, (fired, deadline, sent, last) in list(known.items()):
+            due = self._due(fired, deadline, last)
+            if due is None or due > passed:
+                continue
+            if fired:
+                del known[ref]
+            else:
+                out.append((ref, deadline, "GAVE_UP", sent, None))
+                known[ref] = True, deadline, sent, last
+        self._keep(known)
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -156,14 +179,15 @@ def rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL, give_up: str | None = None, forget_hours: float | None = None) -> DataFrame:
+def one_shot(stream: DataFrame, delay: str = "6 hours", terminal: tuple[str, ...] = TERMINAL, give_up: str | None = None, forget_hours: float | None = None, buckets: int = 512) -> DataFrame:
     """(ref, poll_ts, event, sent, score): one row per ref. event: the status of its first terminal poll; with give_up (an
-    interval after `sent`) GAVE_UP at that time where no terminal poll came before it. See OneShot."""
+    interval after `sent`) GAVE_UP at that time where no terminal poll came before it. buckets: into which refs are dealt; a task holds one at a time. See OneShot."""
     rocksdb(stream.sparkSession)
     deadline = F.lit(None).cast("long") if give_up is None else F.unix_micros(F.col("sent") + F.expr(f"interval {give_up}"))
-    rows = stream.withWatermark("poll_ts", delay).select("ref", "poll_ts", "status", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("sent").alias("sent_us"), deadline.alias("deadline_us"), F.col("score").cast("double").alias("score"))
+    bucket = F.pmod(F.xxhash64("ref"), F.lit(buckets)).alias("bucket")
+    rows = stream.withWatermark("poll_ts", delay).select(bucket, "ref", "poll_ts", "status", F.unix_micros("poll_ts").alias("poll_us"), F.unix_micros("sent").alias("sent_us"), deadline.alias("deadline_us"), F.col("score").cast("double").alias("score"))
     made = OneShot(terminal, None if forget_hours is None else int(forget_hours * 3600e6))
-    events = rows.groupBy("ref").transformWithStateInPandas(statefulProcessor=made, outputStructType=ONE_SHOT, outputMode="Append", timeMode="EventTime")
+    events = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=made, outputStructType=ONE_SHOT, outputMode="Append", timeMode="EventTime")
     return events.select("ref", F.timestamp_micros("at").alias("poll_ts"), "event", F.timestamp_micros("sent").alias("sent"), "score")
 
 
