@@ -198,23 +198,25 @@ def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS, sma
     Nearly all buckets have one member or two; a bucket's smallest and largest member tell both, so these need no second look.
     Each two blocks of a bucket of more than `block` members meet: rows grow with members / `block`, where a split by `radius` + 1
     blocks of bits would multiply those of close fingerprints at each level."""
-    # Each value becomes a row per mask: enough tasks that none holds too many.
+    # Each value becomes a row per mask: enough tasks that none holds too many. A bucket's name is a hash of its mask and bits: two
+    # of one name are one bucket, which adds members that `radius` tells apart, and rows are narrower.
     dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    rows = dealt.select(F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius)))).alias("mask"), "fp", "many").withColumn("key", F.expr("mask & fp"))
-    sizes = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    names = F.array(*(F.xxhash64(F.lit(signed(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))) for m in masks(radius)))
+    rows = dealt.select(F.explode(names).alias("bucket"), "fp", "many")
+    sizes = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1 and a <> b"))
     two = sizes.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
     marked = checkpointed(distinct.where("many").select("fp"))
     twice = [marked.select(F.col("fp").alias(side), F.lit(True).alias(f"many_{side}")) for side in ("a", "b")]
     large = F.coalesce("many_a", F.lit(False)) | F.coalesce("many_b", F.lit(False))
     two = lookup(lookup(two, twice[0], ["a"]), twice[1], ["b"]).select("a", "b", large.alias("large"))
-    parts = sizes.where("n > 2").select("mask", "key", F.ceil(F.col("n") / block).alias("parts"))
-    met = _meeting(lookup(rows, parts, ["mask", "key"], "inner", 300_000), ["mask", "key"], "fp")
+    parts = sizes.where("n > 2").select("bucket", F.ceil(F.col("n") / block).alias("parts"))
+    met = _meeting(lookup(rows, parts, ["bucket"], "inner", 300_000), ["bucket"], "fp")
 
     def run(it):
-        for _, whole in groupby(it, key=lambda r: r[:4]):
+        for _, whole in groupby(it, key=lambda r: r[:3]):
             whole = list(whole)
-            many = {r[4] for r in whole if r[5]}
-            for part in parts_within(np.unique(np.array([r[4] for r in whole], np.int64).view(np.uint64)), radius):
+            many = {r[3] for r in whole if r[4]}
+            for part in parts_within(np.unique(np.array([r[3] for r in whole], np.int64).view(np.uint64)), radius):
                 part = part.view(np.int64).tolist()
                 if len(part) <= small and many.isdisjoint(part):
                     yield from ((min(a, b), max(a, b), False) for i, a in enumerate(part) for b in part[:i])
@@ -222,16 +224,17 @@ def close_links(distinct: DataFrame, radius: int, block: int = BLOCK_PRINTS, sma
                     yield from ((part[(i - 1) // 2], part[i], True) for i in range(1, len(part)))
 
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
-    others = map_rows(met.select("mask", "key", "i", "j", "fp", "many"), run, "a long, b long, large boolean", schema)
+    others = map_rows(met.select("bucket", "i", "j", "fp", "many"), run, "a long, b long, large boolean", schema)
     return checkpointed(two.unionByName(others).distinct())
 
 
-#: Links that one look at a partition holds.
-FOREST = 500_000
+#: Links that one look at a partition holds; a task reads about so many.
+FOREST = 100_000
 
 
 def forest(links: DataFrame, most: int = FOREST) -> DataFrame:
-    """Links (a, b) that connect the same nodes as the given ones: of each stretch of a partition a tree per connected part."""
+    """Links (a, b) that connect the same nodes as the given ones, a table that is cheap to read twice: of each stretch of `most`
+    links a star per connected part. Few large stretches leave few links: a family's masks and blocks give each member many."""
 
     def tree(stretch: list[tuple[int, int]]):
         up: dict[int, int] = {}
@@ -246,7 +249,7 @@ def forest(links: DataFrame, most: int = FOREST) -> DataFrame:
             x, y = root(a), root(b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-                yield min(x, y), max(x, y)
+        yield from ((root(x), x) for x in up)
 
     def run(it):
         stretch: list[tuple[int, int]] = []
@@ -257,7 +260,9 @@ def forest(links: DataFrame, most: int = FOREST) -> DataFrame:
                 stretch = []
         yield from tree(stretch)
 
-    return map_rows(links.repartition("a").select("a", "b"), run, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    tasks = max(1, math.ceil(links.count() / most))
+    near = links.select("a", "b").repartition("a").sortWithinPartitions("a", "b").coalesce(tasks)
+    return map_rows(near, run, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _candidates(texts: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -268,14 +273,18 @@ def _candidates(texts: DataFrame, radius: int, block: int) -> tuple[DataFrame, D
     """
     distinct = checkpointed(texts.groupBy("fp").agg((F.count("*") > 1).alias("many")))
     found = close_links(distinct, radius, block)
-    chains = checkpointed(connected_components(found.where("large").select("a", "b")).withColumnsRenamed({"node": "fp", "component": "chain"}))
+    chains = checkpointed(connected_components(forest(found.where("large"))).withColumnsRenamed({"node": "fp", "component": "chain"}))
     alike = checkpointed(distinct.where("many").select("fp", F.col("fp").alias("own")))
     grouped = lookup(lookup(texts, chains, ["fp"]), alike, ["fp"])
     groups = checkpointed(grouped.select("node", F.coalesce("chain", "own").alias("grp")).where("grp is not null"))
     pairs = found.where("not large").select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("fp").alias(side), F.col("node").alias(f"_{side}")), side)
-    return checkpointed(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b"))), groups
+    pairs = checkpointed(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    # All pairs of a group are compared there.
+    for side in ("a", "b"):
+        pairs = lookup(pairs, groups.select(F.col("node").alias(side), F.col("grp").alias(f"grp_{side}")), [side])
+    return checkpointed(pairs.where("not (grp_a <=> grp_b) or grp_a is null").select("a", "b")), groups
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, other: int) -> DataFrame:
@@ -369,8 +378,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     bodies = keyed.join(F.broadcast(wanted) if few else wanted, ["node", "_key"], "left_semi")
     sets = written(_shingle_sets(bodies.select("node", "text"), shingle, print_shingle).dropDuplicates(["node"]), "shingles")
     of_groups = verified_links(lookup(sets.select("node", "shingles"), groups, ["node"], "inner").select("node", "grp", "shingles"), similarity)
-    verified = checkpointed(forest(verified_pairs(pairs, sets, similarity, 2 * radius).unionByName(of_groups)))
-    linked = connected_components(verified)
+    verified = checkpointed(verified_pairs(pairs, sets, similarity, 2 * radius).unionByName(of_groups))
+    linked = connected_components(forest(verified))
     gone = checkpointed(linked.where("node <> component").join(texts, "node").select("text_key"))
     # Rows are looked up by id and text, so one text's copies don't meet in one task.
     keepers = first.join(gone, "text_key", "left_anti").select("node", "text_key")

@@ -7,6 +7,8 @@ import pytest
 
 pytest.importorskip("sievework.llm")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from sievework.llm import simhash_covering  # noqa: E402
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -119,3 +121,21 @@ def test_close_links_are_all_pairs_within_the_radius(spark):
     at = {r.fp: k for k, r in enumerate(n)}
     every = {(at[r.a], at[r.b]) for r in found}
     assert roots(len(n), lambda i, j: (i, j) in every or (j, i) in every) == roots(len(n), lambda i, j: (n[i].fp, n[j].fp) in want or (n[j].fp, n[i].fp) in want)
+
+
+def test_a_family_gives_few_links_and_no_pair_twice(spark):
+    """All pairs within the radius are pairs or of one group, never both, and a family's links are about as many as its members."""
+    rng = random.Random(8)
+    centre, other = rng.getrandbits(64), rng.getrandbits(64)
+    near = lambda x, most: x ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, most)))
+    values = sorted({near(centre, 6) for _ in range(250)} | {near(other, 3) for _ in range(3)} | {near(rng.getrandbits(64), 1) for _ in range(30)})
+    fps = dict(enumerate(values))
+    texts = spark.createDataFrame([(k, 7 * k, simhash_covering.signed(x)) for k, x in fps.items()], "node long, text_key long, fp long").repartition(4)
+    found, groups = simhash_covering._candidates(texts, 7, simhash_covering.BLOCK_PRINTS)
+    pairs, grp = {tuple(sorted((r.a, r.b))) for r in found.collect()}, {r.node: r.grp for r in groups.collect()}
+    assert len(grp) > 200 and not any(a in grp and grp[a] == grp.get(b) for a, b in pairs)
+    for b in fps:
+        for a in range(b):
+            assert (fps[a] ^ fps[b]).bit_count() > 7 or (a, b) in pairs or grp[a] == grp[b]
+    large = simhash_covering.close_links(texts.select("fp").withColumn("many", F.lit(False)), 7).where("large")
+    assert large.count() > 2 * len(grp) and simhash_covering.forest(large).count() < len(grp)
