@@ -131,7 +131,8 @@ class Code:
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-_MARKS = frozenset(b".,;:!?")
+#: ASCII that is neither letter, digit nor white space, without the apostrophe of contractions and what special tokens hold.
+_SYMBOLS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def _byte_names() -> dict[int, str]:
@@ -145,8 +146,8 @@ class Words(dict):
     """Stretches of text between white space to their ids, filled on look-up.
 
     The library's model takes words as its own normaliser and splitter would hand them over: lower-case letters in composed
-    form are one word as they stand, and a mark behind what normalises to a letter is a word of its own. All else goes through the whole
-    tokenizer. When the table is full, it becomes the older one of two.
+    form are one word as they stand, and symbols behind what normalises to a letter are a word of their own, to the end. All else
+    goes through the whole tokenizer. When the table is full, it becomes the older one of two.
     """
 
     def __init__(self, encoder: Encoder, older: dict):
@@ -164,9 +165,9 @@ class Words(dict):
         if word is not None:
             if s.isalpha() and s.islower():
                 return word(s.decode())
-            if len(s) > 1 and s[-1] in _MARKS:
-                if s[-2] in _LETTERS or s[-2] > 127 and self.encoder.ends_in_letter(s[:-1].decode("utf-8", "replace")):
-                    return self[s[:-1]] + self[s[-1:]]
+            head = s.rstrip(_SYMBOLS)
+            if 0 < len(head) < len(s) and (head[-1] in _LETTERS or head[-1] > 127 and self.encoder.ends_in_letter(head.decode("utf-8", "replace"))):
+                return self[head] + self[s[len(head) :]]
             text = s.decode("utf-8", "replace")
             if text.isalpha() and text.islower() and is_normalized("NFC", text):
                 return word(s.decode("latin-1").translate(_NAMES))
@@ -184,7 +185,7 @@ class Encoder:
     compose with another letter) or what may be a special token.
     """
 
-    MOST = 250_000
+    MOST = 500_000
 
     def __init__(self, file: bytes, kind: str = "<u4"):
         """kind: the integers in which ids are given, of two or four bytes."""
@@ -193,17 +194,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pack = {"<u2": "H", "<u4": "I"}[kind]
         self.model = self.tokenizer.model
+        pack = struct.Struct({"<u2": "<H", "<u4": "<I"}[kind]).pack
+        self.bytes_of = [pack(i) for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         # Words go to the model directly only where that is seen to give the same.
         self.word = self._word if all(self._word(w.encode().decode("latin-1").translate(_NAMES)) == self.whole(w) for w in ("probe", "naïveté", "æther", "слово", "a")) else None
         self.known = Words(self, {})
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.pack}", *ids)
-
     def _word(self, word: str) -> bytes:
-        return self._packed([t.id for t in self.model.tokenize(word)])
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.model.tokenize(word)])
 
     def ends_in_letter(self, text: str) -> bool:
         """Whether the text does once it is normalised: a capital I with a dot becomes a letter and a combining mark, which the
@@ -215,7 +215,8 @@ class Encoder:
         return (text if normal is None else normal.normalize_str(text))[-1:].isalpha()
 
     def whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        of = self.bytes_of
+        return b"".join([of[i] for i in self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers."""

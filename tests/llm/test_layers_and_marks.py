@@ -66,3 +66,25 @@ def test_ids_behind_marks():
         got = huffman_ids.Encoder(f.read()).encode(texts)
     want = library.encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_symbols_behind_a_letter_are_cut_off():
+    """Runs of symbols need no normaliser behind a letter; ids are the library's for any mixture, special tokens and contractions too."""
+    from tokenizers import Tokenizer
+
+    file = public.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(9)
+    pieces = [*"ab'sté\u0130\u01c5\u0301\u0338ß9٣_-.,!$%&*#<>|@\"\\^`~\u2026", "ll", "***", ".%%%", "'re", "<|endoftext|>", "<|startoftext|>", "AB", "中", "\u1e9e"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(20_000)]
+    texts += [" ".join(texts[k : k + 7]) for k in range(0, 7_000, 7)]
+    with open(file, "rb") as f:
+        encoder = huffman_ids.Encoder(f.read())
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    asked, whole = [], encoder.whole
+    encoder.whole = lambda s: asked.append(s) or whole(s)
+    encoder.encode([f"word{chr(97 + a)}{chr(97 + b)}{tail}" for a in range(26) for b in range(26) for tail in ("$$$", ".%%%", ",***", "!!", "&&&")])
+    assert len(asked) <= 5
