@@ -8,8 +8,8 @@ time. Each character of a layer carries the span of the document that it came fr
 the whole blob.
 
 Decompressed data of up to KEEP bytes are held. Larger ones are read as a stream, through all decompressors down to the
-document, in windows of WINDOW bytes that end between runs of letters and digits where they can and overlap by OVERLAP
-bytes; a run of over LONGEST_RUN bytes in such data is read in stretches. So a bomb costs time, not memory; each nested
+document, in windows of WINDOW bytes that end where nothing which is sought can span; LONGEST_RUN bytes without such a place
+are read as a stretch. A stream in such data that ends, or is found damaged, within OVERLAP bytes is read at its place. So a bomb costs time, not memory; each nested
 level of more than KEEP bytes keeps one decompressor open.
 
 Cases: a null text is an empty one; an empty text has no spans; damaged or cut streams are read as far as they are sound;
@@ -70,11 +70,13 @@ CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 #: Where bytes aren't text, all that a pattern can match is in runs of printable ASCII, one or two bytes (UTF-16) a character.
 RUNS, WIDE_RUNS = re.compile(rb"[\t\n\r -~]{12,}"), re.compile(rb"(?:\0[\t\n\r -~]){11,}")
 URL_SAFE = str.maketrans("-_", "+/", "\r\n=")
-#: Decompressed bytes that are held as a whole; of larger ones the bytes of a window, what the next one repeats, and the longest run kept whole.
+#: Decompressed bytes that are held as a whole; of larger ones the bytes of a window, what is held ahead of a stream's start, and the longest run kept whole.
 KEEP, WINDOW, OVERLAP, LONGEST_RUN = 4 << 20, 1 << 20, 64 << 10, 16 << 20
-#: Compressed bytes handed to a decompressor at once: damage costs at most what they hold.
-FEED = 1 << 10
-_BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\.-](?=[A-Za-z0-9+/_=%\\.-]*\Z)")
+#: Compressed bytes handed to a decompressor at once: damage costs at most what they hold; and bytes that it gives at once.
+FEED, GIVE = 1 << 10, 1 << 20
+#: Places that no pattern and no encoding spans: between plain words, behind what is no base64 at the end of a line, at a blank line,
+#: between two NULs, and at bytes that aren't printable ASCII.
+_CUT = re.compile(rb"""\x20(?=[A-Za-z0-9])(?<=[^%\\&;]{12}[A-Za-z0-9]\x20)|[.,!?)\]}"']\r?\n|\n(?=\r?\n)|\0(?=\0)|[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]|[\x80-\xff](?=[\x00-\x7f])""")
 
 
 def find(text: str) -> Iterator[tuple[int, str, int]]:
@@ -239,10 +241,13 @@ class Stream:
                     self.d = _opened(self.input[self.at : self.at + 6])
                     if self.d is None:
                         break
-                part = b"" if getattr(self.d, "needs_input", True) is False else self.input[self.at : self.at + FEED]
+                needed = getattr(self.d, "needs_input", True) is not False
+                if needed and not self.last and len(self.input) - self.at < FEED:
+                    return b""  # the same portions, however the input comes: damage costs what its portion holds
+                part = self.input[self.at : self.at + FEED] if needed else b""
                 self.at += len(part)
                 self.used += len(part)
-                out = self.d.decompress(part, WINDOW)
+                out = self.d.decompress(part, GIVE)
                 back = len(getattr(self.d, "unconsumed_tail", b"") or b"")
                 if self.d.eof:
                     back = len(self.d.unused_data or b"")
@@ -289,18 +294,6 @@ class Content:
                 i -= 1
 
 
-def _sound(data: bytes, at: int) -> bool:
-    """Whether a stream that begins there gives something and isn't found damaged in these data."""
-    s = Stream(0)
-    s.feed(data[at : at + OVERLAP])
-    given = False
-    while out := s.take():
-        given = bool(out)
-        if len(out) >= WINDOW:
-            break
-    return given and (not s.ended or s.end > 0)
-
-
 class Blob:
     """Bytes whose text and compressed streams are still to be read."""
 
@@ -343,8 +336,7 @@ def _streams(data: bytes, places: tuple[int, ...], starts: list[int], span: tupl
         if size > KEEP:
             yield _windows(data, (*places, at), pieces, whole, span, step, seen)
         elif size:
-            if not places:
-                free = content.stages[0].end
+            free = content.stages[-1].end
             del content, whole
             blob = Blob(b"".join(pieces), span, step)
             del pieces
@@ -353,30 +345,72 @@ def _streams(data: bytes, places: tuple[int, ...], starts: list[int], span: tupl
             yield blob
 
 
+def _cut(held: bytes, start: int) -> int | None:
+    """The last place behind `start` that nothing which is sought spans."""
+    for lo in (len(held) - 4096, len(held) - OVERLAP, start):
+        last = None
+        for last in _CUT.finditer(held, max(lo, start)):
+            pass
+        if last or lo <= start:
+            return last and last.end()
+
+
+def _tried(data: bytes, last: bool) -> tuple[bytes, int] | None:
+    """What the stream that begins these data gives, as far as it is sound, and where its last whole member ends; None if more
+    than these data decide that, or if it gives more than is held. last: no data follow."""
+    s, pieces, size = Stream(0), [], 0
+    s.feed(data)
+    s.last = last
+    while out := s.take():
+        pieces.append(out)
+        size += len(out)
+        if size > KEEP:
+            return None
+    return (b"".join(pieces), s.end) if s.ended or last else None
+
+
 def _windows(data: bytes, places: tuple[int, ...], pieces: list[bytes], more: Iterator[bytes], span: tuple[int, int], path: str, seen: set) -> Iterator:
-    """The text of large content, window by window, then its compressed streams, unless the same content was read before."""
-    digest, starts, done, held, size = hashlib.blake2b(digest_size=16), [], 0, b"", 0  # done: bytes before `held`
-    known = -1  # the last place at which a stream was looked for
+    """The text of large content, window by window, and the streams that end near their start; then its other compressed streams,
+    unless the same content was read before."""
+    step = f"{path}>compressed".lstrip(">")
+    digest, starts, done, held, need = hashlib.blake2b(digest_size=16), [], 0, b"", WINDOW + OVERLAP  # done: bytes before `held`
+    read = sought = free = 0  # up to where text was read and streams were looked for; the end of the last stream that was read whole
+
+    def blobs(stop: int, last: bool) -> Iterator[Blob]:
+        nonlocal sought, free
+        for m in MAGIC_AT.finditer(held, max(0, sought - done)):
+            at = m.start()
+            if at >= stop:
+                break
+            sought = done + m.end()
+            if done + at < free:
+                continue
+            got = _tried(held[at : at + OVERLAP], last and at + OVERLAP >= len(held))
+            if got is None:
+                starts.append(done + at)
+            elif got[0]:
+                free = done + at + got[1]
+                yield Blob(got[0], span, step)
+
     for piece in chain(pieces, more):
         digest.update(piece)
-        size += len(piece)
         held += piece
-        if len(held) < WINDOW + OVERLAP:
+        if len(held) < need:
             continue
-        cut = _BREAK.search(held)
-        if cut is None and len(held) < LONGEST_RUN:
-            continue
-        stop = cut.end() if cut and cut.end() > OVERLAP else len(held)
-        yield from _read(held[:stop], span, path)
-        for m in MAGIC_AT.finditer(held, 0, stop):
-            if done + m.start() > known:
-                known = done + m.start()
-                if _sound(held, m.start()):
-                    starts.append(known)
-        keep = max(0, stop - OVERLAP)
+        stop = _cut(held, read - done)
+        if stop is None:
+            if done + len(held) - read < LONGEST_RUN:
+                need = len(held) + WINDOW
+                continue
+            stop = len(held)
+        yield from _read(held[read - done : stop], span, path)
+        read = done + stop
+        keep = min(stop, len(held) - OVERLAP)
+        yield from blobs(keep, False)
         held, done = held[keep:], done + keep
-    yield from _read(held, span, path)
-    starts += [done + m.start() for m in MAGIC_AT.finditer(held) if done + m.start() > known and _sound(held, m.start())]
+        need = max(WINDOW + OVERLAP, len(held) + OVERLAP)
+    yield from _read(held[read - done :], span, path)
+    yield from blobs(len(held), True)
     key = ("bytes", digest.digest(), span)
     if key not in seen:
         seen.add(key)

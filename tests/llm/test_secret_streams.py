@@ -95,3 +95,43 @@ def test_spans_of_runs_are_places_in_the_document():
     (span,) = secret_scan.scan(text)[1]
     first, last = 2 * 8 // 6, ((2 + len(SECRET)) * 8 - 1) // 6  # the base64 characters that hold bytes of the secret
     assert (span[0], span[2]) == (4 + first, 4 + last + 1)
+
+
+LETTERS = bytes(random.Random(4).choices(b"ghijklmnop qrs", k=60_000))
+DAMAGED = gzip.compress(SECRET * 3 + LETTERS)[:20_000]
+assert SECRET not in DAMAGED
+PARTS = [
+    b"a damaged stream " + DAMAGED + random.Random(1).randbytes(3000) + b" behind it",
+    b"a short damaged stream " + DAMAGED[:300] + b"?" * 300 + b" behind it",
+    b"two words: secret=token:abcdefghijklm and more",
+    b"plain words only\n\nand more of them",
+    bz2.compress(b"some words " * 600 + SECRET),
+    b"p\0a\0s\0s\0w\0d\0=\0a\0b\0c\0d\0e\0f\0g\0h\0i\0j\0k\0l\0m\0",
+    base64.encodebytes(b"xx yy " * 30 + SECRET),
+    "token%3D abcdefghijklmnop und für alle".encode(),
+]
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("fill", [b"some plain words ", b"\0", b"x, y; z.\n"])
+def test_large_contents_give_what_small_ones_give(monkeypatch, part, fill):
+    """Windows cut where they may, at every place of the part: kinds and spans are those of a reading as a whole."""
+    sizes = (5000, 5010, 5023)
+    texts = [wrapped(bz2.compress(fill * (size // len(fill)) + part + fill * (9000 // len(fill)))) for size in sizes]
+    whole = [set(secret_scan.scan(t)[1]) for t in texts]
+    monkeypatch.setattr(secret_scan, "KEEP", 4096)
+    monkeypatch.setattr(secret_scan, "WINDOW", 1024)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 512)
+    assert [set(secret_scan.scan(t)[1]) for t in texts] == whole
+
+
+def test_a_damaged_stream_in_a_content_larger_than_what_is_held():
+    inner = b"x y " * secret_scan.KEEP + PARTS[0]
+    assert found(bz2.compress(inner)) and found(bz2.compress(PARTS[0]))  # bz2 leaves nothing as it is
+
+
+def test_no_window_begins_inside_a_word():
+    """`secret=token` takes the word that would else begin an assignment, wherever windows end."""
+    line = b"secret=token:abcdefghijklm "
+    data = line * (secret_scan.KEEP // 20)
+    assert not found(gzip.compress(line)) and not found(gzip.compress(data))
