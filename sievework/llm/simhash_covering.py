@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import BROADCAST_ROWS, checkpointed, columns_only, connected_components, drop_listed, lookup, map_rows, text_key, written
+from sievework.llm.common import BROADCAST_ROWS, checkpointed, columns_only, connected_components, drop_listed, lookup, map_rows, text_key, together, written
 
 RADIUS = 3
 #: Members of a bucket that one task compares with each other.
@@ -134,7 +134,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
         # Up to `most` members a task compares all; if at most `radius` bits are free, all members are links of one another.
         shared = rows.join(sizes, ["mask", "key"])
         small = shared.where((F.col("n") <= most) & wide).select("mask", "key", "fp")
-        found = _bucket_links(small.repartition("mask", "key").sortWithinPartitions("mask", "key"), radius)
+        found = _bucket_links(together(small, ["mask", "key"]), radius)
         star = shared.where(~wide).groupBy("mask", "key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
         out = found if out is None else out.unionByName(found)
         large = checkpointed(sizes.where((F.col("n") > most) & wide).select("mask", "key"))
