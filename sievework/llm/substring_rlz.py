@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed, columns_only, lookup, map_rows, text_key, written
+from sievework.llm.common import checkpointed, columns_only, lookup, map_rows, text_key, together, written
 from sievework.llm.winnowing import WordHashes
 
 WINDOW, GRAM = 13, 5
@@ -224,7 +224,7 @@ def _decided(segments: DataFrame, most: int) -> DataFrame:
     sizes = different.groupBy("anchor").agg(F.count("*").alias("n"))
     several = checkpointed(sizes.where("n > 1").select("anchor", (F.col("n") > most).alias("large")))
     met = lookup(different, several, ["anchor"])
-    blocks = met.where("not large").repartition("anchor").sortWithinPartitions("anchor", "low", "seg").select("anchor", "low", "high", "seg", "words")
+    blocks = together(met.where("not large"), ["anchor"], "low", "seg").select("anchor", "low", "high", "seg", "words")
 
     def run(it):
         for _, block in groupby(it, key=lambda r: r[0]):

@@ -1,4 +1,4 @@
-"""Whole buckets reach one task, however Spark deals the join before them anew."""
+"""Whole buckets and blocks reach one task, however Spark deals the join before them anew."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("sievework.llm")
 
-from sievework.llm import common, simhash_covering  # noqa: E402
+from sievework.llm import common, simhash_covering, substring_rlz  # noqa: E402
 
 AQE = "spark.sql.adaptive."
 #: A side that proves small is broadcast, and the other's shuffle read where it was written; or each partition counts as skewed.
@@ -39,3 +39,17 @@ def test_buckets_stay_whole(dealt):
     df = common.checkpointed(dealt.createDataFrame(rows, "doc_id long, fp long").repartition(8))
     got = {r.doc_id: r.component_id for r in simhash_covering.components(df, 3).collect()}
     assert got == {i: i - i % 5 for i in range(1000)}
+
+
+def test_blocks_stay_whole(dealt, monkeypatch):
+    """More blocks than are broadcast: documents that share a passage of 20 words, with words of their own on both sides."""
+    monkeypatch.setattr(substring_rlz, "lookup", lambda left, small, on, how="left", limit=0: common.lookup(left, small, on, how, -1))
+    rng = random.Random(12)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(100):
+        passage = own(20)
+        rows += [(len(rows) + k, " ".join(own(15) + passage + own(15))) for k in range(4)]
+    df = dealt.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.n_removed for r in substring_rlz.remove_repeats(df).collect()}
+    assert got == {i: 20 if i % 4 else 0 for i in range(400)}
